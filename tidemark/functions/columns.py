@@ -18,8 +18,8 @@ def round_half_up(value: Column | str, digits: int) -> Column:
 
 
 def round_half_even(value: Column | str, digits: int) -> Column:
-    """Banker's rounding, as the resampled source tables use."""
-    return F.bround(as_column(value).try_cast(DECIMAL), digits).cast("double")
+    """Banker's rounding of a double, as the resampled source tables use."""
+    return F.bround(as_column(value).cast("double"), digits)
 
 
 def guarded_ratio(num: Column | str, den: Column | str) -> Column:

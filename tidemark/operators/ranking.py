@@ -89,14 +89,17 @@ def exact_quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     splits: Sequence[float] = (),
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """Quantiles with linear interpolation between the two neighbouring ranks.
 
     Positions are looked up in the running counts of the value histogram, so the final
-    aggregation combines map-side whatever the group sizes.
+    aggregation combines map-side whatever the group sizes. ``totals`` (by..., _total) saves
+    counting the values again.
     """
     ranked = ranked_values(df, value, by, splits)
-    totals = ranked.groupBy(*by).agg(F.sum("n").alias("_total"))
+    if totals is None:
+        totals = df.groupBy(*by).agg(F.count(value).alias("_total"))
     if by:
         placed = ranked.join(totals, list(by))
         total = F.col("_total")
@@ -137,7 +140,8 @@ def describe(
         F.max("value").alias("max"),
     )
     splits = cut_values(long, "value", buckets) if buckets else ()
-    cuts = exact_quantiles(long, "value", probs, ["column"], splits)
+    totals = moments.select("column", F.col("count").alias("_total"))
+    cuts = exact_quantiles(long, "value", probs, ["column"], splits, totals)
     # one row per described column on both sides
     return moments.join(cuts, "column", "left").select(
         "column", "count", "mean", "std", "min", *[quantile_name(p) for p in probs], "max"

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import guarded_corr
-from tidemark.operators.ranking import exact_quantiles
 
 
 def draw(seed: int, *parts: Column) -> Column:
@@ -48,9 +47,13 @@ def bootstrap_corr(
 
 
 def bootstrap_summary(draws: DataFrame, observed: DataFrame) -> DataFrame:
-    """Observed r, 95 % interval and shares above 0 and 0.5. ``observed`` is one row (r)."""
-    interval = exact_quantiles(draws, "r", [0.025, 0.975])
+    """Observed r, 95 % interval and shares above 0 and 0.5. ``observed`` is one row (r).
+
+    One aggregation over the draws; their number is the call's ``n_iter``, so the exact
+    percentile has a known size.
+    """
     shares = draws.agg(
+        F.percentile("r", [0.025, 0.975]).alias("_interval"),
         F.count(F.lit(1)).alias("n_draws"),
         F.avg((F.col("r") > 0).cast("double")).alias("p_gt_0"),
         F.avg((F.col("r") > 0.5).cast("double")).alias("p_gt_half"),
@@ -58,8 +61,8 @@ def bootstrap_summary(draws: DataFrame, observed: DataFrame) -> DataFrame:
     return shares.select(
         observed.scalar().alias("r_observed"),
         "n_draws",
-        interval.select("q2_5").scalar().alias("ci_low"),
-        interval.select("q97_5").scalar().alias("ci_high"),
+        F.col("_interval")[0].alias("ci_low"),
+        F.col("_interval")[1].alias("ci_high"),
         "p_gt_0",
         "p_gt_half",
     )
@@ -92,9 +95,10 @@ def placebo(
     size = pool.agg(
         F.when(F.count(F.lit(1)) >= k, F.count(F.lit(1))).otherwise(too_small).alias("_n")
     ).scalar()
-    picks = spark.range(n_iter).select(
-        F.col("id").alias("iter"),
-        F.explode(sample_positions(size, k, seed, F.col("id"))).alias("_i"),
+    picks = (
+        spark.range(n_iter)
+        .select(F.col("id").alias("iter"), size.alias("_size"))
+        .select("iter", F.explode(sample_positions(F.col("_size"), k, seed, F.col("iter"))).alias("_i"))
     )
     return (
         picks.join(indexed(pool.select(order, *cols), order), "_i")

@@ -62,7 +62,12 @@ def move_correlations(study: Study, method: str) -> DataFrame:
 
 
 def bootstrap_ci(study: Study, n_iter: int = 5000, seed: int = 42) -> DataFrame:
-    stats = study.get("v_event_impact").dropna(subset=list(MOVES))
+    stats = study.pin(
+        "usable_events",
+        lambda: study.get("v_event_impact")
+        .dropna(subset=list(MOVES))
+        .select("event_date", *MOVES),
+    )
     x, y = MOVES[0], MOVES[1]
     observed = correlation.pearson_pairs(stats, [(x, y)]).select("r")
     draws = resampling.bootstrap_corr(stats, "event_date", x, y, n_iter, seed)
@@ -70,7 +75,8 @@ def bootstrap_ci(study: Study, n_iter: int = 5000, seed: int = 42) -> DataFrame:
 
 
 def leave_one_out(study: Study) -> DataFrame:
-    return correlation.leave_one_out(impact_with_news(study), LOO_PAIRS)
+    stats = study.pin("impact_with_news", lambda: impact_with_news(study))
+    return correlation.leave_one_out(stats, LOO_PAIRS)
 
 
 def horizon_summary(study: Study) -> DataFrame:
@@ -114,18 +120,23 @@ def regime_summary(study: Study) -> DataFrame:
     return _mean_and_median(regime_rows(study), ["regime"], cols, [share])
 
 
+def pinned_regime_rows(study: Study) -> DataFrame:
+    return study.pin("regime_rows", lambda: regime_rows(study))
+
+
 def regime_corr(study: Study) -> DataFrame:
-    return correlation.both_methods(regime_rows(study), MOVE_PAIRS, ["regime"])
+    return correlation.both_methods(pinned_regime_rows(study), MOVE_PAIRS, ["regime"])
 
 
 def share_vs_move_corr(study: Study) -> DataFrame:
     pairs = [("gas_share_pct", move) for move in MOVES]
-    return correlation.both_methods(regime_rows(study), pairs)
+    return correlation.both_methods(pinned_regime_rows(study), pairs)
 
 
 def describe_shares(study: Study) -> DataFrame:
     cols = ["gas_share_pct", "renewables_share_pct", "nuclear_share_pct"]
-    return ranking.describe(study.get("v_gb_gen_mix_daily"), cols)
+    shares = study.pin("mix_shares", lambda: study.get("v_gb_gen_mix_daily").select(*cols))
+    return ranking.describe(shares, cols)
 
 
 # ---- placebo ----
@@ -165,9 +176,8 @@ def placebo_pool(study: Study, exclude_t0: bool = False) -> DataFrame:
 def placebo_distribution(
     study: Study, n_sample: int = 14, n_bootstrap: int = 1000, seed: int = 42
 ) -> DataFrame:
-    return resampling.placebo(
-        placebo_pool(study), "price_date", MOVES, n_sample, n_bootstrap, seed
-    )
+    pool = study.pin("placebo_pool", lambda: placebo_pool(study))
+    return resampling.placebo(pool, "price_date", MOVES, n_sample, n_bootstrap, seed)
 
 
 def empirical_rank(
@@ -229,7 +239,8 @@ def dual_signal_days(study: Study) -> DataFrame:
 
 def signal_r2(study: Study) -> DataFrame:
     pairs = list(product(["oil_signal", "lng_signal"], MOVES))
-    return correlation.both_methods(dual_signal_days(study), pairs)
+    days = study.pin("dual_signal_days", lambda: dual_signal_days(study))
+    return correlation.both_methods(days, pairs)
 
 
 def dominance_label(study: Study) -> DataFrame:
@@ -324,7 +335,10 @@ def period_buckets(study: Study) -> DataFrame:
 
 
 def normalised_index(study: Study) -> DataFrame:
-    frame = study.get("v_combined_daily").select("d", *IMPACT_SERIES.values())
+    frame = study.pin(
+        "combined_series",
+        lambda: study.get("v_combined_daily").select("d", *IMPACT_SERIES.values()),
+    )
     return series.index_to_first(frame, "d", list(IMPACT_SERIES.values()))
 
 
@@ -360,7 +374,10 @@ def spread_regime_summary(study: Study) -> DataFrame:
 
 def spread_regime_corr(study: Study) -> DataFrame:
     pair = [("power_observed_gbp_mwh", "theoretical_css_gbp_mwh")]
-    rows = _known_regime(study.get("v_clean_spark_spread_daily"))
+    rows = study.pin(
+        "spread_days",
+        lambda: _known_regime(study.get("v_clean_spark_spread_daily")).select("regime", *pair[0]),
+    )
     return correlation.both_methods(rows, pair, ["regime"])
 
 
@@ -380,9 +397,11 @@ def implied_regime_summary(study: Study) -> DataFrame:
 
 def implied_regime_corr(study: Study) -> DataFrame:
     pair = [("observed_ttf_eur_mwh", "implied_ttf_eur_mwh")]
-    return correlation.both_methods(
-        _known_regime(study.get("v_implied_ttf_daily")), pair, ["regime"]
+    rows = study.pin(
+        "implied_days",
+        lambda: _known_regime(study.get("v_implied_ttf_daily")).select("regime", *pair[0]),
     )
+    return correlation.both_methods(rows, pair, ["regime"])
 
 
 def decoupled_share(study: Study) -> DataFrame:
@@ -442,7 +461,10 @@ def non_event_days(study: Study) -> DataFrame:
 
 def spike_days(study: Study, factor: float = 1.5) -> DataFrame:
     """Days whose theme count exceeds ``factor`` times the median day."""
-    daily = study.get("v_gdelt_gkg_themes_daily").select("event_date", "n_econ_oil")
+    daily = study.pin(
+        "theme_days",
+        lambda: study.get("v_gdelt_gkg_themes_daily").select("event_date", "n_econ_oil"),
+    )
     # one row per day: the histogram behind the median is calendar-sized
     median = daily.agg(F.median("n_econ_oil").alias("_m")).scalar()
     return daily.withColumn("median_day", median).filter(

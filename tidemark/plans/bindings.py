@@ -79,8 +79,12 @@ def make_lexicon_scorer() -> LexiconScorer:
     return LEXICON
 
 
+def path_of(sf_dir: str, name: str) -> str:
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.parquet(path_of(sf_dir, name))
 
 
 def pick(values, index: Column) -> Column:
@@ -311,28 +315,31 @@ class SampleStudy(Study):
     """A study over the sample tables in one directory."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, cfg: StudyConfig = SAMPLE_CONFIG):
-        def table(name: str) -> DataFrame:
-            return read(spark, sf_dir, name)
-
-        self.orders, self.lineitem = table("orders"), table("lineitem")
-        self.events, self.documents = table("events"), table("documents")
+        table = self.raw
         self.sf_dir = sf_dir
+        self._raw: dict[str, DataFrame] = {}
         super().__init__(
             spark,
             {
-                "timeline": timeline(self.orders),
-                "brent": brent(self.orders),
-                "ttf": ttf(self.lineitem),
-                "gb_power": gb_power(self.lineitem),
-                "gb_gen_mix": gb_gen_mix(self.lineitem, table("part")),
-                "uka_proxy": uka_proxy(self.orders, cfg),
-                "gdelt": event_rows(self.events).drop("ts"),
-                "gdelt_gkg": article_rows(self.documents),
-                "finbert_scores": earlier_scores(self.documents, table("labels")),
+                "timeline": lambda: timeline(table("orders")),
+                "brent": lambda: brent(table("orders")),
+                "ttf": lambda: ttf(table("lineitem")),
+                "gb_power": lambda: gb_power(table("lineitem")),
+                "gb_gen_mix": lambda: gb_gen_mix(table("lineitem"), table("part")),
+                "uka_proxy": lambda: uka_proxy(table("orders"), cfg),
+                "gdelt": lambda: event_rows(table("events")).drop("ts"),
+                "gdelt_gkg": lambda: article_rows(table("documents")),
+                "finbert_scores": lambda: earlier_scores(table("documents"), table("labels")),
             },
             cfg,
         )
 
+    def raw(self, name: str) -> DataFrame:
+        """A sample table as it is."""
+        if name not in self._raw:
+            self._raw[name] = read(self.spark, self.sf_dir, name)
+        return self._raw[name]
+
     def panel(self, *names: str) -> DataFrame:
         """Aligned series; the two line-item series share one scan when both are wanted."""
         if not {"ttf", "power"} <= set(names):
@@ -340,7 +347,7 @@ class SampleStudy(Study):
         frames = {
             name: self.get(SERIES_VIEWS[name]) for name in names if name not in ("ttf", "power")
         }
-        frames["lines"] = linked_and_target(self.lineitem)
+        frames["lines"] = linked_and_target(self.raw("lineitem"))
         return (
             series.align(frames, "price_date")
             .withColumn("has_ttf", F.col("ttf_close").isNotNull())

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.config import StudyConfig
 from tidemark.operators.calendar import calendar_range
 from tidemark.operators.series import align
+from tidemark.session import run_dir
 from tidemark.sources import quality, readers, schemas, typed
 
 
@@ -57,12 +58,16 @@ class Study:
     """Tables, parameters and views of one study. Frames are built lazily and once."""
 
     def __init__(
-        self, spark: SparkSession, tables: Mapping[str, DataFrame], cfg: StudyConfig | None = None
+        self,
+        spark: SparkSession,
+        tables: Mapping[str, DataFrame | Callable[[], DataFrame]],
+        cfg: StudyConfig | None = None,
     ):
         self.spark = spark
         self.cfg = cfg or StudyConfig()
-        self.tables = {name: self._typed(name, frame) for name, frame in tables.items()}
+        self.sources = dict(tables)
         self._built: dict[str, DataFrame] = {}
+        self._pinned: dict[str, DataFrame] = {}
         self._window: tuple[date, date] | None = None
 
     @staticmethod
@@ -91,9 +96,12 @@ class Study:
 
     def get(self, name: str) -> DataFrame:
         """A table or view by name."""
-        if name in self.tables:
-            return self.tables[name]
-        if name not in self._built:
+        if name in self._built:
+            return self._built[name]
+        if name in self.sources:
+            source = self.sources[name]
+            self._built[name] = self._typed(name, source() if callable(source) else source)
+        else:
             if name not in VIEWS:
                 raise KeyError(f"no table or view {name!r}")
             missing = self.missing(name)
@@ -104,7 +112,7 @@ class Study:
 
     def missing(self, name: str) -> list[str]:
         """Tables a view needs, directly or through other views, that are not there."""
-        if name in self.tables:
+        if name in self.sources:
             return []
         if name not in VIEWS:
             return [name]
@@ -113,6 +121,20 @@ class Study:
             out += [m for m in self.missing(required) if m not in out]
         return out
 
+    def pin(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """Write a calendar-sized frame once and read it back, so that steps which pass over it
+        several times do not repeat the scans behind it.
+
+        The copy lies in the session's shared checkpoint folder: it survives lost executors
+        and its file size lets Spark choose join strategies.
+        """
+        if name not in self._pinned:
+            frame = build()
+            path = run_dir(self.spark, name)
+            frame.write.parquet(path)
+            self._pinned[name] = self.spark.read.schema(frame.schema).parquet(path)
+        return self._pinned[name]
+
     def panel(self, *series: str) -> DataFrame:
         """The named daily series side by side, keyed ``price_date`` (see ``align``)."""
         return align({name: self.get(SERIES_VIEWS[name]) for name in series}, "price_date")
@@ -132,20 +154,19 @@ class Study:
 
     def create_views(self) -> list[str]:
         """Register every table and buildable view as a temp view; the skipped ones return."""
-        for name, frame in self.tables.items():
-            frame.createOrReplaceTempView(name)
-        for name in self.available():
+        for name in (*self.sources, *self.available()):
             self.get(name).createOrReplaceTempView(name)
         return [name for name in build_order() if self.missing(name)]
 
     def sweep(self) -> DataFrame:
         """Row count of every table and buildable view, flagged when empty."""
-        frames = {**self.tables, **{name: self.get(name) for name in self.available()}}
-        return quality.row_counts(frames)
+        return quality.row_counts(
+            {name: self.get(name) for name in (*self.sources, *self.available())}
+        )
 
     def columns(self) -> list[tuple[str, str, str]]:
         """(object, column, type) of everything available; schemas only, no job runs."""
-        names = [*self.tables, *self.available()]
+        names = [*self.sources, *self.available()]
         return [
             (name, f.name, f.dataType.simpleString())
             for name in names

@@ -8,9 +8,6 @@ from pyspark.sql import types as T
 
 from tidemark.sources import schemas
 
-REJECT = "_rejected_line"
-
-
 def _tsv(spark: SparkSession, path: str, schema: T.StructType, partitioned: bool):
     fields = list(schema.fields)
     if partitioned:
@@ -88,6 +85,12 @@ def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     )
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(fs.exists(target) and fs.getFileStatus(target).isFile())
+
+
 def optional_source(spark: SparkSession, path: str, glob: str = "*") -> bool:
     """True when at least one file exists under ``path`` (also below partition folders)."""
     jvm = spark._jvm
@@ -98,4 +101,4 @@ def optional_source(spark: SparkSession, path: str, glob: str = "*") -> bool:
         found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(pattern))
         if found is not None and any(status.isFile() for status in found):
             return True
-    return bool(fs.exists(target) and fs.getFileStatus(target).isFile())
+    return is_file(spark, path)
