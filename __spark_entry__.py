@@ -16,8 +16,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
+from pyspark import cloudpickle  # noqa: E402
 
 import oracle_queries as o  # noqa: E402
+import tidemark  # noqa: E402
 from tidemark.functions.columns import round_half_up  # noqa: E402
 from tidemark.functions.text import slug  # noqa: E402
 from tidemark.operators import ranking, rollups, scoring, windows  # noqa: E402
@@ -28,6 +30,9 @@ from tidemark.session import DEFAULTS, run_dir  # noqa: E402
 from tidemark.sources import quality, sinks  # noqa: E402
 from tidemark.streaming import jobs  # noqa: E402
 
+# scoring tasks carry the package's own functions, so workers need no copy of this folder
+cloudpickle.register_pickle_by_value(tidemark)
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -43,8 +48,7 @@ def fix(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def study_of(spark: SparkSession, sf_dir: str) -> SampleStudy:
-    for key in ("spark.sql.session.timeZone",):
-        spark.conf.set(key, DEFAULTS[key])
+    spark.conf.set("spark.sql.session.timeZone", DEFAULTS["spark.sql.session.timeZone"])
     return SampleStudy(spark, sf_dir)
 
 

@@ -47,9 +47,9 @@ LOO_PAIRS = (
     ("avg_goldstein", "power_pct_3d"),
     ("event_count", "ttf_pct_3d"),
 )
+WORDS = ", ".join(f"CASE WHEN contains(text, '{w}') THEN '{w}' END" for w in b.THEME_OF_TEXT)
 DOC_URL = (
-    "'https://e.com/' || source || '/' || regexp_replace(text, '[^A-Za-z0-9]+', '-', 'g')"
-    " || '-2024-01-05.html'"
+    f"'https://e.com/' || source || '/' || concat_ws('-', {WORDS}, md5(text), '2024-01-05.html')"
 )
 DOC_DAY = "DATE '1998-01-01' + CAST(doc_id % 120 AS INT)"
 

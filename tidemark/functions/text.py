@@ -12,7 +12,7 @@ from tidemark.functions.columns import as_column
 # The slug rules.
 PATH_OF_URL = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
 PAGE_EXTENSION = r"(?i)\.(html?|php|aspx)$"
-DATE_PIECES = r"(?U)\b(20\d{2}|0?[1-9]|1[0-2]|[12]\d|3[01])\b"
+DATE_PIECES = r"(?U)(?=\d)\b(20\d{2}|0?[1-9]|1[0-2]|[12]\d|3[01])\b"
 NUMBER = r"(-?[\d.]+)"
 
 
@@ -54,10 +54,10 @@ def slug(url: Column | str) -> Column:
     The extension goes, percent escapes are decoded, hyphens and underscores become spaces,
     stand-alone years and day or month numbers go, spaces are squeezed.
     """
+    # each step reads the one before it once: a filter on the slug then runs every step once
     path = F.regexp_extract(as_column(url), PATH_OF_URL, 1)
     path = F.regexp_replace(path, ";[^/]*$", "")
-    segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    last = F.coalesce(F.get(segments, F.size(segments) - 1), F.lit(""))
+    last = F.substring_index(F.rtrim(path, F.lit("/")), "/", -1)
     last = F.regexp_replace(last, PAGE_EXTENSION, "")
     # a form decoder reads '+' as a space and fails on a lone '%': escape both first
     last = F.replace(last, F.lit("+"), F.lit("%2B"))

@@ -59,8 +59,8 @@ BRENT_SCALE, TTF_SCALE, POWER_SCALE = 2500.0, 1000.0, 500.0
 # 18 minutes of the event stream are one study day: 30 days become 2,400
 SECONDS_PER_DAY = 1080
 LEXICON = LexiconScorer(
-    positive=("the", "with", "les", "und", "that", "una"),
-    negative=("not", "this", "der", "worthless", "que", "was"),
+    positive=("the", "les", "und", "ing"),
+    negative=("der", "que", "con", "ent", "est"),
 )
 
 SAMPLE_CONFIG = StudyConfig(
@@ -272,10 +272,10 @@ def article_rows(documents: DataFrame) -> DataFrame:
 
 
 def document_url() -> Column:
-    words = F.regexp_replace("text", "[^A-Za-z0-9]+", "-")
-    return F.concat(
-        F.lit("https://e.com/"), F.col("source"), F.lit("/"), words, F.lit("-2024-01-05.html")
-    )
+    """A short headline-like URL: the syllables the whole text holds, and its digest."""
+    words = [F.when(F.col("text").contains(w), w) for w in THEME_OF_TEXT]
+    headline = F.concat_ws("-", *words, F.md5("text"), F.lit("2024-01-05.html"))
+    return F.concat(F.lit("https://e.com/"), F.col("source"), F.lit("/"), headline)
 
 
 def url_rows(documents: DataFrame) -> DataFrame:
