@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans import views  # noqa: F401
 from tidemark.plans.registry import VIEWS, Study, build_order
-from tidemark.sources import quality, readers, schemas, sinks, typed
+from tidemark.sources import bronze, quality, readers, schemas, sinks, typed
 
 
 def event_line(**values):
@@ -182,3 +182,36 @@ def test_file_metrics_and_duplicate_keys(spark, landed):
     assert metrics == {"2026-03-02": (1, 5), "2026-03-03": (1, 2)}
     double = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1)], "series string, d int")
     assert quality.duplicate_keys(double, "series", "d").collect()[0].n_rows == 2
+
+
+def test_landed_files_give_gaps_and_metrics(spark, landed):
+    files = quality.landed_files(spark, f"{landed}/gdelt")
+    assert {r.stamp for r in files.filter("size > 0").collect()} == {"20260302000000", "20260303000000"}
+    grid = quality.slot_grid(spark, "2026-03-02 00:00:00", "2026-03-03 00:00:00", 360)
+    wanted = quality.expected_files(grid)
+    assert "date=2026-03-02/20260302060000.export.CSV" in {r.file for r in wanted.collect()}
+    gaps = quality.missing_slots(wanted, files.filter("size > 0"), "stamp")
+    assert sorted(r.stamp for r in gaps.collect()) == ["20260302060000", "20260302120000", "20260302180000"]
+    metrics = quality.landed_metrics(files, readers.events_tsv(spark, f"{landed}/gdelt"), "date")
+    assert {(str(r.date), r.file_count, r.event_count) for r in metrics.collect()} == {
+        ("2026-03-02", 1, 5),
+        ("2026-03-03", 1, 2),
+    }
+
+
+def test_columnar_copy_gives_the_same_views_and_prunes(spark, landed, tmp_path):
+    events, articles = str(tmp_path / "events"), str(tmp_path / "articles")
+    bronze.copy_events(spark, f"{landed}/gdelt", events)
+    bronze.copy_articles(spark, f"{landed}/gdelt_gkg", articles, ("TERROR",))
+    copied = Study(spark, {"gdelt": bronze.read_copy(spark, events), "gdelt_gkg": bronze.read_copy(spark, articles)})
+    raw = Study.from_files(spark, str(landed))
+    for name in ("v_middle_east_events", "v_gdelt_events_features_daily", "v_gdelt_tone_asymmetry_daily"):
+        assert sorted(copied.get(name).collect()) == sorted(raw.get(name).collect())
+    assert copied.get("v_gdelt_gkg_themes_daily").first().n_terror == 1
+    assert copied.get("gdelt_gkg").count() == 1
+    daily = copied.get("v_middle_east_events")
+    plan = spark._jvm.PythonSQLUtils.explainString(daily._jdf.queryExecution(), "formatted")
+    # late rows precede their partition day, so only the lower bound may prune partitions
+    assert "PartitionFilters: [isnotnull(date" in plan and ">= 2026-01-01" in plan
+    assert "In(country" in plan and "GreaterThanOrEqual(event_date,2026-01-01)" in plan
+    assert "source_url" not in plan

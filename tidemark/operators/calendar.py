@@ -74,7 +74,8 @@ def fwd_snap(
     Targets before the range snap to the first calendar day, targets past it give NULL.
     """
     first, last = window or calendar_range(calendar, day)
-    lookup = snap_map(calendar, day, first, last, name="_day").select(
+    days = calendar.select(day).distinct()
+    lookup = snap_map(days, day, first, last, name="_day").select(
         "_day", F.col("snap.d").alias(out)
     )
     target = F.greatest(F.date_add(F.col(on), plus_days), F.lit(first))
@@ -93,7 +94,7 @@ def fwd_snap_by(df: DataFrame, calendar: DataFrame, by: str, on: str, out: str,
     grid = ranges.select(
         by, F.explode(F.sequence("_first", "_last", F.expr("INTERVAL 1 DAY"))).alias("_day")
     )
-    marked = calendar.select(by, F.col(day).alias("_day"), F.col(day).alias("_cal"))
+    marked = calendar.select(by, F.col(day).alias("_day"), F.col(day).alias("_cal")).distinct()
     backwards = (
         Window.partitionBy(by)
         .orderBy(F.col("_day").desc())

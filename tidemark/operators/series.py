@@ -93,42 +93,44 @@ def mix_shares(
 
 
 def rebase(
-    series: DataFrame, day: str, value: str, base_value: float, base_date: date, out: str
+    series: DataFrame,
+    day: str,
+    value: str,
+    base_value: float,
+    base_date: date,
+    out: str,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Scale a series so that its first value on or after ``base_date`` equals ``base_value``.
 
-    The anchor is a one-value aggregate, combined map-side and read back as a scalar
-    subquery. Without a day on or after the base date the query fails, as it has no anchor.
+    For frames with one row per day (and per ``by``): the anchor is read in a window over the
+    days, so the rows behind the series are scanned once. A series without a day on or after
+    the base date has no anchor and fails the query.
     """
-    eligible = series.filter(F.col(day) >= F.lit(base_date))
-    anchor = eligible.agg(
-        F.coalesce(
-            F.min_by(value, day),
-            F.raise_error(F.lit(f"no value on or after {base_date}")).cast("double"),
-        ).alias("_anchor")
-    ).scalar()
-    return series.withColumn(
-        out, round_half_even(F.lit(base_value) * guarded_ratio(F.col(value), anchor), 3)
+    whole = Window.partitionBy(*by).orderBy(day).rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
     )
+    found = F.first(F.when(F.col(day) >= F.lit(base_date), F.col(value)), ignorenulls=True)
+    missing = F.raise_error(F.lit(f"no value on or after {base_date}")).cast("double")
+    anchored = series.withColumn("_anchor", F.coalesce(found.over(whole), missing))
+    scaled = F.lit(base_value) * guarded_ratio(F.col(value), F.col("_anchor"))
+    return anchored.withColumn(out, round_half_even(scaled, 3)).drop("_anchor")
 
 
-def index_to_first(df: DataFrame, order: str, cols: Sequence[str], suffix: str = "_pct"):
-    """% change of each column from its first non-NULL value in ``order``.
-
-    The first values are one aggregate row, read back as scalar subqueries.
-    """
-    firsts = df.agg(
-        F.struct(
-            *[
-                F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c)
-                for c in cols
-            ]
-        ).alias("_first")
-    ).scalar()
-    return df.select(
-        "*",
+def index_to_first(
+    df: DataFrame, order: str, cols: Sequence[str], suffix: str = "_pct", by: Sequence[str] = ()
+) -> DataFrame:
+    """% change of each column from its first non-NULL value in ``order``, one row per day."""
+    whole = Window.partitionBy(*by).orderBy(order).rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
+    )
+    firsts = df.select(
+        "*", *[F.first(c, ignorenulls=True).over(whole).alias(f"_first_{c}") for c in cols]
+    )
+    return firsts.select(
+        *df.columns,
         *[
-            ((guarded_ratio(F.col(c), firsts.getField(c)) - 1) * 100).alias(f"{c}{suffix}")
+            ((guarded_ratio(F.col(c), F.col(f"_first_{c}")) - 1) * 100).alias(f"{c}{suffix}")
             for c in cols
         ],
     )

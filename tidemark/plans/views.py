@@ -164,8 +164,9 @@ def event_impact_multi_phase(study: Study) -> DataFrame:
 @view("v_event_impact_regime", "timeline", "v_event_impact", "v_gb_gen_mix_daily")
 def event_impact_regime(study: Study) -> DataFrame:
     first, last = study.series_window()
+    # aligned on its own, the mix has one row per day whatever the table holds
     mix = (
-        study.get("v_gb_gen_mix_daily")
+        study.panel("mix")
         .filter(F.col("price_date").between(F.lit(first), F.lit(last)))
         .select("price_date", "gas_share_pct", "renewables_share_pct", "nuclear_share_pct", "total_mwh")
     )

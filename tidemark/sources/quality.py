@@ -30,6 +30,39 @@ def slot_grid(spark: SparkSession, start: str, end: str, minutes: int) -> DataFr
     return expected_slots(bounds, "s", "e", minutes)
 
 
+def expected_files(slots: DataFrame, suffix: str = ".export.CSV") -> DataFrame:
+    """Relative path each slot's file lands under: ``date=YYYY-MM-DD/<stamp><suffix>``."""
+    folder = F.concat(F.lit("date="), F.date_format("slot", "yyyy-MM-dd"), F.lit("/"))
+    return slots.withColumn("file", F.concat(folder, F.col("stamp"), F.lit(suffix)))
+
+
+def landed_files(spark: SparkSession, path: str, glob: str = "*.export.CSV") -> DataFrame:
+    """Files below ``path`` with day, stamp and size; a size of 0 marks a broken landing.
+
+    Only the listing is read: the file contents are pruned from the scan.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    stamp = F.regexp_extract(name, r"^(\d{14})\.", 1)
+    return listed.select(
+        F.try_to_date(F.substring(stamp, 1, 8), "yyyyMMdd").alias("day"),
+        stamp.alias("stamp"),
+        name.alias("file"),
+        F.col("length").alias("size"),
+    )
+
+
+def landed_metrics(files: DataFrame, rows: DataFrame, day: str) -> DataFrame:
+    """Files and rows per landing day, empty files included."""
+    counted = rows.groupBy(F.col(day).alias("day")).agg(F.count(F.lit(1)).alias("event_count"))
+    per_day = files.groupBy("day").agg(F.count(F.lit(1)).alias("file_count"))
+    return per_day.join(counted, "day", "left").select(
+        F.col("day").alias("date"),
+        "file_count",
+        F.coalesce("event_count", F.lit(0)).alias("event_count"),
+    )
+
+
 def slot_of(ts, minutes: int):
     """Start of the slot a timestamp falls in."""
     ts = F.col(ts) if isinstance(ts, str) else ts
