@@ -80,10 +80,6 @@ def guarded_corr(x: Column | str, y: Column | str) -> Column:
     )
 
 
-def pair_count(x: Column | str, y: Column | str) -> Column:
-    return F.count_if(as_column(x).isNotNull() & as_column(y).isNotNull())
-
-
 def dominance(
     first: Column | str,
     second: Column | str,

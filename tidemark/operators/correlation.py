@@ -12,36 +12,12 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import guarded_corr, guarded_ratio, pair_count
+from tidemark.functions.columns import guarded_corr, guarded_ratio
 from tidemark.operators.ranking import cut_values, ranked_values
 
 Pair = tuple[str, str]
 
 
-def pearson_pairs(df: DataFrame, pairs: Sequence[Pair], by: Sequence[str] = ()) -> DataFrame:
-    """(x, y, n, r) of each pair, NULL rows dropped pair by pair."""
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(x).alias("x"),
-                F.lit(y).alias("y"),
-                F.col(f"_n{i}").alias("n"),
-                F.col(f"_r{i}").alias("r"),
-            )
-            for i, (x, y) in enumerate(pairs)
-        ]
-    )
-    aggregates = []
-    for i, (x, y) in enumerate(pairs):
-        aggregates += [pair_count(x, y).alias(f"_n{i}"), guarded_corr(x, y).alias(f"_r{i}")]
-    return (
-        df.groupBy(*by)
-        .agg(*aggregates)
-        .select(*by, F.explode(entries).alias("_e"))
-        .select(*by, "_e.*")
-    )
-
-
 def long_pairs(df: DataFrame, pairs: Sequence[Pair], keep: Sequence[str] = ()) -> DataFrame:
     """One row per input row and pair: (keep..., x, y, vx, vy), pairs with a NULL left out."""
     entries = F.array(
@@ -62,6 +38,29 @@ def long_pairs(df: DataFrame, pairs: Sequence[Pair], keep: Sequence[str] = ()) -
     )
 
 
+def pearson_pairs(df: DataFrame, pairs: Sequence[Pair], by: Sequence[str] = ()) -> DataFrame:
+    """(x, y, n, r) of each pair, NULL rows dropped pair by pair; a pair without rows is absent."""
+    group = [*by, "x", "y"]
+    return (
+        long_pairs(df, pairs, by)
+        .groupBy(*group)
+        .agg(F.count(F.lit(1)).alias("n"), guarded_corr("vx", "vy").alias("r"))
+    )
+
+
+def with_average_ranks(rows: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Average ranks ``ax`` and ``ay`` of vx and vy in each group, one window per group."""
+
+    def average_rank(value: str):
+        ordered = Window.partitionBy(*group).orderBy(value)
+        ties = Window.partitionBy(*group, value)
+        return F.rank().over(ordered) + (F.count(F.lit(1)).over(ties) - 1) / 2
+
+    return rows.select(
+        *group, "vx", "vy", average_rank("vx").alias("ax"), average_rank("vy").alias("ay")
+    )
+
+
 def spearman_pairs(
     df: DataFrame, pairs: Sequence[Pair], by: Sequence[str] = (), buckets: int | None = None
 ) -> DataFrame:
@@ -73,15 +72,9 @@ def spearman_pairs(
     group = [*by, "x", "y"]
     rows = long_pairs(df, pairs, by)
     if buckets is None:
-
-        def average_rank(value: str):
-            ordered = Window.partitionBy(*group).orderBy(value)
-            ties = Window.partitionBy(*group, value)
-            return F.rank().over(ordered) + (F.count(F.lit(1)).over(ties) - 1) / 2
-
-        ranked = rows.select(*group, average_rank("vx").alias("_a"), average_rank("vy").alias("_b"))
+        ranked = with_average_ranks(rows, group)
         return ranked.groupBy(*group).agg(
-            F.count(F.lit(1)).alias("n"), guarded_corr("_a", "_b").alias("r")
+            F.count(F.lit(1)).alias("n"), guarded_corr("ax", "ay").alias("r")
         )
     points = rows.groupBy(*group, "vx", "vy").agg(F.count(F.lit(1)).alias("_w"))
     for value in ("vx", "vy"):
@@ -117,14 +110,21 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearso
 
 
 def both_methods(df: DataFrame, pairs: Sequence[Pair], by: Sequence[str] = ()) -> DataFrame:
-    """Pearson and Spearman side by side: (by..., x, y, n, pearson, spearman, r_squared)."""
-    key = [*by, "x", "y"]
-    linear = pearson_pairs(df, pairs, by).withColumnRenamed("r", "pearson")
-    ranked = spearman_pairs(df, pairs, by).select(*key, F.col("r").alias("spearman"))
-    joined = linear.join(ranked, key, "left")
-    return joined.select(
-        *key, "n", "pearson", "spearman", (F.col("pearson") * F.col("pearson")).alias("r_squared")
+    """Pearson and Spearman in one pass: (by..., x, y, n, pearson, spearman, r_squared).
+
+    For frames with one row per day or event, as each (pair, group) is ranked in one window.
+    """
+    group = [*by, "x", "y"]
+    measured = (
+        with_average_ranks(long_pairs(df, pairs, by), group)
+        .groupBy(*group)
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            guarded_corr("vx", "vy").alias("pearson"),
+            guarded_corr("ax", "ay").alias("spearman"),
+        )
     )
+    return measured.withColumn("r_squared", F.col("pearson") * F.col("pearson"))
 
 
 def leave_one_out(df: DataFrame, pairs: Sequence[Pair]) -> DataFrame:

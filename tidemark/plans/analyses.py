@@ -120,17 +120,13 @@ def regime_summary(study: Study) -> DataFrame:
     return _mean_and_median(regime_rows(study), ["regime"], cols, [share])
 
 
-def pinned_regime_rows(study: Study) -> DataFrame:
-    return study.pin("regime_rows", lambda: regime_rows(study))
-
-
 def regime_corr(study: Study) -> DataFrame:
-    return correlation.both_methods(pinned_regime_rows(study), MOVE_PAIRS, ["regime"])
+    return correlation.both_methods(regime_rows(study), MOVE_PAIRS, ["regime"])
 
 
 def share_vs_move_corr(study: Study) -> DataFrame:
     pairs = [("gas_share_pct", move) for move in MOVES]
-    return correlation.both_methods(pinned_regime_rows(study), pairs)
+    return correlation.both_methods(regime_rows(study), pairs)
 
 
 def describe_shares(study: Study) -> DataFrame:
@@ -239,8 +235,7 @@ def dual_signal_days(study: Study) -> DataFrame:
 
 def signal_r2(study: Study) -> DataFrame:
     pairs = list(product(["oil_signal", "lng_signal"], MOVES))
-    days = study.pin("dual_signal_days", lambda: dual_signal_days(study))
-    return correlation.both_methods(days, pairs)
+    return correlation.both_methods(dual_signal_days(study), pairs)
 
 
 def dominance_label(study: Study) -> DataFrame:
@@ -371,10 +366,7 @@ def spread_regime_summary(study: Study) -> DataFrame:
 
 def spread_regime_corr(study: Study) -> DataFrame:
     pair = [("power_observed_gbp_mwh", "theoretical_css_gbp_mwh")]
-    rows = study.pin(
-        "spread_days",
-        lambda: _known_regime(study.get("v_clean_spark_spread_daily")).select("regime", *pair[0]),
-    )
+    rows = _known_regime(study.get("v_clean_spark_spread_daily"))
     return correlation.both_methods(rows, pair, ["regime"])
 
 
@@ -394,10 +386,7 @@ def implied_regime_summary(study: Study) -> DataFrame:
 
 def implied_regime_corr(study: Study) -> DataFrame:
     pair = [("observed_ttf_eur_mwh", "implied_ttf_eur_mwh")]
-    rows = study.pin(
-        "implied_days",
-        lambda: _known_regime(study.get("v_implied_ttf_daily")).select("regime", *pair[0]),
-    )
+    rows = _known_regime(study.get("v_implied_ttf_daily"))
     return correlation.both_methods(rows, pair, ["regime"])
 
 

@@ -56,6 +56,12 @@ PLACE_OF_TEXT = {
 }
 # scales that bring the series to the size of energy prices, so thresholds split them
 BRENT_SCALE, TTF_SCALE, POWER_SCALE = 2500.0, 1000.0, 500.0
+VALUE_OF = {
+    "brent": "brent_close",
+    "ttf": "ttf_close",
+    "power": "gb_power_avg",
+    "carbon": "uka_close_gbp_per_tco2",
+}
 # 18 minutes of the event stream are one study day: 30 days become 2,400
 SECONDS_PER_DAY = 1080
 LEXICON = LexiconScorer(
@@ -178,6 +184,29 @@ def uka_proxy(orders: DataFrame, cfg: StudyConfig) -> DataFrame:
     return rebased.withColumn("source", F.lit(cfg.carbon_source))
 
 
+def anchor_and_carbon(orders: DataFrame, cfg: StudyConfig) -> DataFrame:
+    """Both order series from one scan and one aggregation."""
+    day = F.col("price_date")
+    low = F.col("o_orderpriority") == "5-LOW"
+    daily = (
+        orders.select(F.to_date("o_orderdate").alias("price_date"), "o_totalprice", "o_orderpriority")
+        .groupBy("price_date")
+        .agg(
+            (F.avg(F.when(is_weekday(day), F.col("o_totalprice"))) / BRENT_SCALE).alias("brent_close"),
+            F.avg(F.when(low, F.col("o_totalprice"))).alias("krbn_close"),
+        )
+    )
+    rebased = series.rebase(
+        daily,
+        "price_date",
+        "krbn_close",
+        cfg.carbon_base_price,
+        cfg.carbon_base_date,
+        "uka_close_gbp_per_tco2",
+    )
+    return rebased.drop("krbn_close")
+
+
 def timeline(orders: DataFrame) -> DataFrame:
     """One event on the last day of each month: the highest-priced order of that day."""
     day = F.to_date("o_orderdate")
@@ -341,16 +370,20 @@ class SampleStudy(Study):
         return self._raw[name]
 
     def panel(self, *names: str) -> DataFrame:
-        """Aligned series; the two line-item series share one scan when both are wanted."""
-        if not {"ttf", "power"} <= set(names):
-            return super().panel(*names)
-        frames = {
-            name: self.get(SERIES_VIEWS[name]) for name in names if name not in ("ttf", "power")
+        """Aligned series; two series of one table share its scan when both are wanted."""
+        pairs = {
+            ("ttf", "power"): lambda: linked_and_target(self.raw("lineitem")),
+            ("brent", "carbon"): lambda: anchor_and_carbon(self.raw("orders"), self.cfg),
         }
-        frames["lines"] = linked_and_target(self.raw("lineitem"))
-        return (
-            series.align(frames, "price_date")
-            .withColumn("has_ttf", F.col("ttf_close").isNotNull())
-            .withColumn("has_power", F.col("gb_power_avg").isNotNull())
-            .drop("has_lines")
-        )
+        frames, fused = {}, {}
+        for pair, build in pairs.items():
+            if set(pair) <= set(names):
+                frames["_".join(pair)] = build()
+                fused.update({name: "_".join(pair) for name in pair})
+        for name in names:
+            if name not in fused:
+                frames[name] = self.get(SERIES_VIEWS[name])
+        aligned = series.align(frames, "price_date")
+        for name in fused:
+            aligned = aligned.withColumn(f"has_{name}", F.col(VALUE_OF[name]).isNotNull())
+        return aligned.drop(*[f"has_{frame}" for frame in set(fused.values())])

@@ -13,9 +13,16 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # one entry per id or day of keyed stream state: kept off the heap
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
 
+_fallback: list[str] = []
+
+
 def local_session(cores: int = 8, name: str = "tidemark", **extra: str) -> SparkSession:
     """A local session for tests and the bench."""
     builder = (
@@ -40,6 +47,7 @@ def run_dir(spark: SparkSession, purpose: str) -> str:
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        shared = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        if not _fallback:
+            _fallback.append(tempfile.mkdtemp(prefix="tidemark-"))
+        shared = _fallback[0]
     return f"{shared.rstrip('/')}/tidemark/{purpose}-{uuid.uuid4().hex}"

@@ -18,10 +18,6 @@ from tidemark.operators import rollups, series
 from tidemark.sources.readers import is_file
 from tidemark.sources.sinks import contains_any
 
-# large keyed state (one entry per id) belongs in RocksDB rather than on the heap
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 def file_stream(
     spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", per_trigger: int = 0
 ) -> DataFrame:
