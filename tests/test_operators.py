@@ -73,6 +73,19 @@ def test_two_events_on_one_day_do_not_multiply(study):
     assert phases == {"a": 3, "b": 3, "unassigned": 2}
 
 
+def test_pinned_frames_are_written_once_and_can_be_released(spark, study):
+    calls = []
+
+    def build():
+        calls.append(1)
+        return study.get("timeline")
+
+    first, again = study.pin("t", build), study.pin("t", build)
+    assert len(calls) == 1 and first.count() == again.count() == 8
+    study.release()
+    assert study.pin("t", build).count() == 8 and len(calls) == 2
+
+
 def test_fwd_snap_with_many_calendars(spark):
     cal = spark.createDataFrame([("x", d(1)), ("x", d(5)), ("y", d(3))], "k string, d date")
     rows = spark.createDataFrame(

@@ -135,6 +135,15 @@ class Study:
             self._pinned[name] = self.spark.read.schema(frame.schema).parquet(path)
         return self._pinned[name]
 
+    def release(self) -> None:
+        """Delete the pinned copies; frames built on them can no longer run."""
+        conf = self.spark._jsc.hadoopConfiguration()
+        for frame in self._pinned.values():
+            for file in frame.inputFiles()[:1]:
+                folder = self.spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+                folder.getFileSystem(conf).delete(folder, True)
+        self._pinned.clear()
+
     def panel(self, *series: str) -> DataFrame:
         """The named daily series side by side, keyed ``price_date`` (see ``align``)."""
         return align({name: self.get(SERIES_VIEWS[name]) for name in series}, "price_date")

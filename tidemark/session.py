@@ -30,6 +30,8 @@ def local_session(cores: int = 8, name: str = "tidemark", **extra: str) -> Spark
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.ui.enabled", "false")
+        # call-site capture costs a driver round trip per column expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "8g"))
     )
     for key, value in {**DEFAULTS, **extra}.items():

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STAMP_FORMAT = "yyyyMMddHHmmss"
 
 
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    """Union by halves: a chain would analyse the first part once per further part."""
+    if len(parts) == 1:
+        return parts[0]
+    half = len(parts) // 2
+    return union_all(parts[:half]).unionByName(union_all(parts[half:]))
+
+
 def expected_slots(bounds: DataFrame, start: str, end: str, minutes: int) -> DataFrame:
     """Every file slot from ``start`` to ``end`` inclusive, one row each.
 
@@ -95,7 +101,7 @@ def source_metrics(sources: dict[str, tuple[DataFrame, str]]) -> DataFrame:
         ).select(F.lit(name).alias("source"), "rows", "first_date", "last_date")
         for name, (frame, day) in sources.items()
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return union_all(parts)
 
 
 def coverage(rows: DataFrame, day: str) -> DataFrame:
@@ -120,7 +126,7 @@ def row_counts(frames: dict[str, DataFrame]) -> DataFrame:
         )
         for name, frame in frames.items()
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return union_all(parts)
 
 
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
