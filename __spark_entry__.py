@@ -944,12 +944,22 @@ def entry(spark: SparkSession) -> DataFrame:
     return fix(QUERIES["event_impact"](study_of(spark, SMOKE_DIR)))
 
 
+try:
+    from tidemark.llm import queries as llm
+except ModuleNotFoundError as missing:
+    # without the training-text package the other queries work as before
+    if not (missing.name or "").startswith(("tidemark.llm", "corpus_pipeline")):
+        raise
+    llm = None
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def runner(build: Callable[[SampleStudy], DataFrame]):
         return lambda spark, sf_dir: fix(build(study_of(spark, sf_dir)))
 
-    return {name: runner(build) for name, build in QUERIES.items()}
+    own = {name: runner(build) for name, build in QUERIES.items()}
+    return own | (llm.queries() if llm else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | (llm.oracle_sql() if llm else {})
