@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, quality_rules
+from tidemark.llm import exact_dedup, licenses, pii, quality_rules, token_counts
 from tidemark.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,14 +27,32 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary)
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op4_quality_rules": op4_quality_rules,
+        "op5_token_counts": op5_token_counts,
+        "op6_license_scan": op6_license_scan,
         "op7_exact_dedup": op7_exact_dedup,
+        "op9_pii": op9_pii,
     }
 
 
