@@ -6,12 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, licenses, pii, quality_rules, token_counts
+from tidemark.llm import (
+    exact_dedup,
+    licenses,
+    mixing,
+    packing,
+    pii,
+    quality_rules,
+    token_counts,
+)
 from tidemark.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(
@@ -42,16 +54,25 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_mixing": op1_mixing,
         "op4_quality_rules": op4_quality_rules,
         "op5_token_counts": op5_token_counts,
         "op6_license_scan": op6_license_scan,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_packing": op8_packing,
         "op9_pii": op9_pii,
     }
 
