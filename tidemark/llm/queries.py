@@ -12,8 +12,10 @@ from tidemark.llm import (
     mixing,
     packing,
     pii,
+    quality_crf,
     quality_rules,
     token_counts,
+    toxicity,
 )
 from tidemark.llm.shared import table
 
@@ -24,6 +26,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(
@@ -65,15 +71,21 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
+        "op3_toxicity": op3_toxicity,
         "op4_quality_rules": op4_quality_rules,
         "op5_token_counts": op5_token_counts,
         "op6_license_scan": op6_license_scan,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_packing": op8_packing,
         "op9_pii": op9_pii,
+        "op10_quality_crf": op10_quality_crf,
     }
 
 
