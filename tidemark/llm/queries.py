@@ -10,6 +10,7 @@ from tidemark.llm import (
     exact_dedup,
     licenses,
     mixing,
+    near_join,
     packing,
     pii,
     quality_crf,
@@ -26,6 +27,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -75,9 +80,16 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_jaccard_join": op2_jaccard_join,
         "op3_toxicity": op3_toxicity,
         "op4_quality_rules": op4_quality_rules,
         "op5_token_counts": op5_token_counts,
@@ -86,6 +98,7 @@ def queries() -> dict[str, Query]:
         "op8_packing": op8_packing,
         "op9_pii": op9_pii,
         "op10_quality_crf": op10_quality_crf,
+        "pipeline": pipeline,
     }
 
 
