@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import words
+from tidemark.llm.shared import saved, words
 
 CELLS = 1 << 16
 #: Pseudo-counts that draw a cell's target share to its raw share: rare n-grams decide little.
@@ -114,7 +114,8 @@ def log_ratios(docs: DataFrame, trusted: Column | None = None, cells: int = CELL
         rows.select(F.explode_outer("c").alias("cell"), F.col("y").cast("int").alias("y"))
         .where("cell IS NOT NULL")
         .groupBy("cell")
-        .agg(F.count(F.lit(1)).alias("raw"), F.sum("y").alias("target"))
+        .agg(F.count(F.lit(1)).alias("raw"), F.sum("y").alias("target")),
+        "ngram-counts",
     )
     total = counts.agg(F.sum("raw").alias("raws"), F.sum("target").alias("targets"))
     sums = total.first()
