@@ -23,12 +23,12 @@ WINDOW = 5
 
 
 def _count(pattern: str) -> Column:
-    return F.length("t").cast("long") - F.length(F.regexp_replace("t", pattern, ""))
+    return F.length("__t").cast("long") - F.length(F.regexp_replace("__t", pattern, ""))
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` plus __w (words), t (text, null as empty) and the base columns."""
-    rows = docs.withColumn("t", F.coalesce("text", F.lit(""))).withColumn("__w", words("t"))
+    """``docs`` plus __w (words), __t (text, null as empty) and the base columns."""
+    rows = docs.withColumn("__t", F.coalesce("text", F.lit(""))).withColumn("__w", words("__t"))
     n = F.size("__w")
     windows = F.when(
         n >= WINDOW,
@@ -37,7 +37,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
             lambda i: F.xxhash64(*[F.get("__w", i + k) for k in range(WINDOW)]),
         ),
     )
-    lines = F.filter(F.split("t", "\n"), lambda s: s.rlike("[^\\x20\\x09-\\x0D]"))
+    lines = F.filter(F.split("__t", "\n"), lambda s: s.rlike("[^\\x20\\x09-\\x0D]"))
     rows = rows.withColumns({"__h": windows, "__lines": lines})
     # windows by hash and place, only where some window occurs again
     ordered = F.when(
@@ -62,7 +62,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
     rows = rows.withColumns(
         {
             "n_words": n.cast("long"),
-            "word_chars": F.length(F.regexp_replace("t", "[\\x20\\x09-\\x0D]+", "")).cast("long"),
+            "word_chars": F.length(F.regexp_replace("__t", "[\\x20\\x09-\\x0D]+", "")).cast("long"),
             "n_symbols": _count("[#*$%&|<>]"),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
             "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
@@ -88,13 +88,13 @@ def ngram_cells(cells: int = CELLS) -> Column:
 
 def looks_trusted() -> Column:
     """Default target: plain running text by strict counts that need no other table."""
-    upper = F.length("t") - F.length(F.regexp_replace("t", "\\p{Lu}+", ""))
-    symbols = F.length("t") - F.length(F.regexp_replace("t", "[#*$%&|<>]+", ""))
-    lines = F.filter(F.split("t", "\n"), lambda s: s.rlike("[^\\x20\\x09-\\x0D]"))
+    upper = F.length("__t") - F.length(F.regexp_replace("__t", "\\p{Lu}+", ""))
+    symbols = F.length("__t") - F.length(F.regexp_replace("__t", "[#*$%&|<>]+", ""))
+    lines = F.filter(F.split("__t", "\n"), lambda s: s.rlike("[^\\x20\\x09-\\x0D]"))
     return (
         (F.size("__w") >= 2 * MIN_WORDS)
         & (20 * symbols < F.size("__w"))
-        & (5 * upper < F.length("t"))
+        & (5 * upper < F.length("__t"))
         & (F.size(lines) == F.size(F.array_distinct(lines)))
     )
 
@@ -105,11 +105,11 @@ def log_ratios(docs: DataFrame, trusted: Column | None = None, cells: int = CELL
     Counts cover all documents and are combined within each task, so a task sends one row
     per cell at most, whatever the number of documents.
     """
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("t")).withColumn("__w", words("t"))
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("__t")).withColumn("__w", words("__t"))
     rows = rows.select(
         ngram_cells(cells).alias("c"), (looks_trusted() if trusted is None else trusted).alias("y")
     )
-    counts = (
+    counts = saved(
         # explode_outer: explode would add a filter that works the arrays out a second time
         rows.select(F.explode_outer("c").alias("cell"), F.col("y").cast("int").alias("y"))
         .where("cell IS NOT NULL")
@@ -163,7 +163,7 @@ def quality_rules(
     return (
         rows.withColumn("score", score)
         .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
-        .drop("__w", "__c", "t")
+        .drop("__w", "__c", "__t")
     )
 
 
