@@ -26,9 +26,18 @@ def _count(pattern: str) -> Column:
     return F.length("__t").cast("long") - F.length(F.regexp_replace("__t", pattern, ""))
 
 
+def once(value: Column) -> Column:
+    """``value``, worked out in its own projection only.
+
+    A condition on the row number makes it nondeterministic to the optimizer, which then
+    neither moves filters below it nor repeats it inside the functions that read it.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def base_counts(docs: DataFrame) -> DataFrame:
     """``docs`` plus __w (words), __t (text, null as empty) and the base columns."""
-    rows = docs.withColumn("__t", F.coalesce("text", F.lit(""))).withColumn("__w", words("__t"))
+    rows = docs.withColumn("__t", F.coalesce("text", F.lit(""))).withColumn("__w", once(words("__t")))
     n = F.size("__w")
     windows = F.when(
         n >= WINDOW,
@@ -38,19 +47,19 @@ def base_counts(docs: DataFrame) -> DataFrame:
         ),
     )
     lines = F.filter(F.split("__t", "\n"), lambda s: s.rlike("[^\\x20\\x09-\\x0D]"))
-    rows = rows.withColumns({"__h": windows, "__lines": lines})
+    rows = rows.withColumns({"__h": once(windows), "__lines": once(lines)})
     # windows by hash and place, only where some window occurs again
     ordered = F.when(
         F.size(F.array_distinct("__h")) < F.size("__h"),
         F.array_sort(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("p")))),
     )
-    rows = rows.withColumn("__s", ordered)
+    rows = rows.withColumn("__s", once(ordered))
     again = F.filter(
         "__s",
         lambda x, i: ((i > 0) & (F.get("__s", i - 1)["h"] == x["h"]))
         | F.coalesce(F.get("__s", i + 1)["h"] == x["h"], F.lit(False)),
     )
-    rows = rows.withColumn("__p", F.array_sort(F.transform(again, lambda x: x["p"])))
+    rows = rows.withColumn("__p", once(F.array_sort(F.transform(again, lambda x: x["p"]))))
     covered = F.aggregate(
         F.transform(
             "__p",
@@ -65,7 +74,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
             "word_chars": F.length(F.regexp_replace("__t", "[\\x20\\x09-\\x0D]+", "")).cast("long"),
             "n_symbols": _count("[#*$%&|<>]"),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-            "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
+            "n_repeat_words": once(F.coalesce(covered, F.lit(0)).cast("long")),
         }
     )
     failed = (F.col("n_words") < MIN_WORDS) | (
@@ -105,14 +114,12 @@ def log_ratios(docs: DataFrame, trusted: Column | None = None, cells: int = CELL
     Counts cover all documents and are combined within each task, so a task sends one row
     per cell at most, whatever the number of documents.
     """
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("__t")).withColumn("__w", words("__t"))
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("__t")).withColumn("__w", once(words("__t")))
     rows = rows.select(
-        ngram_cells(cells).alias("c"), (looks_trusted() if trusted is None else trusted).alias("y")
+        once(ngram_cells(cells)).alias("c"), (looks_trusted() if trusted is None else trusted).alias("y")
     )
     counts = saved(
-        # explode_outer: explode would add a filter that works the arrays out a second time
-        rows.select(F.explode_outer("c").alias("cell"), F.col("y").cast("int").alias("y"))
-        .where("cell IS NOT NULL")
+        rows.select(F.explode("c").alias("cell"), F.col("y").cast("int").alias("y"))
         .groupBy("cell")
         .agg(F.count(F.lit(1)).alias("raw"), F.sum("y").alias("target")),
         "ngram-counts",
@@ -157,11 +164,11 @@ def quality_rules(
     """
     values = log_ratios(docs, trusted, cells)
     table = F.split(F.lit(values), ",").cast("array<double>")  # folded to one constant
-    rows = base_counts(docs).withColumn("__c", ngram_cells(cells))
+    rows = base_counts(docs).withColumn("__c", once(ngram_cells(cells)))
     total = F.aggregate("__c", F.lit(0.0), lambda a, c: a + F.get(table, c))
     score = F.when(F.size("__c") > 0, F.round(total / F.size("__c"), 6)).otherwise(F.lit(0.0))
     return (
-        rows.withColumn("score", score)
+        rows.withColumn("score", once(score))
         .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
         .drop("__w", "__c", "__t")
     )
@@ -171,9 +178,4 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that ``quality_rules`` keeps, with the columns of ``docs``."""
     names = [F.col(f"`{c}`") for c in docs.columns]
     rows = quality_rules(docs.select(F.struct(*names).alias("doc"), "doc_id", "text"), **options)
-    # the row number keeps the filter above the projection, whose arrays it would repeat
-    return (
-        rows.withColumn("__row", F.monotonically_increasing_id())
-        .where(F.col("kept") & (F.col("__row") >= 0))
-        .select("doc.*")
-    )
+    return rows.where("kept").select("doc.*")
