@@ -235,7 +235,7 @@ register(
     """SELECT CAST(json_extract_string(props, '$.k') AS INT) AS k, COUNT(*) AS n_rows
        FROM events GROUP BY 1""",
 )
-INGEST = ("ECON_OIL", "ENV_NATGAS", "ARMEDCONFLICT")
+INGEST = tuple(bindings.SAMPLE_CONFIG.theme_tokens.values())
 register(
     "ingest_token_filter",
     lambda s: s.get("gdelt_gkg")
@@ -368,9 +368,9 @@ register(
         F.col("gb_power_avg_t").alias("power_t"),
     ),
     """SELECT event_date, day AS t0_date,
-       (SELECT MAX(brent_close) FROM brent WHERE price_date = day) AS brent_t,
-       (SELECT MAX(ttf_close) FROM ttf WHERE price_date = day) AS ttf_t,
-       (SELECT MAX(gb_power_avg) FROM gb_power WHERE price_date = day) AS power_t
+       (SELECT brent_close FROM brent WHERE price_date = day) AS brent_t,
+       (SELECT ttf_close FROM ttf WHERE price_date = day) AS ttf_t,
+       (SELECT gb_power_avg FROM gb_power WHERE price_date = day) AS power_t
        FROM targets WHERE k = 0""",
     "brent_t",
     "ttf_t",
@@ -622,10 +622,11 @@ register(
         rollups.conflict_rows(
             bindings.url_rows(s.raw("documents")), s.cfg.countries, s.cfg.conflict_classes
         ),
-        5,
+        s.cfg.top_urls_per_day,
     ),
-    """SELECT * FROM url_days QUALIFY ROW_NUMBER() OVER (PARTITION BY day
-       ORDER BY nummentions DESC NULLS LAST, source_url) <= 5""",
+    f"""SELECT * FROM url_days QUALIFY ROW_NUMBER() OVER (PARTITION BY day
+       ORDER BY nummentions DESC NULLS LAST, source_url)
+       <= {bindings.SAMPLE_CONFIG.top_urls_per_day}""",
 )
 
 # ---- statistics ----
@@ -886,15 +887,17 @@ register(
     lambda s: jobs.count_late(
         event_stream(s).select(
             F.to_date("ts").alias("file_date"),
-            F.date_sub(F.to_date("ts"), F.when(F.col("mentions") < 5, 2).otherwise(0)).alias(
-                "event_date"
-            ),
+            F.when(
+                F.col("mentions").isNotNull(),
+                F.date_sub(F.to_date("ts"), F.when(F.col("mentions") < 5, 2).otherwise(0)),
+            ).alias("event_date"),
         ),
         *in_run_dir(s, "late"),
     ),
     """SELECT CAST(ts AS DATE) AS file_date,
-       COUNT(*) FILTER (WHERE mentions IS NULL OR mentions >= 5) AS on_time,
-       COUNT(*) FILTER (WHERE mentions < 5) AS late FROM gdelt GROUP BY 1""",
+       COUNT(*) FILTER (WHERE mentions >= 5) AS on_time,
+       COUNT(*) FILTER (WHERE mentions < 5) AS late,
+       COUNT(*) FILTER (WHERE mentions IS NULL) AS undated FROM gdelt GROUP BY 1""",
 )
 register(
     "stream_once_per_id",

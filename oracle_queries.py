@@ -363,8 +363,8 @@ CTES: dict[str, str] = {
             {", ".join(f"COUNT(*) FILTER (WHERE root_code = '{v}') AS {k}" for k, v in CFG.root_counts.items())}
         FROM conflict GROUP BY 1""",
     "articles": f"""SELECT doc_id AS article_id, {DOC_DAY} AS event_date,
-            CASE WHEN source <> 'src3' THEN {listed("text", b.THEME_OF_TEXT)} END AS themes,
-            CASE WHEN lang <> 'de' THEN {listed("text", b.PLACE_OF_TEXT)} END AS locations,
+            CASE WHEN doc_id % 100 <> 3 THEN {listed("text", b.THEME_OF_TEXT)} END AS themes,
+            CASE WHEN doc_id % 100 <> 7 THEN {listed("text", b.PLACE_OF_TEXT)} END AS locations,
             CASE WHEN source = 'src5' THEN {TONE_HEAD} ELSE {TONE_HEAD} || ',' ||
                 ({num("n_chars % 3", "doc_id % 4")}) || ',' || CAST(n_chars AS VARCHAR) END AS tone,
             concat_ws(',', {SCORES}) AS scores
@@ -478,7 +478,7 @@ CTES: dict[str, str] = {
             SELECT source_url, day, nummentions FROM url_days u
             WHERE EXISTS (SELECT 1 FROM timeline t WHERE ABS(date_diff('day', t.event_date, u.day)) <= 7)
             QUALIFY ROW_NUMBER() OVER (PARTITION BY day
-                ORDER BY nummentions DESC NULLS LAST, source_url) <= 5)""",
+                ORDER BY nummentions DESC NULLS LAST, source_url) <= {b.SAMPLE_CONFIG.top_urls_per_day})""",
     "window_slugs": "SELECT * FROM window_urls WHERE length(slug) >= 6",
 }
 

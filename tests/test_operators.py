@@ -268,3 +268,40 @@ def test_stream_equals_batch_on_closed_days(spark, tmp_path):
     assert all(v == (10, 20) for v in got.values())
     once = jobs.once_per_id(jobs.file_stream(spark, src, frame.schema).union(jobs.file_stream(spark, src, frame.schema)), "event_id")
     assert jobs.run_to_files(once, str(tmp_path / "o2"), str(tmp_path / "c2")).count() == 100
+
+
+def test_align_fails_on_two_rows_of_a_day(spark):
+    day = date(2024, 1, 2)
+    one = spark.createDataFrame([(day, 100.0), (day, 140.0)], "d date, a double")
+    two = spark.createDataFrame([(day, 1.0)], "d date, b double")
+    with pytest.raises(Exception, match="series one has more than one row on 2024-01-02"):
+        series.align({"one": one, "two": two}, "d").collect()
+    with pytest.raises(Exception, match="series one has more than one row"):
+        series.align({"one": one, "two": two}, "d").select("d", "a").collect()
+    row = series.align({"one": one.limit(1), "two": two}, "d").first()
+    assert row.has_one and row.has_two and row.b == 1.0
+
+
+def write_slots(spark, folder, slots):
+    for name, rows in slots.items():
+        frame = spark.createDataFrame(rows, "event_id long, file_date date, event_date date")
+        frame.coalesce(1).write.parquet(f"{folder}/{name}")
+
+
+def test_late_counts_add_up_over_batches_and_restarts(spark, tmp_path):
+    day, before = date(2024, 1, 2), date(2024, 1, 1)
+    schema = spark.createDataFrame([], "event_id long, file_date date, event_date date").schema
+    source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    (tmp_path / "in").mkdir()
+
+    def run():
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+        rows = stream.option("maxFilesPerTrigger", 1).parquet(source)
+        return {r.file_date: tuple(r)[1:] for r in jobs.count_late(rows, out, mark).collect()}
+
+    assert run() == {}  # no files yet
+    write_slots(spark, source, {"a": [(1, day, day), (2, day, before)], "b": [(3, day, None)]})
+    assert run() == {day: (1, 1, 1)}
+    write_slots(spark, source, {"c": [(4, day, day)], "d": [(5, before, before)]})
+    assert run() == {day: (2, 1, 1), before: (1, 0, 0)}
+    assert run() == {day: (2, 1, 1), before: (1, 0, 0)}  # nothing new, nothing counted twice

@@ -13,8 +13,15 @@ def as_column(c: Column | str) -> Column:
 
 
 def round_half_up(value: Column | str, digits: int) -> Column:
-    """Round by way of a 10-place decimal, so binary noise cannot move a decimal tie."""
-    return F.round(as_column(value).try_cast(DECIMAL), digits).cast("double")
+    """Round by way of a 10-place decimal, so binary noise cannot move a decimal tie.
+
+    A finite value too large for the decimal has no digits after the point and stays.
+    """
+    value = as_column(value).cast("double")
+    large = (F.abs(value) >= 1e27) & (F.abs(value) < float("inf"))
+    return F.coalesce(
+        F.round(value.try_cast(DECIMAL), digits).cast("double"), F.when(large, value)
+    )
 
 
 def round_half_even(value: Column | str, digits: int) -> Column:

@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import as_column
 
 # The slug rules.
-PATH_OF_URL = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
+# A host with one bracket only is no URL: no path, as the standard parser rejects it.
+PATH_OF_URL = (
+    r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?+"
+    r"(?://[^/?#\[\]]*(?:\[[^/?#\[\]]*\][^/?#\[\]]*)?(?=[/?#]|$)|(?!//))([^?#]*)"
+)
 PAGE_EXTENSION = r"(?i)\.(html?|php|aspx)$"
 DATE_PIECES = r"(?U)(?=\d)\b(20\d{2}|0?[1-9]|1[0-2]|[12]\d|3[01])\b"
 NUMBER = r"(-?[\d.]+)"

@@ -22,20 +22,22 @@ def align(frames: Mapping[str, DataFrame], day: str) -> DataFrame:
     """Outer-align daily frames on ``day``: one union and one aggregation for any number.
 
     ``has_<name>`` tells whether that frame has a row for the day, so inner- and left-join
-    semantics are both a filter away. Each frame must hold one row per day.
+    semantics are both a filter away. Each frame must hold one row per day; reading a day of a
+    frame with more rows fails the query.
     """
-    parts = []
-    measures: list[str] = []
+    parts, out = [], []
     for name, frame in frames.items():
         parts.append(frame.withColumn(f"has_{name}", F.lit(True)))
-        measures += [c for c in frame.columns if c != day] + [f"has_{name}"]
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return stacked.groupBy(day).agg(
-        *[
-            F.coalesce(F.max(c), F.lit(False)).alias(c) if c.startswith("has_") else F.max(c).alias(c)
-            for c in measures
+        rows = F.count_if(f"has_{name}")
+        twice = F.raise_error(
+            F.concat(F.lit(f"series {name} has more than one row on "), F.first(day).cast("string"))
+        )
+        out += [
+            F.when(rows > 1, twice).otherwise(F.max(c)).alias(c) for c in frame.columns if c != day
         ]
-    )
+        out.append(F.when(rows > 1, twice).otherwise(rows == 1).alias(f"has_{name}"))
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.groupBy(day).agg(*out)
 
 
 def daily_mean(rows: DataFrame, day: Column, value: Column | str, out: str, positive=True):

@@ -107,26 +107,38 @@ def ingest_filter(stream: DataFrame, text: str, tokens: Sequence[str]) -> DataFr
     return stream.filter(contains_any(text, tokens))
 
 
+def batch_files(spark: SparkSession, out: str, schema: str) -> DataFrame:
+    """What the batches wrote under ``out``; no rows where no batch has run yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)
+
+
 def count_late(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """On-time and late rows per file day; late means the event day precedes the file day.
+    """On-time, late and undated rows per file day; late means the event day precedes it.
 
-    Each batch writes its counts into a folder named by its id, so a repeated batch replaces
-    its own counts.
+    The three counts of a day add up to its rows. Each batch writes its counts into a folder
+    named by its id, so a repeated batch replaces its own counts. A stream without files yet
+    gives no rows.
     """
     spark = stream.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         late = F.col("event_date") < F.col("file_date")
         counts = batch.groupBy("file_date").agg(
-            F.count_if(~late).alias("on_time"), F.count_if(late).alias("late")
+            F.count_if(~late).alias("on_time"),
+            F.count_if(late).alias("late"),
+            F.count_if(late.isNull()).alias("undated"),
         )
         counts.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     run_batches(stream, handle, checkpoint)
+    counts = ("on_time", "late", "undated")
+    schema = "file_date date, " + ", ".join(f"{c} long" for c in counts)
     return (
-        spark.read.parquet(out)
+        batch_files(spark, out, schema)
         .groupBy("file_date")
-        .agg(F.sum("on_time").alias("on_time"), F.sum("late").alias("late"))
+        .agg(*[F.sum(c).alias(c) for c in counts])
     )
 
 
@@ -142,7 +154,7 @@ def burst_on_closed_days(
         )
 
     run_batches(daily_rollup(stream, delay), handle, checkpoint)
-    closed = spark.read.parquet(out).select("event_date", "event_count")
+    closed = batch_files(spark, out, "event_date date, event_count long")
     return series.burst(closed, "event_date", "event_count", rows)
 
 
