@@ -305,3 +305,50 @@ def test_late_counts_add_up_over_batches_and_restarts(spark, tmp_path):
     write_slots(spark, source, {"c": [(4, day, day)], "d": [(5, before, before)]})
     assert run() == {day: (2, 1, 1), before: (1, 0, 0)}
     assert run() == {day: (2, 1, 1), before: (1, 0, 0)}  # nothing new, nothing counted twice
+
+
+def test_split_ranks_equal_one_window(spark):
+    rng = np.random.default_rng(8)
+    rows = [
+        (str(g) if g else None, float(a), float(b))
+        for g, a, b in zip(rng.integers(0, 3, 400), rng.integers(0, 40, 400), rng.normal(size=400))
+    ]
+    frame = spark.createDataFrame(rows, "g string, a double, b double")
+    key = lambda r: (str(r.g), r.x, r.y)
+    pairs = [("a", "b"), ("b", "a")]
+    one = sorted(correlation.both_methods(frame, pairs, ["g"]).collect(), key=key)
+    split = sorted(correlation.both_methods(frame, pairs, ["g"], buckets=5).collect(), key=key)
+    assert len(one) == len(split) == 6
+    for a, b in zip(one, split, strict=True):
+        assert (a.g, a.x, a.y, a.n) == (b.g, b.x, b.y, b.n)
+        assert a.pearson == pytest.approx(b.pearson)
+        if a.g is not None:
+            assert a.spearman == pytest.approx(b.spearman)
+
+
+def test_second_scoring_run_appends_nothing(spark, tmp_path):
+    path = str(tmp_path / "scores")
+    rows = [(f"https://e.com/{i}", date(2024, 1, 1 + i % 5), f"the good und {i}") for i in range(40)]
+    urls = spark.createDataFrame(rows, "source_url string, day date, slug string")
+    assert scoring.append_scores(urls.limit(25), path, make_lexicon_scorer, 10) == 25
+    assert scoring.append_scores(urls, path, make_lexicon_scorer, 10) == 15
+    assert scoring.append_scores(urls, path, make_lexicon_scorer, 10) == 0
+    scores = spark.read.parquet(path)
+    assert scores.count() == scores.select("source_url").distinct().count() == 40
+
+
+def test_lexicon_scorer_counts_word_shares():
+    scorer = scoring.LexiconScorer(("good",), ("bad",))
+    texts = ["Good day", "bad bad", "", "plain words here"]
+    for text, got in zip(texts, scorer(texts), strict=True):
+        words = text.lower().split(" ")
+        parts = np.exp([8 * words.count("good") / len(words), 0.5, 8 * words.count("bad") / len(words)])
+        assert got == pytest.approx(tuple(parts / parts.sum()))
+    assert scorer([]) == []
+
+
+def test_sweep_reports_what_cannot_be_built(spark):
+    frame = spark.createDataFrame([(date(2024, 1, 2), 80.0)], "price_date date, brent_close double")
+    got = {r.object: (r.n_rows, r.is_empty) for r in Study(spark, {"brent": frame}).sweep().collect()}
+    assert got["brent"] == (1, False) and got["v_brent_daily"] == (1, False)
+    assert got["ttf"] == (None, None) and got["v_ttf_daily"] == (None, None)

@@ -109,12 +109,24 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearso
     ).select("_p.x", "_p.y", "n", "r")
 
 
-def both_methods(df: DataFrame, pairs: Sequence[Pair], by: Sequence[str] = ()) -> DataFrame:
-    """Pearson and Spearman in one pass: (by..., x, y, n, pearson, spearman, r_squared).
+def both_methods(
+    df: DataFrame, pairs: Sequence[Pair], by: Sequence[str] = (), buckets: int | None = None
+) -> DataFrame:
+    """Pearson and Spearman: (by..., x, y, n, pearson, spearman, r_squared).
 
-    For frames with one row per day or event, as each (pair, group) is ranked in one window.
+    Without ``buckets`` one pass ranks each (pair, group) in one window: for frames with one
+    row per day. With ``buckets``, as event-level frames need, ranks come from split value
+    histograms (see ``spearman_pairs``) and no task sorts all rows of a pair.
     """
     group = [*by, "x", "y"]
+    if buckets is not None:
+        straight = pearson_pairs(df, pairs, by).withColumnRenamed("r", "pearson")
+        ranked = spearman_pairs(df, pairs, by, buckets).select(*group, F.col("r").alias("spearman"))
+        same = [straight[c].eqNullSafe(ranked[c]) for c in group]  # a group may have no label
+        both = straight.join(ranked, same, "left").select(
+            *[straight[c] for c in group], "n", "pearson", "spearman"
+        )
+        return both.withColumn("r_squared", F.col("pearson") * F.col("pearson"))
     measured = (
         with_average_ranks(long_pairs(df, pairs, by), group)
         .groupBy(*group)

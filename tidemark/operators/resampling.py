@@ -32,12 +32,14 @@ def bootstrap_corr(
     either column have no r and are left out."""
     spark = df.sparkSession
     clean = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(order, x, y)
-    size = clean.agg(F.count(F.lit(1)).alias("_n")).scalar()
-    slots = spark.range(n_iter).select(
-        F.col("id").alias("iter"),
-        F.explode(F.when(size > 0, F.sequence(F.lit(0).cast("bigint"), size - 1))).alias("_slot"),
+    size = clean.count()  # each slot of each iteration is a row: no array grows with the events
+    slots = spark.range(n_iter * size).select(
+        F.floor(F.col("id") / max(1, size)).cast("bigint").alias("iter"),
+        (F.col("id") % max(1, size)).alias("_slot"),
+    )
+    picks = slots.select(
+        "iter", (draw(seed, F.col("iter"), F.col("_slot")) % max(1, size)).alias("_i")
     )
-    picks = slots.select("iter", (draw(seed, F.col("iter"), F.col("_slot")) % size).alias("_i"))
     return (
         picks.join(indexed(clean, order), "_i")
         .groupBy("iter")

@@ -114,6 +114,17 @@ def regime_rows(study: Study) -> DataFrame:
     return study.get("v_event_impact_regime").dropna(subset=list(MOVES))
 
 
+#: Ranges into which ranks of event-level frames are split.
+EVENT_BUCKETS = 8
+
+
+def pinned_regime_rows(study: Study) -> DataFrame:
+    """The measures of the event rows, written once: ranks and moments both pass over them."""
+    return study.pin(
+        "regime_rows", lambda: regime_rows(study).select("regime", "gas_share_pct", *MOVES)
+    )
+
+
 def regime_summary(study: Study) -> DataFrame:
     cols = dict(zip(IMPACT_SERIES, MOVES, strict=True))
     share = round_half_up(F.avg("gas_share_pct"), 1).alias("gas_share_mean")
@@ -121,12 +132,12 @@ def regime_summary(study: Study) -> DataFrame:
 
 
 def regime_corr(study: Study) -> DataFrame:
-    return correlation.both_methods(regime_rows(study), MOVE_PAIRS, ["regime"])
+    return correlation.both_methods(pinned_regime_rows(study), MOVE_PAIRS, ["regime"], EVENT_BUCKETS)
 
 
 def share_vs_move_corr(study: Study) -> DataFrame:
     pairs = [("gas_share_pct", move) for move in MOVES]
-    return correlation.both_methods(regime_rows(study), pairs)
+    return correlation.both_methods(pinned_regime_rows(study), pairs, buckets=EVENT_BUCKETS)
 
 
 def describe_shares(study: Study) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -168,10 +170,26 @@ class Study:
         return [name for name in build_order() if self.missing(name)]
 
     def sweep(self) -> DataFrame:
-        """Row count of every table and buildable view, flagged when empty."""
-        return quality.row_counts(
-            {name: self.get(name) for name in (*self.sources, *self.available())}
-        )
+        """Row count of every table and view, flagged when empty.
+
+        Objects that cannot be built, as a table is absent or their definition fails, have a
+        row without count and flag instead of ending the sweep.
+        """
+        absent = {m: None for n in build_order() for m in self.missing(n)}
+        good, failed = {}, [*absent, *(n for n in build_order() if self.missing(n))]
+        for name in (*self.sources, *self.available()):
+            try:
+                good[name] = self.get(name)
+                good[name].schema  # noqa: B018  analysis happens here
+            except Exception as why:  # noqa: BLE001  any failure of one object is its own
+                logging.getLogger(__name__).warning("%s cannot be built: %s", name, why)
+                good.pop(name, None)
+                failed.append(name)
+        parts = [quality.row_counts(good)] if good else []
+        if failed:
+            schema = "object string, n_rows long, is_empty boolean"
+            parts.append(self.spark.createDataFrame([(n, None, None) for n in failed], schema))
+        return reduce(DataFrame.unionByName, parts)
 
     def columns(self) -> list[tuple[str, str, str]]:
         """(object, column, type) of everything available; schemas only, no job runs."""

@@ -45,10 +45,14 @@ def run_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh directory for one run, under the shared folder named by the session.
 
     Executors on other hosts must see it, so a machine-local temporary folder is only
-    used where the session names no folder, as in tests.
+    used where the session names no folder and runs on one machine, as in tests; elsewhere a
+    session without a folder fails here.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set spark.checkpoint.dir to a shared folder; the master is {master}")
         if not _fallback:
             _fallback.append(tempfile.mkdtemp(prefix="tidemark-"))
         shared = _fallback[0]
