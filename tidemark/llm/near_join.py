@@ -28,7 +28,7 @@ RECALL = 0.9999
 BLOCK = 512
 #: Id lists above this number of rows are joined by a shuffle, not broadcast.
 BROADCAST_ROWS = 1_000_000
-WORD_MEMO = 1_000_000
+WORD_MEMO = 250_000
 
 
 def prefix_length(trees: int, label: int, threshold: float, recall: float) -> int:

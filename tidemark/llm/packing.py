@@ -24,7 +24,7 @@ from tidemark.llm.shared import map_texts, saved
 CAPACITY = 1024
 END_ID = 2
 #: Chunks of text whose ids a task remembers.
-MEMO = 400_000
+MEMO = 200_000
 #: Ranks within one length are numbered in so many parts at least, of so many rows about.
 PARTS, ROWS_PER_PART = 64, 200_000
 

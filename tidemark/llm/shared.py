@@ -14,6 +14,9 @@ from tidemark.session import run_dir
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 512
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -47,8 +50,13 @@ def map_texts(
 ) -> DataFrame:
     """``work`` turns an iterator of rows (tuples of ``columns``) into rows of ``schema``.
 
-    Rows pass one Arrow batch at a time, so a task holds one batch, not its partition.
+    Rows pass one Arrow batch at a time, so a task holds one batch, not its partition. Batches
+    of whole texts are kept small: the session's bound on their rows is lowered where it is
+    above ``BATCH_ROWS``.
     """
+    conf = frame.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_CONF, "10000")) <= BATCH_ROWS:
+        conf.set(BATCH_CONF, str(BATCH_ROWS))
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
     fields = frame.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -58,8 +66,8 @@ def map_texts(
     def run(batches):
         def rows():
             for batch in batches:
-                for start in range(0, batch.num_rows, 512):  # few Python strings at a time
-                    part = batch.slice(start, 512)
+                for start in range(0, batch.num_rows, 128):  # few Python strings at a time
+                    part = batch.slice(start, 128)
                     yield from zip(*[part.column(i).to_pylist() for i in range(part.num_columns)])
 
         def batch_of(held):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from tidemark.llm.shared import map_texts
 
 #: Words counted per task that are remembered.
-MEMO = 400_000
+MEMO = 200_000
 
 
 def read_vocabulary(path: str) -> list[bytes]:

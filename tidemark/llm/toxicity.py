@@ -242,7 +242,7 @@ def toxicity(
             for w in terms(text):
                 have = memo.get(w)
                 if have is None:
-                    if len(memo) >= 500_000:
+                    if len(memo) >= 200_000:
                         memo.clear()
                     have = memo[w] = tuple(s for s in shapes(w) if s in weights)
                 if have:
