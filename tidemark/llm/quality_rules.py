@@ -16,7 +16,7 @@ from tidemark.llm.shared import saved, words
 CELLS = 1 << 16
 #: Pseudo-counts that draw a cell's target share to its raw share: rare n-grams decide little.
 PRIOR = 20.0
-THRESHOLD = -0.15
+THRESHOLD = -0.18
 MIN_WORDS = 10
 MAX_REPEAT_PCT = 20
 WINDOW = 5
