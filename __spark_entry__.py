@@ -948,7 +948,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 try:
-    from tidemark.llm import queries as llm
+    import tidemark.llm.queries as llm
 except ModuleNotFoundError as missing:
     # without the training-text package the other queries work as before
     if not (missing.name or "").startswith(("tidemark.llm", "corpus_pipeline")):
