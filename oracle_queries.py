@@ -51,7 +51,8 @@ WORDS = ", ".join(f"CASE WHEN contains(text, '{w}') THEN '{w}' END" for w in b.T
 DOC_URL = (
     f"'https://e.com/' || source || '/' || concat_ws('-', {WORDS}, md5(text), '2024-01-05.html')"
 )
-DOC_DAY = "DATE '1998-01-01' + CAST(doc_id % 120 AS INT)"
+DOC_DAY = """DATE '1998-01-01' + CAST(CASE WHEN doc_id % 3 = 0 AND lang = 'en'
+    THEN 4 + 7 * ((doc_id // 3) % 3) WHEN doc_id % 3 = 0 THEN 32 ELSE doc_id % 120 END AS INT)"""
 
 
 def slug_sql(url: str) -> str:
@@ -245,7 +246,7 @@ CTES: dict[str, str] = {
             AVG(o_totalprice) / {b.BRENT_SCALE} AS brent_close
         FROM orders WHERE isodow(o_orderdate) <= 5 GROUP BY 1""",
     "ttf": f"""SELECT CAST(l_shipdate AS DATE) AS price_date,
-            AVG(l_extendedprice / {b.TTF_SCALE}) AS ttf_close
+            AVG(l_tax * {b.TTF_SCALE}) AS ttf_close
         FROM lineitem WHERE isodow(l_shipdate) <= 5 GROUP BY 1""",
     "gb_power": f"""SELECT CAST(l_shipdate AS DATE) AS price_date,
             AVG(l_extendedprice * (1 - l_discount) / {b.POWER_SCALE}) AS gb_power_avg
@@ -258,7 +259,9 @@ CTES: dict[str, str] = {
         FROM carbon_raw CROSS JOIN (SELECT krbn_close AS base FROM carbon_raw
             WHERE price_date >= DATE '1995-01-02' ORDER BY price_date LIMIT 1)""",
     "timeline": f"""SELECT event_date, 'order-' || CAST(o_orderkey AS VARCHAR) AS label,
-            {case_of("o_orderstatus", b.PHASE_OF_STATUS)} AS phase
+            CASE WHEN o_orderkey % 5 = 0 THEN NULL
+                WHEN o_orderstatus = 'F' AND o_orderkey % 2 = 1 THEN 'de-escalation'
+                ELSE {case_of("o_orderstatus", b.PHASE_OF_STATUS)} END AS phase
         FROM (SELECT CAST(o_orderdate AS DATE) AS event_date, o_orderkey, o_orderstatus,
                 ROW_NUMBER() OVER (PARTITION BY CAST(o_orderdate AS DATE)
                     ORDER BY o_totalprice DESC, o_orderkey) AS pos

@@ -7,8 +7,10 @@ import pytest
 from compare import difference, oracle_connection
 
 import __spark_entry__ as entry
+from tidemark.plans import bindings
 
 SF_DIR = os.environ.get("TIDEMARK_TEST_SF", "/root/testdata/sf0.001")
+BRANCH_DIR = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no sample tables")
 
 
@@ -33,3 +35,19 @@ def test_entry_runs(spark):
     frame = entry.entry(spark)
     assert "brent_pct_3d" in frame.columns and frame.count() > 0
 
+
+
+@pytest.mark.parametrize(
+    "name, column, labels",
+    [
+        ("dominance_label", "dominant", {"LNG-dominant", "Oil-dominant", "mixed/low"}),
+        ("implied_inverse_daily", "basis_regime", None),
+        ("event_impact_phase", "phase", {*bindings.PHASE_OF_STATUS.values(), "unassigned"}),
+    ],
+)
+def test_sample_tables_reach_every_branch(name, column, labels):
+    con = oracle_connection(BRANCH_DIR)
+    sql = entry.oracle_sql()[name]
+    found = {r[0] for r in con.execute(f"SELECT DISTINCT {column} FROM ({sql})").fetchall()}
+    assert found == labels if labels else len(found) > 1
+    assert con.execute(f"SELECT count(*) FROM ({entry.oracle_sql()['spike_days']})").fetchone()[0]

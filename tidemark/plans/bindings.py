@@ -23,7 +23,7 @@ COUNTRY_CODES = (
 )
 ROOT_CODES = ("13", "14", "17", "18", "19", "20", "04", "05")
 CLASS_OF_TYPE = {"click": "1", "view": "2", "error": "3", "purchase": "4", "signup": "3"}
-PHASE_OF_STATUS = {"F": "war-risk repricing", "O": "supply destruction"}
+PHASE_OF_STATUS = {"F": "war-risk repricing", "O": "supply destruction", "P": "de-escalation"}
 CATEGORY_OF_TYPE = {
     "ECONOMY": "gas",
     "SMALL": "gas",
@@ -55,7 +55,7 @@ PLACE_OF_TEXT = {
     "ble": "4#Bandar Abbas#IR",
 }
 # scales that bring the series to the size of energy prices, so thresholds split them
-BRENT_SCALE, TTF_SCALE, POWER_SCALE = 2500.0, 1000.0, 500.0
+BRENT_SCALE, TTF_SCALE, POWER_SCALE = 2500.0, 950.0, 500.0
 VALUE_OF = {
     "brent": "brent_close",
     "ttf": "ttf_close",
@@ -117,8 +117,9 @@ def brent(orders: DataFrame) -> DataFrame:
     )
 
 
-def gross_price() -> Column:
-    return F.col("l_extendedprice") / TTF_SCALE
+def linked_price() -> Column:
+    # another column than the target's, so that the two series can part
+    return F.col("l_tax") * TTF_SCALE
 
 
 def net_price() -> Column:
@@ -130,7 +131,7 @@ def ttf(lineitem: DataFrame) -> DataFrame:
     return (
         lineitem.filter(is_weekday(day))
         .groupBy(day.alias("price_date"))
-        .agg(F.avg(gross_price()).alias("ttf_close"))
+        .agg(F.avg(linked_price()).alias("ttf_close"))
     )
 
 
@@ -142,12 +143,12 @@ def linked_and_target(lineitem: DataFrame) -> DataFrame:
     """Both line-item series from one scan and one aggregation."""
     rows = lineitem.select(
         F.to_date("l_shipdate").alias("price_date"),
-        gross_price().alias("_gross"),
+        linked_price().alias("_linked"),
         net_price().alias("_net"),
     )
     weekday = is_weekday(F.col("price_date"))
     return rows.groupBy("price_date").agg(
-        F.avg(F.when(weekday, F.col("_gross"))).alias("ttf_close"),
+        F.avg(F.when(weekday, F.col("_linked"))).alias("ttf_close"),
         F.avg(F.when(F.col("_net") > 0, F.col("_net"))).alias("gb_power_avg"),
     )
 
@@ -208,6 +209,7 @@ def anchor_and_carbon(orders: DataFrame, cfg: StudyConfig) -> DataFrame:
 
 def timeline(orders: DataFrame) -> DataFrame:
     """One event on the last day of each month: the highest-priced order of that day."""
+    key, status = F.col("_o.o_orderkey"), F.col("_o.o_orderstatus")
     day = F.to_date("o_orderdate")
     best = F.max_by(
         F.struct("o_orderkey", "o_orderstatus"), F.struct("o_totalprice", -F.col("o_orderkey"))
@@ -219,7 +221,11 @@ def timeline(orders: DataFrame) -> DataFrame:
         .select(
             "event_date",
             F.concat(F.lit("order-"), F.col("_o.o_orderkey").cast("string")).alias("label"),
-            mapped("_o.o_orderstatus", PHASE_OF_STATUS).alias("phase"),
+            # some events have no phase; a closed status with an odd key counts as de-escalation
+            F.when(key % 5 == 0, None)
+            .when((status == "F") & (key % 2 == 1), PHASE_OF_STATUS["P"])
+            .otherwise(mapped("_o.o_orderstatus", PHASE_OF_STATUS))
+            .alias("phase"),
         )
     )
 
@@ -252,7 +258,16 @@ def event_rows(events: DataFrame) -> DataFrame:
 
 
 def document_day() -> Column:
-    return F.date_add(F.lit(date(1998, 1, 1)), (F.col("doc_id") % 120).cast("int"))
+    """A third of the documents on four busy Mondays, three of one language, so that days
+    stand out from the rest; the others spread over 120 days."""
+    i = F.col("doc_id")
+    busy = i % 3 == 0
+    offset = (
+        F.when(busy & (F.col("lang") == "en"), 4 + 7 * (F.floor(i / 3) % 3))
+        .when(busy, 32)
+        .otherwise(i % 120)
+    )
+    return F.date_add(F.lit(date(1998, 1, 1)), offset.cast("int"))
 
 
 def listed(text: Column, mapping: dict[str, str]) -> Column:
