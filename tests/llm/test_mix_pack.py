@@ -77,17 +77,27 @@ def test_write_shards(odd, spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == drawn.count()
 
 
-def test_chunked_ids_equal_whole_texts():
-    encoder = packing.ChunkTokenizer(open(PATH, encoding="utf-8").read())
+def test_ids_equal_those_of_the_definition(spark):
+    encoder = packing.Encoder(open(PATH, encoding="utf-8").read())
+    assert encoder.ranked is not None
     whole = Tokenizer.from_file(PATH)
     rng = np.random.default_rng(2)
     parts = ["a", "b'", "'s", " ", "  ", "\n", "\t", "\x1c", "é", "1", ".", "　", "<|endoftext|>", "!", " the"]
-    for _ in range(4000):
-        text = "".join(rng.choice(parts, rng.integers(1, 9)))
+    texts = ["".join(rng.choice(parts, rng.integers(1, 9))) for _ in range(4000)]
+    texts += [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    for text in texts:
         want = np.asarray(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         assert encoder.encode(text) == want, repr(text)
 
 
+def test_other_tokenizers_are_not_ranked():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = packing.Encoder(open(path, encoding="utf-8").read())
+    want = Tokenizer.from_file(path).encode("Some text here", add_special_tokens=False).ids
+    assert encoder.ranked is None
+    assert encoder.encode("Some text here") == np.asarray(want, "<u4").tobytes()
+
+
 def test_plan_uses_every_piece_and_fills_well():
     rng = np.random.default_rng(1)
     histogram = np.bincount(np.append(rng.integers(1, 1025, 3000), [1024] * 500), minlength=1025)
