@@ -19,7 +19,7 @@ from tidemark.llm.shared import crc_of_id, map_texts
 
 #: Bounds of the sample that reaches the driver: rows with a training label, and rows whose
 #: label, if any, is not used.
-LABELLED, UNLABELLED = 6_000, 2_000
+LABELLED, UNLABELLED = 4_000, 1_000
 PREFIXES = (3, 4, 5, 6)
 VOTERS = 48
 #: Features of the linear classifier, by how far they separate the posterior labels.
