@@ -93,3 +93,25 @@ def test_label_model_weighs_accurate_voters_and_discounts_copies():
     post = toxicity.label_model(votes, known)
     # the six copies of a poor voter don't outvote three good ones
     assert ((post > 0.5) == y).mean() > 0.9
+
+
+def test_wording_of_any_unlabelled_row_reaches_the_classifier(spark):
+    from pyspark.sql import functions as F
+
+    def filler(i):
+        return " ".join(f"plain{chr(97 + i * k % 23)}{chr(97 + (i + k) % 19)}" for k in range(1, 12))
+
+    ids = spark.range(6000).where("pmod(crc32(cast(cast(id as string) as binary)), 4) != 2").orderBy(F.xxhash64("id"), "id")
+    ids = [r.id for r in ids.collect()]
+    labelled = {i: int(n % 4 == 0) for n, i in enumerate(sorted(ids)[:200])}
+    rest = [i for i in ids if i not in labelled]
+    rows = [(i, filler(i) + (" grumblefoo snarklebar" if y else "")) for i, y in labelled.items()]
+    # beyond any thousand unlabelled rows, the labelled wording comes with another word
+    late = {i: ("grumblefoo", "snarklebar")[n % 2] for n, i in enumerate(rest[1500::4])}
+    rows += [(i, filler(i) + (f" {late[i]} zorbax" if i in late else "")) for i in rest]
+    rows += [(10_000, "zorbax"), (10_001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame(list(labelled.items()), "doc_id long, toxic int")
+    score = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).collect()}
+    # a word that the classifier doesn't know leaves the score of no features
+    assert abs(score[10_000] - score[10_001]) > 0.01

@@ -1,30 +1,38 @@
 """Toxicity by weak supervision.
 
 Voters are lexicons and patterns mined from labelled training rows. A generative label model
-over all sampled rows estimates each voter's accuracy and the correlations between voters, and
-turns votes into posterior labels. A linear classifier is trained on those posteriors and
-scores every whole text.
+over the votes of all rows that are not held out estimates each voter's accuracy and the
+correlations between voters, and turns votes into posterior labels. A linear classifier is
+trained on those posteriors and scores every whole text. Texts are read in tasks only; the
+driver gets sums.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import crc_of_id, map_texts
+from tidemark.llm.shared import crc_of_id, map_texts, saved
 
-#: Bounds of the sample that reaches the driver: rows with a training label, and rows whose
-#: label, if any, is not used.
-LABELLED, UNLABELLED = 4_000, 1_000
+#: Bound of the rows whose label is used, all others vote without.
+LABELLED = 6_000
 PREFIXES = (3, 4, 5, 6)
 VOTERS = 48
 #: Features of the linear classifier, by how far they separate the posterior labels.
 FEATURES = 4_096
 LEAST_ROWS = 3
+#: Steps of the label model, and most steps of the classifier; its ridge.
+STEPS, FIT_STEPS, RIDGE = 25, 60, 0.3
+#: Posteriors are summed as whole numbers of this unit, so that order changes nothing.
+UNIT = 1 << 20
+#: Features or vote patterns a task holds before it hands its counts on.
+HELD = 200_000
 
 #: Fixed values, a small general lexicon: one voter beside the mined ones.
 INSULTS = (
@@ -47,164 +55,378 @@ def shapes(word: str) -> list[str]:
     return [word, *(f"^{word[:k]}" for k in PREFIXES if len(word) >= k)]
 
 
-class Rows:
-    """Sampled rows as arrays of feature numbers."""
+class Voters:
+    """Lexicons of label 1, then such of label 0, then a pattern voter for label 0: none of the
+    lexicons of label 1 speaks. A row's votes are one whole number, a bit a voter."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, toxic: list[list[str]], clean: list[list[str]]):
+        self.mask: dict[str, int] = {}
+        lexicons = [*toxic, INSULTS, *clean]
+        for j, lexicon in enumerate(lexicons):
+            for f in lexicon:
+                self.mask[f] = self.mask.get(f, 0) | 1 << j
+        self.toxic, self.count = (1 << len(toxic) + 1) - 1, len(lexicons) + 1
+
+    def of_word(self, word: str) -> int:
+        mask = 0
+        for s in shapes(word):
+            mask |= self.mask.get(s, 0)
+        return mask
+
+    def votes(self, mask: int) -> int:
+        return mask if mask & self.toxic else mask | 1 << self.count - 1
+
+    def both(self, votes: np.ndarray) -> np.ndarray:
+        """Row x (votes of 1 of each voter, then votes of 0 of each voter)."""
+        on = (votes[:, None] >> np.arange(self.count)) & 1
+        ones = np.arange(self.count) < self.toxic.bit_length()
+        return np.hstack([on * ones, on * ~ones]).astype(float)
+
+
+def feature_counts(
+    frame: DataFrame, voters: Voters, weigh: Callable[[int | None, int], int]
+) -> DataFrame:
+    """feature, n (rows that have it) and ones (sum of ``weigh(doc_id, votes)`` over them), for
+    features of at least ``LEAST_ROWS`` rows; the feature '' stands for all rows."""
+
+    def work(found: Iterator[tuple]) -> Iterator[tuple]:
         number: dict[str, int] = {}
-        lists = []
-        for text in texts:
-            found = {s for w in terms(text) for s in shapes(w)}
-            lists.append(np.array([number.setdefault(f, len(number)) for f in found], dtype=np.int32))
-        self.names = list(number)
-        self.count = len(texts)
-        self.col = np.concatenate([*lists, np.zeros(0, np.int32)])
-        self.row = np.repeat(np.arange(self.count), [len(x) for x in lists])
-
-    def sums(self, weight: np.ndarray) -> np.ndarray:
-        """For each feature the sum of ``weight`` over the rows that have it."""
-        return np.bincount(self.col, weight[self.row], len(self.names))
-
-    def strength(self, p: np.ndarray) -> np.ndarray:
-        """Signed log-likelihood ratio of each feature and (soft) label ``p``; 0 where chance
-        explains it, given how many features are tried."""
-        with_, ones = self.sums(np.ones(self.count)), self.sums(p)
-        n, total = float(self.count), float(p.sum())
-
-        def term(k, size):
-            share = np.clip(k / np.maximum(size, 1e-9), 1e-9, 1)
-            return k * np.log(share)
-
-        zeros = with_ - ones
-        g = 2 * (
-            term(ones, with_)
-            + term(zeros, with_)
-            + term(total - ones, n - with_)
-            + term(n - with_ - (total - ones), n - with_)
-            - term(np.float64(total), np.float64(n))
-            - term(np.float64(n - total), np.float64(n))
-        )
-        tried = max(2, int((with_ >= LEAST_ROWS).sum()))
-        g = np.where((with_ >= LEAST_ROWS) & (g > 2 * math.log(tried)), g, 0)
-        return np.where(ones * n > with_ * total, g, -g)
-
-
-def mine(rows: Rows, known: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Lexicons (feature numbers) that point to label 1, and such that point to label 0."""
-    has = ~np.isnan(known)
-    strength = _only(rows, has).strength(known[has])
+        memo: dict[str, tuple[int, tuple[int, ...]]] = {}
+        n, ones = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        rows = total = 0
+        for doc_id, text in found:
+            hit: set[int] = set()
+            mask = 0
+            for w in terms(text):
+                have = memo.get(w)
+                if have is None:
+                    at = tuple([number.setdefault(s, len(number)) for s in shapes(w)])
+                    have = memo[w] = (voters.of_word(w), at)
+                mask |= have[0]
+                hit.update(have[1])
+            p = weigh(doc_id, voters.votes(mask))
+            rows += 1
+            total += p
+            if len(number) > len(n):
+                n, ones = (np.append(x, np.zeros(len(number), np.int64)) for x in (n, ones))
+            at = np.fromiter(hit, np.int64, len(hit))
+            n[at] += 1
+            ones[at] += p
+            if len(number) >= HELD:
+                yield from zip(number, n.tolist(), ones.tolist())
+                number, memo = {}, {}
+                n[:], ones[:] = 0, 0
+        yield from zip(number, n.tolist(), ones.tolist())
+        if rows:
+            yield "", rows, total
+
+    parts = map_texts(frame, ["doc_id", "text"], work, "feature string, n long, ones long")
+    sums = parts.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
+    return saved(sums.where((F.col("n") >= LEAST_ROWS) | (F.col("feature") == "")), "toxicity_features")
+
+
+def strengths(counts: DataFrame) -> tuple[DataFrame, float, float]:
+    """Features with their signed log-likelihood ratio to the (soft) label where chance, given
+    how many features are tried, does not explain it; the number of rows and the sum of labels."""
+    whole = counts.where(F.col("feature") == "").first()
+    n, total = (float(whole["n"]), whole["ones"] / UNIT) if whole else (0.0, 0.0)
+    found = counts.where(F.col("feature") != "")
+    with_, ones = F.col("n").cast("double"), F.col("ones") / F.lit(float(UNIT))
+
+    def term(k, size):
+        share = F.least(F.lit(1.0), F.greatest(F.lit(1e-9), k / F.greatest(size, F.lit(1e-9))))
+        return k * F.log(share)
+
+    g = 2 * (
+        term(ones, with_)
+        + term(with_ - ones, with_)
+        + term(F.lit(total) - ones, n - with_)
+        + term(n - with_ - (F.lit(total) - ones), n - with_)
+        - term(F.lit(total), F.lit(n))
+        - term(F.lit(n - total), F.lit(n))
+    )
+    tried = max(2, found.count())
+    signed = F.when(ones * n > with_ * total, g).otherwise(-g)
+    rated = found.select("feature", g.alias("g"), signed.alias("strength"))
+    return rated.where(F.col("g") > 2 * math.log(tried)), n, total
+
 
-    def dealt(sign: int, voters: int) -> list[np.ndarray]:
+def mine(rated: DataFrame) -> Voters:
+    """Lexicons that point to label 1, and such that point to label 0."""
+
+    def dealt(sign: int, voters: int) -> list[list[str]]:
         # strong features first; each voter gets its share of all strengths
-        order = np.argsort(-sign * strength, kind="stable")[: 8 * VOTERS]
-        order = order[sign * strength[order] > 0]
+        found = rated.where(sign * F.col("strength") > 0)
+        first = found.orderBy(-sign * F.col("strength"), "feature").limit(8 * VOTERS).collect()
+        order = [r["feature"] for r in first]
         return [order[i::voters] for i in range(min(voters, len(order)))]
 
-    return dealt(1, VOTERS), dealt(-1, VOTERS // 4)
+    return Voters(dealt(1, VOTERS), dealt(-1, VOTERS // 4))
+
 
+Model = tuple[float, np.ndarray]  # log odds of label 1: constant, and one term for each vote
 
-def _only(rows: Rows, keep: np.ndarray) -> Rows:
-    out = object.__new__(Rows)
-    at = keep[rows.row]
-    out.names, out.count = rows.names, int(keep.sum())
-    out.col, out.row = rows.col[at], (np.cumsum(keep) - 1)[rows.row[at]]
-    return out
 
+def posterior(both: np.ndarray, known: np.ndarray, model: Model) -> np.ndarray:
+    """Label 1 for each row; ``known`` is 1, 0, or -1 where no label is used."""
+    z = model[0] + both @ model[1]
+    z += np.where(known >= 0, np.where(known > 0, 1, -1) * math.log(98), 0)
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-def votes_of(rows: Rows, toxic: list[np.ndarray], clean: list[np.ndarray]) -> np.ndarray:
-    """Votes: 1 label 1, -1 label 0, 0 abstains. Row x voter."""
-    insults = np.flatnonzero(np.isin(rows.names, INSULTS))
-    lexicons = [*toxic, insults, *clean]
-    out = np.zeros((rows.count, len(lexicons) + 1), dtype=np.int8)
-    for j, lexicon in enumerate(lexicons):
-        hit = rows.row[np.isin(rows.col, lexicon)]
-        out[hit, j] = 1 if j <= len(toxic) else -1
-    # pattern voter: none of the lexicons of label 1 speaks
-    out[~(out[:, : len(toxic) + 1] == 1).any(axis=1), -1] = -1
-    return out
 
+def vote_sums(both: np.ndarray, known: np.ndarray, count: np.ndarray, model: Model | float):
+    """All that a step needs of the rows, by sums; with a prior for ``model``, before the first
+    step, the pairs of votes as well."""
+    first = isinstance(model, float)
+    post = np.where(known >= 0, known * 0.98 + 0.01, model) if first else posterior(both, known, model)
+    w = count * post
+    sums = [[count.sum(), w.sum(), (w * post).sum()], count @ both, w @ both]
+    if first:
+        half = both.shape[1] // 2
+        votes = both[:, :half] - both[:, half:]
+        sums.append(((count[:, None] * votes).T @ votes).ravel())
+    return np.concatenate(sums)
 
-def label_model(votes: np.ndarray, known: np.ndarray, steps: int = 25) -> np.ndarray:
-    """Posterior of label 1 for each row, by expectation maximisation.
+
+def model_step(sums: np.ndarray, pairs: np.ndarray, prior: float) -> Model:
+    """One step of expectation maximisation from the sums of the step before.
+
+    Each voter has its rates of both votes and of silence under both labels; without the rates
+    of silence, rows on which nobody votes would keep the prior and drag it up. Voters that
+    speak together more than their accuracies explain are correlated: their weights are divided
+    by the number of voters they amount to.
+    """
+    n, s1, squares = sums[:3]
+    whole, ones = sums[3:].reshape(2, -1)
+    zeros, s0, m = whole - ones, n - s1, len(whole) // 2
+    r1, r0 = (ones + 0.1) / (s1 + 1), (zeros + 0.1) / (s0 + 1)
+    q1 = (s1 - ones[:m] - ones[m:] + 0.1) / (s1 + 1)
+    q0 = (s0 - zeros[:m] - zeros[m:] + 0.1) / (s0 + 1)
+    # correlation of what the labels leave unexplained: votes less p * a + (1 - p) * b
+    a, b = r1[:m] - r1[m:], r0[:m] - r0[m:]
+    mixed = np.outer(ones[:m] - ones[m:], a) + np.outer(zeros[:m] - zeros[m:], b)
+    cross = np.outer(a, b)
+    expected = squares * np.outer(a, a) + (s1 - squares) * (cross + cross.T)
+    expected += (n - 2 * s1 + squares) * np.outer(b, b)
+    rest = (pairs - mixed - mixed.T + expected) / n
+    scale = np.sqrt(np.diag(rest).clip(0)) + 1e-6
+    together = np.abs(rest / np.outer(scale, scale))
+    weight = 1.0 / np.where(together > 0.1, together, 0).sum(axis=1).clip(1.0)
+    silent = weight * np.log(q1.clip(1e-9) / q0.clip(1e-9))
+    votes = np.tile(weight, 2) * np.log(r1 / r0) - np.tile(silent, 2)
+    return math.log(prior / (1 - prior)) + silent.sum(), votes
+
+
+def fit_votes(gather: Callable[[Model | float], np.ndarray], voters: int, prior: float, steps: int) -> Model:
+    """``gather`` gives ``vote_sums`` of all rows under a model."""
+    prior = float(np.clip(prior, 0.01, 0.99))
+    sums = gather(prior)
+    at = 3 + 4 * voters
+    sums, pairs = sums[:at], sums[at:].reshape(voters, voters)
+    model = model_step(sums, pairs, prior)
+    for _ in range(steps - 1):
+        sums = gather(model)
+        model = model_step(sums, pairs, float(np.clip(sums[1] / sums[0], 0.005, 0.995)))
+    return model
+
+
+def calibrated(model: Model, both: np.ndarray, known: np.ndarray, count: np.ndarray) -> Model:
+    """Log odds drawn in to what the used labels bear out: Platt's scaling on the rows with a
+    label. Voters that fall silent together would else make silent rows far too sure."""
+    z = model[0] + both @ model[1]
+    n1, n0 = count[known > 0].sum(), count[known == 0].sum()
+    target = np.where(known > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    x, c = np.stack([z, np.ones(len(z))]), np.array([1.0, 0.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(c @ x, -30, 30)))
+        hessian = (x * (count * p * (1 - p))) @ x.T + 1e-3 * np.eye(2)
+        move = np.linalg.solve(hessian, x @ (count * (p - target)) + 1e-3 * (c - (1, 0)))
+        c = c - move / max(1.0, float(np.abs(move).max()) / 0.2)
+        if np.abs(move).max() < 1e-6:
+            break
+    if c[0] >= 1:
+        return model
+    slope = max(float(c[0]), 0.01)
+    return slope * model[0] + float(c[1]), slope * model[1]
+
+
+def label_model(votes: np.ndarray, known: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """Posterior of label 1 for each row of ``votes`` (1, -1, 0), by expectation maximisation.
 
     ``known`` holds training labels, NaN where none is used; they enter as a voter of fixed
-    accuracy. Each voter has its rates of both votes under both labels. Voters that speak
-    together more than their accuracies explain are correlated: their weights are divided by
-    the number of voters they amount to.
+    accuracy.
     """
-    n, m = votes.shape
-    on = [(votes == 1).astype(float), (votes == -1).astype(float)]
+    both = np.hstack([votes == 1, votes == -1]).astype(float)
     has = ~np.isnan(known)
-    prior = float(np.clip(np.nanmean(known) if has.any() else 0.1, 0.01, 0.99))
-    post = np.where(has, np.nan_to_num(known) * 0.98 + 0.01, prior)
-    for _ in range(steps):
-        p1, p0 = post.sum() + 1e-9, (1 - post).sum() + 1e-9
-        rates = [[(v.T @ w + 0.1) / (s + 1.0) for v in on] for w, s in ((post, p1), (1 - post, p0))]
-        # correlation of what the labels leave unexplained
-        expected = post[:, None] * (rates[0][0] - rates[0][1]) + (1 - post)[:, None] * (
-            rates[1][0] - rates[1][1]
-        )
-        rest = votes - expected
-        scale = np.sqrt((rest**2).mean(axis=0)) + 1e-6
-        together = np.abs(rest.T @ rest / n / np.outer(scale, scale))
-        weight = 1.0 / np.where(together > 0.1, together, 0).sum(axis=1).clip(1.0)
-        log = np.full(n, math.log(prior / (1 - prior)))
-        for v, a, b in zip(on, rates[0], rates[1]):
-            log += v @ (weight * np.log(a / b))
-        log += np.where(has, np.where(np.nan_to_num(known) > 0.5, 1, -1) * math.log(98), 0)
-        post = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
-        prior = float(np.clip(post.mean(), 0.005, 0.995))
-    return post
-
-
-def linear_model(rows: Rows, post: np.ndarray) -> tuple[dict[str, float], float]:
-    """Logistic regression on the presence of features, targets are posteriors."""
-    strength = np.abs(rows.strength(post))
-    used = np.argsort(-strength, kind="stable")[:FEATURES]
-    used = used[strength[used] > 0]
-    at = np.full(len(rows.names), -1)
-    at[used] = np.arange(len(used))
-    mask = at[rows.col] >= 0
-    row, col = rows.row[mask], at[rows.col[mask]]
-    weight, bias = np.zeros(len(used)), math.log((post.sum() + 1) / ((1 - post).sum() + 1))
-    m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
-    for t in range(1, 401):
-        z = bias + np.bincount(row, weight[col], rows.count)
-        err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - post
-        grad = np.append(np.bincount(col, err[row], len(used)) + 0.3 * weight, err.sum())
-        m = 0.9 * m + 0.1 * grad
-        v = 0.99 * v + 0.01 * grad**2
-        move = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        weight -= move[:-1]
-        bias -= move[-1]
-    return {rows.names[f]: float(w) for f, w in zip(used, weight)}, float(bias)
-
-
-def train(texts: list[str | None], labels: list[int | None]) -> tuple[dict[str, float], float]:
-    """Weights and bias; ``labels`` are None where no label may be used."""
-    known = np.array([np.nan if y is None else float(y) for y in labels])
-    if not (known == 1).any() or not (known == 0).any():
+    prior = float(known[has].mean()) if has.any() else 0.1
+    known, count = np.where(has, known, -1), np.ones(len(votes))
+    model = fit_votes(lambda m: vote_sums(both, known, count, m), votes.shape[1], prior, steps)
+    return posterior(both, known, model)
+
+
+def vote_patterns(docs: DataFrame, voters: Voters, known: Callable[[int | None], int]) -> DataFrame:
+    """votes, known and n: the rows of ``docs`` by what is voted on them."""
+
+    def work(found: Iterator[tuple]) -> Iterator[tuple]:
+        seen: Counter[tuple[int, int]] = Counter()
+        memo: dict[str, int] = {}
+        for doc_id, text in found:
+            mask = 0
+            for w in terms(text):
+                have = memo.get(w)
+                if have is None:
+                    if len(memo) >= HELD:
+                        memo.clear()
+                    have = memo[w] = voters.of_word(w)
+                mask |= have
+            seen[voters.votes(mask), known(doc_id)] += 1
+            if len(seen) >= HELD:
+                yield from ((v, k, n) for (v, k), n in seen.items())
+                seen.clear()
+        yield from ((v, k, n) for (v, k), n in seen.items())
+
+    parts = map_texts(docs, ["doc_id", "text"], work, "votes long, known int, n long")
+    return saved(parts.groupBy("votes", "known").agg(F.sum("n").alias("n")), "toxicity_votes")
+
+
+def summed(frame: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """Sum of ``part`` over all batches, one vector a task reaches the driver."""
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                sums = part(batch)
+                total = sums if total is None else total + sums
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    return sum(np.frombuffer(r["sums"]) for r in frame.mapInArrow(run, "sums binary").collect())
+
+
+def linear_model(design: DataFrame, size: int, start: float) -> tuple[np.ndarray, float]:
+    """Logistic regression on the presence of features, targets are posteriors: L-BFGS, one pass
+    over the rows (post, features) a step. Weights and bias."""
+
+    def value(x: np.ndarray) -> tuple[float, np.ndarray]:
+        def part(batch):
+            post = np.asarray(batch.column(0))
+            lists = batch.column(1).to_pylist()
+            col = np.frombuffer(b"".join(lists), np.uint16)
+            row = np.repeat(np.arange(len(post)), [len(b) // 2 for b in lists])
+            z = x[-1] + np.bincount(row, x[col], len(post))
+            err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - post
+            loss = (np.logaddexp(0, z) - post * z).sum()
+            return np.concatenate(([loss], np.bincount(col, err[row], size), [err.sum()]))
+
+        out = summed(design, part)
+        grad = out[1:] + RIDGE * np.append(x[:-1], 0)
+        return out[0] + RIDGE / 2 * float(x[:-1] @ x[:-1]), grad
+
+    x = np.append(np.zeros(size), start)
+    f, g = value(x)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(FIT_STEPS):
+        move, alphas = -g, []
+        for s, y in reversed(pairs):
+            alphas.append(s @ move / (s @ y))
+            move = move - alphas[-1] * y
+        if pairs:
+            s, y = pairs[-1]
+            move = move * (s @ y) / (y @ y)
+        else:
+            move = move / max(1.0, float(np.linalg.norm(g)))
+        for (s, y), alpha in zip(pairs, reversed(alphas)):
+            move = move + (alpha - y @ move / (s @ y)) * s
+        step, slope = 1.0, float(g @ move)
+        for _ in range(20):
+            f2, g2 = value(x + step * move)
+            if f2 <= f + 1e-4 * step * slope:
+                break
+            step /= 2
+        else:
+            break
+        s, y = step * move, g2 - g
+        if s @ y > 1e-12:
+            pairs = [*pairs[-9:], (s, y)]
+        done = f - f2 <= 1e-7 * abs(f)
+        x, f, g = x + s, f2, g2
+        if done:
+            break
+    return x[:-1], float(x[-1])
+
+
+def train(spark: SparkSession, docs: DataFrame, labels: dict[int, int]) -> tuple[dict[str, float], float]:
+    """Weights and bias from all rows of ``docs``; ``labels`` are those that may be used."""
+    shared = spark.sparkContext.broadcast(labels)
+    chosen = spark.createDataFrame([(i,) for i in labels], "doc_id long")
+    marked = feature_counts(
+        docs.join(F.broadcast(chosen), "doc_id"), Voters([], []), lambda i, _: UNIT * shared.value[i]
+    )
+    rated, n, ones = strengths(marked)
+    if not 0 < ones < n:
         return {}, -2.0
-    rows = Rows(texts)
-    votes = votes_of(rows, *mine(rows, known))
-    return linear_model(rows, label_model(votes, known))
+    voters = mine(rated)
+    patterns = vote_patterns(docs, voters, lambda i: shared.value.get(i, -1))
+
+    def gather(model: Model | float) -> np.ndarray:
+        def part(batch):
+            votes, known, count = (np.asarray(batch.column(i)) for i in range(3))
+            return vote_sums(voters.both(votes), known, count.astype(float), model)
+
+        return summed(patterns, part)
+
+    model = fit_votes(gather, voters.count, ones / n, STEPS)
+    marks = patterns.where("known >= 0").groupBy("votes").pivot("known", [0, 1]).agg(F.sum("n"))
+    marks = np.array(marks.na.fill(0).collect(), dtype=np.int64).reshape(-1, 3)
+    both = voters.both(np.tile(marks[:, 0], 2))
+    model = calibrated(model, both, np.repeat([0, 1], len(marks)), marks[:, 1:].T.ravel() * 1.0)
+
+    def post(doc_id: int | None, votes: int) -> int:
+        known = np.array([shared.value.get(doc_id, -1)])
+        return round(UNIT * float(posterior(voters.both(np.array([votes])), known, model)[0]))
+
+    rated, n, ones = strengths(feature_counts(docs, voters, post))
+    used = [
+        r["feature"]
+        for r in rated.orderBy(-F.col("g"), "feature").limit(FEATURES).select("feature").collect()
+    ]
+    at = spark.sparkContext.broadcast({f: i for i, f in enumerate(used)})
+
+    def work(found: Iterator[tuple]) -> Iterator[tuple]:
+        memo: dict[str, tuple[int, tuple[int, ...]]] = {}
+        for doc_id, text in found:
+            hit: set[int] = set()
+            mask = 0
+            for w in terms(text):
+                have = memo.get(w)
+                if have is None:
+                    if len(memo) >= HELD:
+                        memo.clear()
+                    features = tuple([at.value[s] for s in shapes(w) if s in at.value])
+                    have = memo[w] = (voters.of_word(w), features)
+                mask |= have[0]
+                hit.update(have[1])
+            yield post(doc_id, voters.votes(mask)) / UNIT, np.array(sorted(hit), np.uint16).tobytes()
+
+    rows = map_texts(docs, ["doc_id", "text"], work, "post double, features binary", 256)
+    design = saved(rows, "toxicity_design")
+    weights, bias = linear_model(design, len(used), math.log((ones + 1) / (n - ones + 1)))
+    return dict(zip(used, weights.tolist())), bias
 
 
 def held_out() -> Column:
     return F.coalesce(F.pmod(crc_of_id(), F.lit(4)) == 2, F.lit(False))
 
 
-def toxicity(
-    docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED
-) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score (0 to 1), predicted.
 
-    ``labels`` has doc_id and toxic. Only rows that are not held out (crc32 of doc_id as text,
-    mod 4, is 2) are trained on: at most ``labelled`` of them, those with the smallest hash,
-    and ``unlabelled`` rows without use of a label. Scores read nothing but the text. A null or
-    empty text gets the score of no features; a null doc_id is not held out; repeated rows get
-    equal scores; without labels of both kinds all scores are equal; an empty table gives no
-    rows.
+    ``labels`` has doc_id and toxic. All rows that are not held out (crc32 of doc_id as text,
+    mod 4, is 2) are trained on; labels are used of at most ``labelled`` ids, those with the
+    smallest hash. Scores read nothing but the text. A null or empty text gets the score of no
+    features; a null doc_id is not held out; repeated rows count each and get equal scores;
+    without labels of both kinds all scores are equal; an empty table gives no rows.
     """
     spark = docs.sparkSession
     usable = (
@@ -213,25 +435,10 @@ def toxicity(
         .agg(F.max("toxic").alias("toxic"))
         .where(~held_out())
     )
-    # a bounded number of ids, then one pass over the texts for those ids
     ids = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    wanted = {r["doc_id"]: r["toxic"] for r in ids.collect()}
-    chosen = spark.createDataFrame([(i, y) for i, y in wanted.items()], "doc_id long, toxic int")
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    rows = sample.collect()
-    more = (
-        docs.select("doc_id", "text")
-        .where(~held_out() & F.col("doc_id").isNotNull())
-        .join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
-        .select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-        .orderBy("h", "doc_id")
-        .limit(unlabelled)
-        .collect()
-    )
-    rows.sort(key=lambda r: r["doc_id"])
-    more.sort(key=lambda r: r["doc_id"])
+    wanted = {r["doc_id"]: int(r["toxic"]) for r in ids.collect()}
     model = spark.sparkContext.broadcast(
-        train([r["text"] for r in (*rows, *more)], [r["toxic"] for r in rows] + [None] * len(more))
+        train(spark, docs.select("doc_id", "text").where(~held_out()), wanted)
     )
 
     def work(found: Iterator[tuple]) -> Iterator[tuple]:
