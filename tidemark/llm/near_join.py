@@ -1,9 +1,10 @@
-"""N-gram Jaccard join over a MinHash LSH forest.
+"""N-gram Jaccard join over MinHash bands.
 
 A text is the set of its five-word shingles. Texts with equal sets form a class of copies and
-are joined once. Each tree of the forest labels a class with a sequence of minimum hashes;
-classes match in a tree when their labels share a prefix. The prefix starts at full length and
-is shortened until pairs at the threshold match in some tree with the target probability.
+are joined once. Each tree labels a class with a sequence of minimum hashes; classes match in a
+tree when their labels are equal. This is banding at a fixed depth in place of an LSH forest:
+there is no trie of prefixes, and no match is shortened by what it finds. The depth is the
+longest with which pairs at the threshold match in some tree with the target probability.
 Matches give connected groups of candidates, and every pair inside a group is verified on the
 exact sets, in blocks of bounded size. Pairs are counted where they are verified, never listed.
 """
