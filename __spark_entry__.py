@@ -22,12 +22,15 @@ import oracle_queries as o  # noqa: E402
 import tidemark  # noqa: E402
 from tidemark.functions.columns import round_half_up  # noqa: E402
 from tidemark.functions.text import slug  # noqa: E402
-from tidemark.operators import ranking, rollups, scoring, windows  # noqa: E402
+from tidemark.config import FUEL_CATEGORIES, TONE_DISPERSIONS, TONE_PARTS  # noqa: E402
+from tidemark.operators import ranking, rollups, scoring, series, windows  # noqa: E402
 from tidemark.operators.calendar import fwd_snap  # noqa: E402
-from tidemark.plans import analyses, bindings, views  # noqa: E402
+from tidemark.plans import analyses, bindings, gold, views  # noqa: E402
 from tidemark.plans.bindings import SampleStudy  # noqa: E402
+from tidemark.plans.registry import Study  # noqa: E402
 from tidemark.session import DEFAULTS, run_dir  # noqa: E402
-from tidemark.sources import quality, sinks  # noqa: E402
+from tidemark.sources import bronze, landing, quality, readers, sinks  # noqa: E402
+from tidemark.sources.units import UnitTable  # noqa: E402
 from tidemark.streaming import jobs  # noqa: E402
 
 # scoring tasks carry the package's own functions, so workers need no copy of this folder
@@ -269,20 +272,206 @@ register(
     f"""SELECT slot, strftime(slot, '%Y%m%d%H%M%S') AS stamp FROM ({SLOTS})
         WHERE slot NOT IN (SELECT time_bucket(INTERVAL 15 MINUTES, ts) FROM events)""",
 )
+
+
+# ---- raw drops: text written, read back and loaded ----
+
+
+def land(lines: DataFrame, path: str) -> str:
+    """Write a raw drop, one file a slot."""
+    by = ["date", "slot"]
+    lines.repartition(*by).write.mode("append").partitionBy(*by).text(path)
+    return path
+
+
+def event_drop(s: SampleStudy) -> DataFrame:
+    path = land(bindings.event_lines(s.raw("events")), run_dir(s.spark, "event-drop"))
+    return landing.parsed(landing.lines(s.spark, path), landing.EVENT_LINES)
+
+
 register(
     "ingest_metrics",
-    lambda s: quality.file_metrics(
-        s.raw("events").select(F.to_date("ts").alias("date"), quality.slot_of("ts", 15).alias("file")),
-        "date",
-        "file",
+    lambda s: quality.file_metrics(event_drop(s).filter("problem IS NULL"), "date", "file"),
+    """SELECT date, COUNT(DISTINCT slot) AS file_count, COUNT(*) AS event_count
+       FROM event_drop GROUP BY 1""",
+)
+
+
+def event_drop_days(s: SampleStudy) -> DataFrame:
+    """Accepted and rejected lines of each landing day, and what the casts make of them."""
+    drop = event_drop(s)
+    marks = drop.select(
+        "globaleventid",
+        F.col("problem").isNull().alias("good"),
+        (F.col("n_fields") < 61).alias("short"),
+        (F.col("n_fields") > 61).alias("long"),
+        F.contains("actiongeo_fullname", F.lit('"')).alias("quoted"),
+        *[c for c in drop.columns if c in ("day", "actiongeo_countrycode", "quadclass", "eventrootcode",
+          "actiongeo_type", "actiongeo_fullname", "actiongeo_lat", "actiongeo_long", "avgtone",
+          "goldsteinscale", "nummentions", "sourceurl", "date")],
+    )
+    extra = ("good", "short", "long", "quoted")
+    cast = landing.typed.typed_events(marks, keep=extra)
+    good = F.col("good")
+    return cast.groupBy("date").agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.count_if(good).alias("n_accepted"),
+        F.count_if(~good).alias("n_rejected"),
+        F.count_if(good & F.col("short")).alias("n_short"),
+        F.count_if(good & F.col("long")).alias("n_long"),
+        F.count_if("quoted").alias("n_quoted"),
+        F.count_if(good & F.col("event_date").isNull()).alias("n_undated"),
+        F.sum("mentions").alias("total_mentions"),
+        F.avg("tone").alias("avg_tone"),
+        F.avg("lat").alias("avg_lat"),
+    )
+
+
+register(
+    "raw_event_drop",
+    event_drop_days,
+    """SELECT date, COUNT(*) + COUNT(*) FILTER (WHERE event_id % 103 = 0) AS n_lines,
+       COUNT(*) AS n_accepted, COUNT(*) FILTER (WHERE event_id % 103 = 0) AS n_rejected,
+       COUNT(*) FILTER (WHERE short) AS n_short,
+       COUNT(*) FILTER (WHERE event_id % 101 = 7 AND NOT short) AS n_long,
+       COUNT(*) FILTER (WHERE event_id % 83 = 7 AND NOT short) AS n_quoted,
+       COUNT(*) FILTER (WHERE event_id % 89 = 3) AS n_undated,
+       CAST(SUM(mentions) FILTER (WHERE NOT short AND event_id % 79 <> 1) AS BIGINT) AS total_mentions,
+       AVG(tone) FILTER (WHERE NOT short) AS avg_tone, AVG(lat) FILTER (WHERE NOT short) AS avg_lat
+       FROM event_drop GROUP BY 1""",
+    "avg_tone",
+    "avg_lat",
+)
+register(
+    "raw_article_drop",
+    lambda s: landing.parsed(
+        landing.lines(
+            s.spark, land(bindings.article_lines(s.raw("documents")), run_dir(s.spark, "article-drop"))
+        ),
+        landing.ARTICLE_LINES,
+    )
+    .groupBy("date", F.coalesce("problem", F.lit("accepted")).alias("outcome"))
+    .agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.count(F.when(F.col("problem").isNull(), F.col("v1themes"))).alias("n_themed"),
+    ),
+    """SELECT event_date AS date, CASE WHEN fault IS NULL THEN 'accepted' WHEN fault = 'long'
+       THEN 'long' ELSE 'short' END AS outcome, COUNT(*) AS n_lines,
+       COUNT(CASE WHEN fault IS NULL AND themes <> '' THEN 1 END) AS n_themed
+       FROM article_drop GROUP BY 1, 2
+       UNION ALL SELECT event_date, 'blank', COUNT(*), 0 FROM article_drop
+       WHERE article_id % 53 = 0 GROUP BY 1""",
+)
+
+
+def resumable_ingest(s: SampleStudy) -> DataFrame:
+    """Slots land in two goes; each is loaded, a dead run and a repeated one in between."""
+    path, out = run_dir(s.spark, "landed"), run_dir(s.spark, "ingested")
+    table = UnitTable(s.spark, out, landing.ARTICLE_ROWS)
+    drop = bindings.article_lines(s.raw("documents"))
+    prepare = landing.article_rows(INGEST)
+    land(drop.filter("slot = '000000'"), path)
+    landing.ingest(s.spark, path, table, prepare)
+    land(drop.filter("slot <> '000000'"), path)
+    # a run that dies after half of its rows: written, but not in the log
+    half = landing.lines(s.spark, path).withColumn("unit", landing.unit_of())
+    table.put(prepare(half.filter("slot <> '000000' AND length(value) % 2 = 0")))
+    landing.ingest(s.spark, path, table, prepare)
+    landing.ingest(s.spark, path, table, prepare)
+    rows = table.rows().groupBy("unit").agg(
+        F.count_if(F.col("problem").isNull()).alias("n_accepted"),
+        F.count_if(F.col("problem").isNotNull()).alias("n_rejected"),
+        F.count_if((F.col("problem") == "short") & F.col("article_id").isNull()).alias("n_short"),
+        F.count_distinct("article_id").alias("n_articles"),
+    )
+    return table.log().join(rows, "unit", "left").select(
+        "unit", "n_rows", *[F.coalesce(c, F.lit(0)).alias(c) for c in rows.columns if c != "unit"]
+    )
+
+
+TOLD = " OR ".join(f"contains(themes, '{t}')" for t in INGEST)
+register(
+    "resumable_ingest",
+    resumable_ingest,
+    f"""SELECT strftime(event_date, '%Y%m%d') || CASE slot WHEN 0 THEN '000000' ELSE '120000' END AS unit,
+        COUNT(*) FILTER (WHERE hit) AS n_rows,
+        COUNT(*) FILTER (WHERE hit AND fault IS NULL) AS n_accepted,
+        COUNT(*) FILTER (WHERE hit AND fault IS NOT NULL) AS n_rejected,
+        COUNT(*) FILTER (WHERE hit AND fault = 'short') AS n_short,
+        COUNT(DISTINCT CASE WHEN hit AND fault IS NULL THEN article_id END) AS n_articles
+        FROM (SELECT *, coalesce(({TOLD}) AND coalesce(fault, '') <> 'tiny', false) AS hit FROM article_drop)
+        GROUP BY 1""",
+)
+
+
+def slot_gaps(s: SampleStudy) -> DataFrame:
+    """Expected six-hour slots of the drop that no load has finished: afternoons do not land."""
+    path, out = run_dir(s.spark, "landed"), run_dir(s.spark, "ingested")
+    table = UnitTable(s.spark, out, "date date, n_lines long")
+    drop = bindings.event_lines(s.raw("events"))
+    land(drop.filter("slot <> '120000'"), path)
+    landing.ingest(
+        s.spark, path, table, lambda lines: lines.groupBy("unit", "date").agg(F.count(F.lit(1)).alias("n_lines"))
+    )
+    bounds = s.raw("events").select(
+        F.date_trunc("DAY", F.min("ts")).cast("timestamp_ntz").alias("s"),
+        quality.slot_of(F.max("ts"), 360).alias("e"),
+    )
+    return landing.gaps(quality.expected_slots(bounds, "s", "e", 360), table)
+
+
+register(
+    "slot_gaps",
+    slot_gaps,
+    """SELECT slot, strftime(slot, '%Y%m%d%H%M%S') AS stamp FROM (
+           SELECT UNNEST(generate_series(date_trunc('day', MIN(ts))::TIMESTAMP,
+               time_bucket(INTERVAL 6 HOURS, MAX(ts)), INTERVAL 6 HOURS)) AS slot FROM events)
+       WHERE hour(slot) = 12
+           OR slot NOT IN (SELECT time_bucket(INTERVAL 6 HOURS, ts) FROM events)""",
+)
+
+
+def external_days(s: SampleStudy) -> DataFrame:
+    """Rows of each partition the catalog finds in a folder written behind its back."""
+    path, name = run_dir(s.spark, "external"), "tidemark_external_events"
+    rows = bindings.event_rows(s.raw("events")).withColumn("date", F.to_date("ts"))
+    sinks.write_partitioned(rows, path)
+    bronze.register(s.spark, name, path, rows.schema, "date")
+    days = s.spark.sql(f"SHOW PARTITIONS {name}").select(
+        F.to_date(F.substring_index("partition", "=", -1)).alias("date")
+    )
+    counts = s.spark.table(name).groupBy("date").agg(F.count(F.lit(1)).alias("n_rows"))
+    return days.join(counts, "date", "left")
+
+
+register(
+    "external_days",
+    external_days,
+    "SELECT CAST(ts AS DATE) AS date, COUNT(*) AS n_rows FROM events GROUP BY 1",
+)
+PROFILED = ("orders", "lineitem", "events", "documents", "labels")
+TYPE_NAMES = {
+    "BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "TIMESTAMP": "timestamp_ntz",
+}
+PROFILE_SQL = """SELECT '{t}' AS object, name AS column, type, n_rows, n_present FROM (
+    SELECT column_name AS name, {types} AS type FROM (DESCRIBE {t}))
+    JOIN (UNPIVOT (SELECT COUNT(COLUMNS(*)) FROM {t}) ON COLUMNS(*) INTO NAME name VALUE n_present) USING (name)
+    CROSS JOIN (SELECT COUNT(*) AS n_rows FROM {t})"""
+register(
+    "column_profile",
+    lambda s: quality.column_profile({t: s.raw(t) for t in PROFILED}),
+    " UNION ALL ".join(
+        PROFILE_SQL.format(t=t, types=o.case_of("column_type", TYPE_NAMES)) for t in PROFILED
     ),
-    """SELECT CAST(ts AS DATE) AS date, COUNT(DISTINCT time_bucket(INTERVAL 15 MINUTES, ts))
-       AS file_count, COUNT(*) AS event_count FROM events GROUP BY 1""",
 )
 DAILY_SOURCES = ("brent", "ttf", "gb_power", "gb_gen_mix", "uka_proxy")
 register(
     "source_metrics",
-    lambda s: quality.source_metrics({n: (s.get(n), "price_date") for n in DAILY_SOURCES}),
+    lambda s: quality.panel_metrics(
+        s.panel("brent", "ttf", "power", "mix", "carbon"),
+        "price_date",
+        dict(zip(DAILY_SOURCES, ("brent", "ttf", "power", "mix", "carbon"))),
+    ),
     " UNION ALL ".join(
         f"SELECT '{n}' AS source, COUNT(*) AS rows, MIN(price_date) AS first_date,"
         f" MAX(price_date) AS last_date FROM {n}"
@@ -313,15 +502,80 @@ SWEEP = {
     "v_gdelt_gkg_gcam_daily": "keyed", "v_lng_vs_oil_signal_daily": "dual",
     "v_finbert_daily": "score_days",
 }
+
+
+def gold_study(s: SampleStudy) -> Study:
+    """The study on tables written once: daily series, and states the news views are merged from."""
+    root, cfg, spark = run_dir(s.spark, "gold"), s.cfg, s.spark
+
+    def kept(name: str, frame: DataFrame) -> DataFrame:
+        frame.write.parquet(f"{root}/{name}")
+        return spark.read.schema(frame.schema).parquet(f"{root}/{name}")
+
+    tables = {n: kept(n, s.get(n)) for n in ("timeline", *DAILY_SOURCES, "finbert_scores")}
+    tables |= {n: s.get(n) for n in ("gdelt", "gdelt_gkg")}  # their rows are counted from footers
+    events, articles = (tables[n].withColumn("date", F.col("event_date")) for n in ("gdelt", "gdelt_gkg"))
+    states = kept("event_states", gold.event_states(events, cfg))
+    tables |= gold.event_views(states, cfg)
+    states = kept("article_states", gold.article_states(articles, cfg, TONE_PARTS))
+    tables |= gold.article_views(states, cfg, TONE_PARTS, TONE_DISPERSIONS)
+    return Study(spark, tables, cfg)
+
+
 register(
     "sanity_sweep",
-    lambda s: s.sweep(),
+    lambda s: gold_study(s).sweep(),
     " UNION ALL ".join(
         f"SELECT '{n}' AS object, COUNT(*) AS n_rows, COUNT(*) = 0 AS is_empty FROM {t}"
         for n, t in SWEEP.items()
     ),
 )
 
+def refreshed_states(s: SampleStudy) -> str:
+    """Event files by landing day and their states; then rows of some days land late, and only
+    the states of these days are worked out again. The folder of the states comes back."""
+    raw, path = run_dir(s.spark, "raw-events"), run_dir(s.spark, "event-states")
+    rows = bindings.event_rows(s.raw("events")).withColumn("date", F.to_date("ts")).drop("ts")
+    late = (F.dayofmonth("date") > 27) & F.coalesce(F.col("quad_class") == "3", F.lit(False))
+    ddl = rows.drop("date").schema.toDDL()
+    for part in (rows.filter(~late), rows.filter(late)):
+        part.write.mode("append").partitionBy("date").parquet(raw)
+        gold.refresh(s.spark, raw, path, ddl, lambda r: gold.event_states(r, s.cfg))
+    return path
+
+
+def gold_view(name: str):
+    return lambda s: gold.event_views(gold.read_states(s.spark, refreshed_states(s)), s.cfg)[name]
+
+
+register(
+    "gold_event_features",
+    gold_view("v_gdelt_events_features_daily"),
+    "SELECT * FROM features",
+    "mean_tone",
+    "mentions_weighted_tone",
+    "mean_goldstein",
+    "mentions_weighted_goldstein",
+    "total_weighted_goldstein",
+)
+
+
+def state_days(s: SampleStudy) -> DataFrame:
+    """Rows of each landing day's states, and how often they were worked out."""
+    path = refreshed_states(s)
+    versions = gold.known_prints(s.spark, path).groupBy("date").agg(F.max("version").alias("n_builds"))
+    states = gold.read_states(s.spark, path).groupBy("date").agg(F.sum("n_rows").alias("n_rows"))
+    return states.join(versions, "date", "left")
+
+
+register(
+    "gold_state_days",
+    state_days,
+    """SELECT CAST(ts AS DATE) AS date, CAST(COUNT(*) AS BIGINT) AS n_rows,
+       CAST(CASE WHEN day(CAST(ts AS DATE)) > 27 AND COUNT(*) FILTER (WHERE quad_class = '3') > 0
+           THEN 2 ELSE 1 END AS BIGINT) AS n_builds FROM gdelt GROUP BY 1""",
+)
+
 # ---- predicates, joins ----
 
 register(
@@ -418,12 +672,45 @@ register(
 
 # ---- aggregations ----
 
+
+
+def payloads(s: SampleStudy, lines: DataFrame) -> str:
+    path = run_dir(s.spark, "payloads")
+    lines.select("value").write.text(path)
+    return path
+
+
 register(
     "halfhour_to_daily",
-    lambda s: bindings.gb_power(s.raw("lineitem")),
-    "SELECT price_date, gb_power_avg FROM gb_power",
+    lambda s: series.half_hour_mean(
+        readers.half_hour_prices(
+            s.spark, payloads(s, bindings.price_payloads(s.raw("lineitem"))), bindings.PROVIDER, True
+        ),
+        "gb_power_avg",
+    ),
+    """SELECT day AS price_date, AVG(price) AS gb_power_avg FROM half_hours
+       WHERE NOT other AND price > 0 AND NOT (day(day) = 5 AND period = 47)
+           AND NOT (day(day) = 9 AND period = 46) GROUP BY 1""",
     "gb_power_avg",
 )
+register(
+    "halfhour_mix",
+    lambda s: series.half_hour_shares(
+        readers.half_hour_generation(
+            s.spark, payloads(s, bindings.generation_payloads(s.raw("lineitem"))), True
+        ),
+        FUEL_CATEGORIES,
+        bindings.MIX_CATEGORIES,
+    ),
+    f"""SELECT price_date, total_mwh, {", ".join(
+            f"round_even({c} / NULLIF(total_mwh, 0) * 100, 1) AS {c}_share_pct" for c in bindings.MIX_CATEGORIES)}
+        FROM (SELECT *, round_even({" + ".join(bindings.MIX_CATEGORIES)}, 0) AS total_mwh
+            FROM (SELECT price_date, {", ".join(
+                f"COALESCE(SUM(amount) FILTER (WHERE c = '{c}'), 0) AS {c}" for c in bindings.MIX_CATEGORIES)}
+                FROM fuel_days GROUP BY 1))""",
+    "total_mwh",
+    *SHARES,
+)
 NAMES = ("brent", "ttf", "power")
 MEAN_MEDIAN = [f"{n}_{k}" for n in NAMES for k in ("mean", "median")]
 register(
@@ -538,6 +825,18 @@ register(
     """SELECT country, COUNT(*) AS n_rows FROM gdelt GROUP BY 1
        ORDER BY n_rows DESC, country LIMIT 10""",
 )
+register(
+    "top_mentions",
+    lambda s: ranking.top_k(
+        s.get("gdelt").select("event_id", "event_date", "country", "mentions", "tone"),
+        [F.col("mentions").desc_nulls_last(), F.col("tone").asc_nulls_last()],
+        25,
+        "event_id",
+    ),
+    """SELECT event_id, event_date, country, mentions, tone FROM gdelt
+       ORDER BY mentions DESC NULLS LAST, tone NULLS LAST, event_id LIMIT 25""",
+    "tone",
+)
 register(
     "spike_days",
     analyses.spike_days,
@@ -852,6 +1151,33 @@ register(
 )
 
 
+
+
+def appended_scores(s: SampleStudy) -> DataFrame:
+    """An earlier run's scores, a run that adds the unscored URLs, and one that finds nothing."""
+    urls = sample_window_urls(s)
+    table = scoring.score_table(s.spark, run_dir(s.spark, "scores"), urls.schema)
+    first = s.spark.createDataFrame([("1",)], "unit string")
+    table.add(s.get("finbert_scores").withColumn("unit", F.lit("1")), first)
+    for run in ("2", "3"):
+        scoring.append_scores(urls, table, run, bindings.make_lexicon_scorer)
+    log = table.log().select(F.col("unit").alias("_u"), F.col("n_rows").alias("run_rows"))
+    names = ("source_url", "day", "nummentions", "slug", *SCORE_COLUMNS)
+    return table.rows().join(log, F.col("unit") == F.col("_u")).select(*names, F.col("unit").alias("run"), "run_rows")
+
+
+register(
+    "appended_scores",
+    appended_scores,
+    f"""WITH old AS (SELECT source_url, day, nummentions, slug, finbert_positive, finbert_neutral,
+            finbert_negative, finbert_signed FROM scores),
+        fresh AS (SELECT * FROM ({LEXICON_SCORES.format(rows="window_slugs")})
+            WHERE source_url NOT IN (SELECT source_url FROM old))
+        SELECT *, '1' AS run, COUNT(*) OVER () AS run_rows FROM old
+        UNION ALL BY NAME SELECT *, '2' AS run, COUNT(*) OVER () AS run_rows FROM fresh""",
+    *SCORE_COLUMNS,
+)
+
 # ---- streams over the event and document files ----
 
 
@@ -869,19 +1195,70 @@ def in_run_dir(s: SampleStudy, purpose: str) -> tuple[str, str]:
     return f"{base}/out", f"{base}/progress"
 
 
+CLOSED = """(SELECT CAST(ts AS DATE) AS event_date, COUNT(*) AS event_count, AVG(tone) AS avg_tone,
+    AVG(goldstein) AS avg_goldstein, CAST(SUM(mentions) AS BIGINT) AS total_mentions
+    FROM conflict GROUP BY 1
+    HAVING CAST(ts AS DATE) + 1 <= (SELECT MAX(ts) - INTERVAL 1 DAY FROM conflict))"""
+
+
+def event_waves(s: SampleStudy, repeats: bool = False) -> list[DataFrame]:
+    """The event rows in three waves of files, one file a six-hour slot.
+
+    The last slot of a wave lands with the next one, after rows that are newer. With ``repeats``
+    a wave brings the last day of the one before once more.
+    """
+    slot = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 21600)
+    rows = bindings.event_rows(s.raw("events")).withColumn("_slot", slot)
+    first, last = rows.agg(F.min("_slot"), F.max("_slot")).first() or (0, 0)
+    first, last = first or 0, last or 0
+    cuts = [first + (last - first) * k // 3 for k in (1, 2)]
+    wave = F.when(F.col("_slot") <= cuts[0], 0).when(F.col("_slot") <= cuts[1], 1).otherwise(2)
+    held = rows.withColumn("_wave", wave + F.col("_slot").isin(cuts).cast("int"))
+
+    def part(k: int) -> DataFrame:
+        mine = F.col("_wave") == k
+        if repeats and k:
+            mine = mine | F.col("_slot").between(cuts[k - 1] - 3, cuts[k - 1] - 1)
+        return held.filter(mine).repartition("_slot").drop("_slot", "_wave")
+
+    return [part(k) for k in range(3)]
+
+
+def streamed(s: SampleStudy, purpose: str, job, conflict: bool = True, repeats: bool = False) -> DataFrame:
+    """Run ``job(stream, out, checkpoint)`` after each wave, from its own checkpoint."""
+    base = run_dir(s.spark, purpose)
+    out, progress, files = f"{base}/out", f"{base}/progress", f"{base}/files"
+    waves = event_waves(s, repeats)
+
+    def run() -> DataFrame:
+        stream = jobs.file_stream(s.spark, files, waves[0].schema)
+        if conflict:
+            stream = jobs.conflict_stream(stream, s.cfg.countries, s.cfg.conflict_classes)
+        return job(stream, out, progress)
+
+    return jobs.in_waves(waves, files, run)
+
+
 CLOSED = """(SELECT CAST(ts AS DATE) AS event_date, COUNT(*) AS event_count, AVG(tone) AS avg_tone,
     AVG(goldstein) AS avg_goldstein, CAST(SUM(mentions) AS BIGINT) AS total_mentions
     FROM conflict GROUP BY 1
     HAVING CAST(ts AS DATE) + 1 <= (SELECT MAX(ts) - INTERVAL 1 DAY FROM conflict))"""
 register(
     "stream_daily_rollup",
-    lambda s: jobs.run_to_files(
-        jobs.daily_rollup(sample_conflict_stream(s)), *in_run_dir(s, "daily")
-    ),
+    lambda s: streamed(s, "daily", lambda x, out, at: jobs.run_to_files(jobs.daily_rollup(x), out, at)),
     f"SELECT * FROM {CLOSED}",
     "avg_tone",
     "avg_goldstein",
 )
+register(
+    "stream_open_days",
+    lambda s: streamed(s, "open-days", jobs.upsert_days).drop("n_versions"),
+    """SELECT CAST(ts AS DATE) AS event_date, COUNT(*) AS event_count, AVG(tone) AS avg_tone,
+       CAST(SUM(mentions) AS BIGINT) AS total_mentions,
+       CAST(ts AS DATE) + 1 > (SELECT MAX(ts) - INTERVAL 1 DAY FROM conflict) AS open
+       FROM conflict GROUP BY 1""",
+    "avg_tone",
+)
 register(
     "stream_late_rows",
     lambda s: jobs.count_late(
@@ -901,12 +1278,12 @@ register(
 )
 register(
     "stream_once_per_id",
-    lambda s: jobs.run_to_files(
-        jobs.once_per_id(
-            event_stream(s).select("event_id", "ts").union(event_stream(s).select("event_id", "ts")),
-            "event_id",
-        ),
-        *in_run_dir(s, "once"),
+    lambda s: streamed(
+        s,
+        "once",
+        lambda x, out, at: jobs.run_to_files(jobs.once_per_id(x.select("event_id", "ts"), "event_id"), out, at),
+        conflict=False,
+        repeats=True,
     )
     .groupBy(F.to_date("ts").alias("day"))
     .agg(F.count(F.lit(1)).alias("n_rows")),

@@ -107,7 +107,8 @@ SCORES = ", ".join(
 
 def shares() -> str:
     sums = ", ".join(
-        f"SUM(CASE WHEN c = '{c}' THEN l_quantity ELSE 0 END) AS {c}" for c in b.MIX_CATEGORIES
+        f"SUM(CASE WHEN c = '{c}' AND day(l_shipdate) <> 31 THEN l_quantity ELSE 0 END) AS {c}"
+        for c in b.MIX_CATEGORIES
     )
     total = " + ".join(b.MIX_CATEGORIES)
     cols = ", ".join(
@@ -258,15 +259,13 @@ CTES: dict[str, str] = {
             {rnd("72.0 * (krbn_close / base)", 3)} AS uka_proxy_gbp, 'KRBN' AS source
         FROM carbon_raw CROSS JOIN (SELECT krbn_close AS base FROM carbon_raw
             WHERE price_date >= DATE '1995-01-02' ORDER BY price_date LIMIT 1)""",
-    "timeline": f"""SELECT event_date, 'order-' || CAST(o_orderkey AS VARCHAR) AS label,
+    "timeline": f"""SELECT CAST(o_orderdate AS DATE) AS event_date,
+            'order-' || CAST(o_orderkey AS VARCHAR) AS label,
             CASE WHEN o_orderkey % 5 = 0 THEN NULL
                 WHEN o_orderstatus = 'F' AND o_orderkey % 2 = 1 THEN 'de-escalation'
                 ELSE {case_of("o_orderstatus", b.PHASE_OF_STATUS)} END AS phase
-        FROM (SELECT CAST(o_orderdate AS DATE) AS event_date, o_orderkey, o_orderstatus,
-                ROW_NUMBER() OVER (PARTITION BY CAST(o_orderdate AS DATE)
-                    ORDER BY o_totalprice DESC, o_orderkey) AS pos
-            FROM orders WHERE CAST(o_orderdate AS DATE) = last_day(o_orderdate))
-        WHERE pos = 1""",
+        FROM orders WHERE CAST(o_orderdate AS DATE) = last_day(o_orderdate)
+            AND o_orderpriority = '1-URGENT'""",
     "gdelt_k": """SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events""",
     "gdelt": f"""SELECT event_id, ts,
             DATE '1995-01-01'
@@ -338,19 +337,24 @@ CTES: dict[str, str] = {
             CASE WHEN gas_share_pct >= 30 THEN 'high_gas' WHEN gas_share_pct < 30 THEN 'low_gas'
                 ELSE 'unknown' END AS regime
         FROM spread_raw""",
-    "implied": f"""SELECT price_date, ttf_close AS observed_ttf_eur_mwh, power_observed_gbp_mwh,
-            uka_proxy_gbp_per_tco2, gas_share_pct, regime,
-            {rnd("implied_raw", 2)} AS implied_ttf_eur_mwh,
-            {rnd("ttf_close - implied_raw", 2)} AS basis_eur_mwh,
-            CASE WHEN ABS(ttf_close - implied_raw) > 15 THEN 'decoupled'
-                ELSE 'plausibly_marginal' END AS basis_regime
-        FROM (SELECT *, (power_observed_gbp_mwh - uka_proxy_gbp_per_tco2 * 0.36::DOUBLE)
-                / (1.85::DOUBLE * 0.85::DOUBLE) AS implied_raw FROM spread)
-        WHERE ttf_close IS NOT NULL AND uka_proxy_gbp_per_tco2 IS NOT NULL""",
-    "burst": """SELECT event_date, event_count, rolling_30d_mean,
-            event_count / NULLIF(rolling_30d_mean, 0) AS burst_score
-        FROM (SELECT event_date, event_count, AVG(event_count) OVER (ORDER BY event_date
-            ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS rolling_30d_mean FROM news)""",
+    # what is left of the power price after carbon, in units of fuel, from the raw series
+    "implied": f"""SELECT s.price_date, s.ttf_close AS observed_ttf_eur_mwh,
+            s.power AS power_observed_gbp_mwh, s.carbon AS uka_proxy_gbp_per_tco2,
+            s.gas_share_pct, m.regime, {rnd("left_over", 2)} AS implied_ttf_eur_mwh,
+            {rnd("s.ttf_close - left_over", 2)} AS basis_eur_mwh,
+            CASE WHEN left_over BETWEEN s.ttf_close - 15 AND s.ttf_close + 15
+                THEN 'plausibly_marginal' ELSE 'decoupled' END AS basis_regime
+        FROM (SELECT *, power / 1.5725::DOUBLE - carbon * (0.36::DOUBLE / 1.5725::DOUBLE) AS left_over
+            FROM spread_raw) s
+        JOIN (SELECT price_date, CASE WHEN MAX(gas_share_pct) IS NULL THEN 'unknown'
+                WHEN MAX(gas_share_pct) < 30 THEN 'low_gas' ELSE 'high_gas' END AS regime
+            FROM spread_raw GROUP BY 1) m ON m.price_date = s.price_date
+        WHERE s.carbon IS NOT NULL""",
+    "news_no": "SELECT *, ROW_NUMBER() OVER (ORDER BY event_date) AS i FROM news",
+    # each day beside the 30 rows before it
+    "burst": """SELECT a.event_date, a.event_count, AVG(b.event_count) AS rolling_30d_mean,
+            a.event_count / NULLIF(AVG(b.event_count), 0) AS burst_score
+        FROM news_no a LEFT JOIN news_no b ON b.i >= a.i - 30 AND b.i < a.i GROUP BY 1, 2""",
     "asymmetry": """SELECT event_date,
             AVG(CASE WHEN tone < 0 THEN tone ELSE 0 END) AS negative_tone,
             AVG(CASE WHEN tone > 0 THEN tone ELSE 0 END) AS positive_tone,
@@ -367,7 +371,8 @@ CTES: dict[str, str] = {
         FROM conflict GROUP BY 1""",
     "articles": f"""SELECT doc_id AS article_id, {DOC_DAY} AS event_date,
             CASE WHEN doc_id % 100 <> 3 THEN {listed("text", b.THEME_OF_TEXT)} END AS themes,
-            CASE WHEN doc_id % 100 <> 7 THEN {listed("text", b.PLACE_OF_TEXT)} END AS locations,
+            CASE WHEN doc_id % 100 <> 7 AND {DOC_DAY} <> DATE '{b.NO_PLACES}'
+                THEN {listed("text", b.PLACE_OF_TEXT)} END AS locations,
             CASE WHEN source = 'src5' THEN {TONE_HEAD} ELSE {TONE_HEAD} || ',' ||
                 ({num("n_chars % 3", "doc_id % 4")}) || ',' || CAST(n_chars AS VARCHAR) END AS tone,
             concat_ws(',', {SCORES}) AS scores
@@ -385,13 +390,25 @@ CTES: dict[str, str] = {
     "keyed": f"""SELECT event_date, COUNT(*) AS n_articles, {score_means()}
         FROM (SELECT event_date, {score_parse()} FROM articles
             WHERE scores IS NOT NULL AND scores <> '') GROUP BY 1""",
-    "dual": """SELECT themes.event_date,
-            COALESCE(n_econ_oil, 0) + COALESCE(n_kharg, 0) AS oil_signal,
-            COALESCE(n_ras_laffan, 0) AS lng_signal,
-            COALESCE(n_maritime_total, 0) AS maritime_signal,
+    # counted from the articles at once; a day without any place list has no place counts
+    "dual": """SELECT event_date, n_econ_oil + COALESCE(n_kharg, 0) AS oil_signal,
+            COALESCE(n_ras_laffan, 0) AS lng_signal, n_maritime_total AS maritime_signal,
             n_econ_oil, n_econ_oilexport, n_kharg, n_ras_laffan, n_persian_gulf,
             n_chokepoint_total, n_maritime_total, n_armedconflict
-        FROM themes LEFT JOIN places ON places.event_date = themes.event_date""",
+        FROM (SELECT event_date,
+            COUNT(*) FILTER (WHERE themes LIKE '%ECON_OIL%') AS n_econ_oil,
+            COUNT(*) FILTER (WHERE themes LIKE '%ECON_OILEXPORT%') AS n_econ_oilexport,
+            COUNT(*) FILTER (WHERE themes LIKE '%MARITIME_TRANSPORT%'
+                OR themes LIKE '%MARITIME_INCIDENT%') AS n_maritime_total,
+            COUNT(*) FILTER (WHERE themes LIKE '%ARMEDCONFLICT%') AS n_armedconflict,
+            COUNT(*) FILTER (WHERE locations LIKE '%Kharg%') + any_place AS n_kharg,
+            COUNT(*) FILTER (WHERE locations LIKE '%Ras Laffan%') + any_place AS n_ras_laffan,
+            COUNT(*) FILTER (WHERE locations LIKE '%Persian Gulf%') + any_place AS n_persian_gulf,
+            COUNT(*) FILTER (WHERE regexp_matches(locations, 'Hormuz|Persian Gulf|Kharg|Ras Laffan'))
+                + any_place AS n_chokepoint_total
+            FROM (SELECT *, CASE WHEN COUNT(locations) OVER (PARTITION BY event_date) > 0
+                THEN 0 END AS any_place FROM articles)
+            GROUP BY event_date, any_place HAVING COUNT(themes) > 0)""",
     "theme_place": """SELECT themes.event_date, themes.n_articles, n_econ_oil, n_energy_security,
             n_maritime_total, n_conflict_total, n_chokepoint_total, n_kharg, n_ras_laffan,
             n_persian_gulf
@@ -447,7 +464,7 @@ CTES: dict[str, str] = {
     "loo_rows": "SELECT *, ROW_NUMBER() OVER (PARTITION BY x, y ORDER BY vx, vy) AS i FROM ("
     + long_pairs("with_news", LOO_PAIRS)
     + ")",
-    "boot_rows": """SELECT ROW_NUMBER() OVER (ORDER BY event_date) - 1 AS i, COUNT(*) OVER () AS n,
+    "boot_rows": """SELECT ROW_NUMBER() OVER (ORDER BY event_date, label) - 1 AS i, COUNT(*) OVER () AS n,
             brent_pct_3d, ttf_pct_3d
         FROM impact WHERE brent_pct_3d IS NOT NULL AND ttf_pct_3d IS NOT NULL
             AND power_pct_3d IS NOT NULL""",
@@ -483,6 +500,20 @@ CTES: dict[str, str] = {
             QUALIFY ROW_NUMBER() OVER (PARTITION BY day
                 ORDER BY nummentions DESC NULLS LAST, source_url) <= {b.SAMPLE_CONFIG.top_urls_per_day})""",
     "window_slugs": "SELECT * FROM window_urls WHERE length(slug) >= 6",
+    # raw drops: which fault a line has follows from its id
+    "event_drop": """SELECT *, CAST(ts AS DATE) AS date, hour(ts) // 6 AS slot,
+            event_id % 97 = 5 AS short FROM gdelt""",
+    "article_drop": f"""SELECT *, article_id % 2 AS slot,
+            CASE WHEN article_id % 41 = 3 THEN 'tiny' WHEN article_id % 43 = 5 THEN 'short'
+                WHEN article_id % 47 = 7 THEN 'long' END AS fault FROM articles""",
+    "half_hours": f"""SELECT CAST(l_shipdate AS DATE) AS day, l_suppkey % 4 = 0 AS other,
+            (l_orderkey * 7 + l_linenumber) % 48 AS period,
+            AVG(l_extendedprice * (1 - l_discount) / {b.POWER_SCALE}) AS price
+        FROM lineitem GROUP BY 1, 2, 3""",
+    "fuel_days": f"""SELECT CAST(l_shipdate AS DATE) AS price_date,
+            {case_of("fuel", b.FUEL_CATEGORIES, "'other'")} AS c, SUM(l_quantity) AS amount
+        FROM (SELECT *, {array_of(b.FUELS)}[l_partkey % {len(b.FUELS)} + 1] AS fuel FROM lineitem)
+        WHERE NOT (fuel = 'OIL' AND day(l_shipdate) IN (7, 8)) GROUP BY 1, 2""",
 }
 
 RECURSIVE = {"placebo_steps"}

@@ -211,10 +211,10 @@ def test_placebo_draws_are_distinct_and_reproducible(spark):
 
 def test_bootstrap_skips_draws_without_spread(spark):
     frame = spark.createDataFrame([(1, 1.0, 2.0), (2, 2.0, 1.0)], "i int, x double, y double")
-    draws = resampling.bootstrap_corr(frame, "i", "x", "y", 40)
+    draws = resampling.bootstrap_corr(frame, ["i"], "x", "y", 40)
     rs = [r.r for r in draws.collect()]
     assert 0 < len(rs) < 40 and all(r == pytest.approx(-1.0) for r in rs)
-    empty = resampling.bootstrap_corr(frame.limit(0), "i", "x", "y", 4)
+    empty = resampling.bootstrap_corr(frame.limit(0), ["i"], "x", "y", 4)
     assert empty.count() == 0
 
 
@@ -330,10 +330,11 @@ def test_second_scoring_run_appends_nothing(spark, tmp_path):
     path = str(tmp_path / "scores")
     rows = [(f"https://e.com/{i}", date(2024, 1, 1 + i % 5), f"the good und {i}") for i in range(40)]
     urls = spark.createDataFrame(rows, "source_url string, day date, slug string")
-    assert scoring.append_scores(urls.limit(25), path, make_lexicon_scorer, 10) == 25
-    assert scoring.append_scores(urls, path, make_lexicon_scorer, 10) == 15
-    assert scoring.append_scores(urls, path, make_lexicon_scorer, 10) == 0
-    scores = spark.read.parquet(path)
+    table = scoring.score_table(spark, path, urls.schema)
+    assert scoring.append_scores(urls.limit(25), table, "a", make_lexicon_scorer, 10) == 25
+    assert scoring.append_scores(urls, table, "b", make_lexicon_scorer, 10) == 15
+    assert scoring.append_scores(urls, table, "c", make_lexicon_scorer, 10) == 0
+    scores = table.rows()
     assert scores.count() == scores.select("source_url").distinct().count() == 40
 
 

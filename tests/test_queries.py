@@ -43,6 +43,10 @@ def test_entry_runs(spark):
         ("dominance_label", "dominant", {"LNG-dominant", "Oil-dominant", "mixed/low"}),
         ("implied_inverse_daily", "basis_regime", None),
         ("event_impact_phase", "phase", {*bindings.PHASE_OF_STATUS.values(), "unassigned"}),
+        ("event_impact_regime", "regime", {"high_gas", "low_gas", "unknown"}),
+        ("spread_daily", "regime", {"high_gas", "low_gas", "unknown"}),
+        ("stream_open_days", "open", {True, False}),
+        ("dual_signal_daily", "n_kharg IS NULL", {True, False}),
     ],
 )
 def test_sample_tables_reach_every_branch(name, column, labels):
@@ -51,3 +55,13 @@ def test_sample_tables_reach_every_branch(name, column, labels):
     found = {r[0] for r in con.execute(f"SELECT DISTINCT {column} FROM ({sql})").fetchall()}
     assert found == labels if labels else len(found) > 1
     assert con.execute(f"SELECT count(*) FROM ({entry.oracle_sql()['spike_days']})").fetchone()[0]
+
+
+def test_events_grow_with_the_orders_and_share_dates():
+    sizes = []
+    for sf in (SF_DIR, BRANCH_DIR):
+        con = oracle_connection(sf)
+        sql = entry.oracle_sql()["event_impact"]
+        n, days = con.execute(f"SELECT COUNT(*), COUNT(DISTINCT event_date) FROM ({sql})").fetchone()
+        sizes.append(n)
+    assert sizes[1] > 5 * sizes[0] and days < n

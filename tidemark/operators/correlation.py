@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import guarded_corr, guarded_ratio
-from tidemark.operators.ranking import cut_values, ranked_values
+from tidemark.operators.ranking import cut_values, join_groups, ranked_values
 
 Pair = tuple[str, str]
 
@@ -81,7 +81,7 @@ def spearman_pairs(
         ranks = ranked_values(rows, value, group, cut_values(rows, value, buckets)).select(
             *group, value, F.col("avg_rank").alias(f"_rank_{value}")
         )
-        points = points.join(ranks, [*group, value])
+        points = join_groups(points, ranks, [*group, value])
     # the mean rank is (n + 1) / 2 on both sides, so centred sums need no second pass
     w, a, b = F.col("_w"), F.col("_rank_vx"), F.col("_rank_vy")
     n = F.sum("_w")
@@ -96,10 +96,18 @@ def spearman_pairs(
     return sums.select(*group, "n", guarded_ratio(F.col("_ab") - centre, spread).alias("r"))
 
 
-def correlation_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson") -> DataFrame:
-    """Full square matrix in long form (x, y, n, r), diagonal and both triangles."""
+def correlation_matrix(
+    df: DataFrame, cols: Sequence[str], method: str = "pearson", buckets: int | None = None
+) -> DataFrame:
+    """Full square matrix in long form (x, y, n, r), diagonal and both triangles.
+
+    ``buckets`` splits the ranks of row-level frames (see ``spearman_pairs``).
+    """
     pairs = [*combinations(cols, 2), *[(c, c) for c in cols]]
-    half = {"pearson": pearson_pairs, "spearman": spearman_pairs}[method](df, pairs)
+    if method == "spearman":
+        half = spearman_pairs(df, pairs, buckets=buckets)
+    else:
+        half = pearson_pairs(df, pairs)
     flipped = F.array(
         F.struct(F.col("x"), F.col("y")), F.struct(F.col("y").alias("x"), F.col("x").alias("y"))
     )
@@ -122,10 +130,7 @@ def both_methods(
     if buckets is not None:
         straight = pearson_pairs(df, pairs, by).withColumnRenamed("r", "pearson")
         ranked = spearman_pairs(df, pairs, by, buckets).select(*group, F.col("r").alias("spearman"))
-        same = [straight[c].eqNullSafe(ranked[c]) for c in group]  # a group may have no label
-        both = straight.join(ranked, same, "left").select(
-            *[straight[c] for c in group], "n", "pearson", "spearman"
-        )
+        both = join_groups(straight, ranked, group, "left")
         return both.withColumn("r_squared", F.col("pearson") * F.col("pearson"))
     measured = (
         with_average_ranks(long_pairs(df, pairs, by), group)

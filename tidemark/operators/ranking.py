@@ -28,6 +28,14 @@ def top_n(
     return kept if rank else kept.drop(name)
 
 
+def top_k(df: DataFrame, order: Sequence[Column], k: int, key: str) -> DataFrame:
+    """The first k rows of a whole table in ``order``, ties by ``key``.
+
+    Each task keeps a heap of k rows and the heaps are merged: no table is sorted.
+    """
+    return df.orderBy(*order, F.col(key)).limit(k)
+
+
 def cut_values(df: DataFrame, col: str, buckets: int, error: float = 0.001) -> list[float]:
     """``buckets`` - 1 cut values of about equal weight; only they reach the driver."""
     probs = [i / buckets for i in range(1, buckets)]
@@ -41,6 +49,13 @@ def bucket_of(col: Column | str, splits: Sequence[float]) -> Column:
     return F.size(F.filter(cuts, lambda cut: cut <= col))
 
 
+def join_groups(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns of which a NULL equals a NULL: a group may have no label."""
+    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
+    return left.join(renamed, same, how).drop(*[f"_r_{c}" for c in on])
+
+
 def ranked_values(
     df: DataFrame, value: str, by: Sequence[str] = (), splits: Sequence[float] = ()
 ) -> DataFrame:
@@ -71,7 +86,7 @@ def ranked_values(
         offsets = totals.withColumn(
             "_offset", F.sum("_total").over(over_buckets) - F.col("_total")
         ).drop("_total")
-        ranked = inside.join(offsets, [*by, "_bucket"]).withColumn(
+        ranked = join_groups(inside, offsets, [*by, "_bucket"]).withColumn(
             "before", F.col("_inside") + F.col("_offset")
         )
     return ranked.select(

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import guarded_corr
+from tidemark.operators.numbering import numbered
 
 
 def draw(seed: int, *parts: Column) -> Column:
@@ -21,18 +22,19 @@ def draw(seed: int, *parts: Column) -> Column:
 
 
 def indexed(df: DataFrame, order: str, name: str = "_i") -> DataFrame:
-    """Rows numbered from 0 in ``order``; for frames with one row per day or event."""
+    """Rows numbered from 0 in ``order``, in one task; for frames with one row per day."""
     return df.withColumn(name, (F.row_number().over(Window.orderBy(order)) - 1).cast("bigint"))
 
 
 def bootstrap_corr(
-    df: DataFrame, order: str, x: str, y: str, n_iter: int = 5000, seed: int = 42
+    df: DataFrame, order: Sequence[str], x: str, y: str, n_iter: int = 5000, seed: int = 42
 ) -> DataFrame:
     """Pearson r of ``n_iter`` resamples with replacement: (iter, r). Draws without spread in
-    either column have no r and are left out."""
+    either column have no r and are left out. ``order`` tells all rows apart."""
     spark = df.sparkSession
-    clean = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(order, x, y)
-    size = clean.count()  # each slot of each iteration is a row: no array grows with the events
+    clean = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*order, x, y)
+    rows = numbered(clean, list(order), "_i", start=0)
+    size = rows.count()  # each slot of each iteration is a row: no array grows with the events
     slots = spark.range(n_iter * size).select(
         F.floor(F.col("id") / max(1, size)).cast("bigint").alias("iter"),
         (F.col("id") % max(1, size)).alias("_slot"),
@@ -41,7 +43,7 @@ def bootstrap_corr(
         "iter", (draw(seed, F.col("iter"), F.col("_slot")) % max(1, size)).alias("_i")
     )
     return (
-        picks.join(indexed(clean, order), "_i")
+        picks.join(rows, "_i")
         .groupBy("iter")
         .agg(guarded_corr(x, y).alias("r"))
         .filter(F.col("r").isNotNull())

@@ -16,6 +16,7 @@ from tidemark.functions.text import slug
 from tidemark.operators.ranking import top_n
 from tidemark.operators.windows import within_windows
 from tidemark.sources.sinks import appended, unseen
+from tidemark.sources.units import UnitTable
 
 SCORE_FIELDS = ("finbert_positive", "finbert_neutral", "finbert_negative", "finbert_signed")
 
@@ -128,25 +129,32 @@ def spread(urls: DataFrame, partitions: int | None) -> DataFrame:
     )
 
 
+def score_table(spark: SparkSession, path: str, schema: T.StructType) -> UnitTable:
+    """A score table of which each run is a unit; ``schema`` is that of the unscored rows."""
+    scores = [T.StructField(f, T.DoubleType()) for f in SCORE_FIELDS]
+    return UnitTable(spark, path, T.StructType([*schema.fields, *scores]))
+
+
 def append_scores(
-    urls: DataFrame, path: str, make_scorer: Callable[[], Scorer], rows_per_task: int = 2_000
+    urls: DataFrame,
+    table: UnitTable,
+    run: str,
+    make_scorer: Callable[[], Scorer],
+    rows_per_task: int = 2_000,
 ) -> int:
-    """Score the URLs that the score table at ``path`` lacks and append only those.
+    """Score the URLs that ``table`` lacks and append only those, as the unit ``run``.
 
     Old scores are read for their keys alone and never written again. The number of scoring
-    tasks follows the number of new URLs, as scoring costs time per row, not per byte. Gives
-    the number of rows appended; a second run over the same URLs appends none.
+    tasks follows the number of new URLs, as scoring costs time per row, not per byte. A run
+    that dies is repeated under its name and adds nothing twice; a finished run adds nothing.
+    Gives the number of rows appended.
     """
-    new = urls
-    if exists(urls.sparkSession, path):
-        new = unseen(urls, urls.sparkSession.read.parquet(path).select("source_url"), "source_url")
+    spark = urls.sparkSession
+    unit = spark.createDataFrame([(run,)], "unit string")
+    if table.pending(unit).isEmpty():
+        return 0
+    new = unseen(urls, table.rows().select("source_url"), "source_url")
     count = new.count()
-    if count:
-        tasks = -(-count // rows_per_task)
-        score_batches(spread(new, tasks), "slug", make_scorer).write.mode("append").parquet(path)
+    scored = score_batches(spread(new, max(1, -(-count // rows_per_task))), "slug", make_scorer)
+    table.add(scored.withColumn("unit", F.lit(run)), unit)
     return count
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder))

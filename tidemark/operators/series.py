@@ -47,6 +47,20 @@ def daily_mean(rows: DataFrame, day: Column, value: Column | str, out: str, posi
     return kept.groupBy(day.alias("price_date")).agg(F.avg(value).alias(out))
 
 
+def half_hour_mean(rows: DataFrame, out: str) -> DataFrame:
+    """Half-hour prices (price_date, price) to a daily mean over the periods above zero."""
+    dated = rows.filter(F.col("price_date").isNotNull())
+    return daily_mean(dated, F.col("price_date"), "price", out)
+
+
+def half_hour_shares(
+    rows: DataFrame, categories: Mapping[str, str], names: Sequence[str]
+) -> DataFrame:
+    """Half-hour generation (price_date, fuel, amount as text) to daily totals and shares."""
+    dated = rows.filter(F.col("price_date").isNotNull())
+    return mix_shares(dated, "price_date", category_of("fuel", categories), "amount", names)
+
+
 def category_of(code: Column | str, categories: Mapping[str, str], other: str = "other") -> Column:
     """Code to category; an unlisted code falls into ``other``."""
     code = as_column(code)

@@ -58,7 +58,11 @@ def impact_with_news(study: Study) -> DataFrame:
 
 
 def move_correlations(study: Study, method: str) -> DataFrame:
-    return correlation.correlation_matrix(impact_with_news(study), [*MOVES, *NEWS], method)
+    columns = [*MOVES, *NEWS]
+    rows = impact_with_news(study)
+    if method == "spearman":  # ranks pass over the event rows several times
+        rows = study.pin("impact_with_news", lambda: rows)
+    return correlation.correlation_matrix(rows, columns, method, EVENT_BUCKETS)
 
 
 def bootstrap_ci(study: Study, n_iter: int = 5000, seed: int = 42) -> DataFrame:
@@ -66,11 +70,11 @@ def bootstrap_ci(study: Study, n_iter: int = 5000, seed: int = 42) -> DataFrame:
         "usable_events",
         lambda: study.get("v_event_impact")
         .dropna(subset=list(MOVES))
-        .select("event_date", *MOVES),
+        .select("event_date", "label", *MOVES),
     )
     x, y = MOVES[0], MOVES[1]
     observed = correlation.pearson_pairs(stats, [(x, y)]).select("r")
-    draws = resampling.bootstrap_corr(stats, "event_date", x, y, n_iter, seed)
+    draws = resampling.bootstrap_corr(stats, ["event_date", "label"], x, y, n_iter, seed)
     return resampling.bootstrap_summary(draws, observed)
 
 

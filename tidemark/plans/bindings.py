@@ -12,10 +12,11 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.config import MIX_CATEGORIES, StudyConfig
+from tidemark.config import FUEL_CATEGORIES, MIX_CATEGORIES, StudyConfig
 from tidemark.operators import series
 from tidemark.operators.scoring import LexiconScorer
 from tidemark.plans.registry import SERIES_VIEWS, Study
+from tidemark.sources import schemas
 
 FIRST_DAY, LAST_DAY = date(1995, 1, 1), date(2001, 12, 31)
 COUNTRY_CODES = (
@@ -64,6 +65,9 @@ VALUE_OF = {
 }
 # 18 minutes of the event stream are one study day: 30 days become 2,400
 SECONDS_PER_DAY = 1080
+NO_PLACES = date(1998, 3, 21)
+PROVIDER, OTHER_PROVIDER = "APXMIDP", "N2EXMIDP"
+FUELS = (*FUEL_CATEGORIES, "INTFR", "OTHER")
 LEXICON = LexiconScorer(
     positive=("the", "les", "und", "ing"),
     negative=("der", "que", "con", "ent", "est"),
@@ -154,15 +158,18 @@ def linked_and_target(lineitem: DataFrame) -> DataFrame:
 
 
 def gb_gen_mix(lineitem: DataFrame, part: DataFrame) -> DataFrame:
-    # both sides grow with the data: the join strategy is left to Spark
-    typed = lineitem.select("l_partkey", "l_shipdate", "l_quantity").join(
+    # the feed is unreadable on the 31st: such days have no shares. Both sides of the join grow
+    # with the data: its strategy is left to Spark
+    broken = F.dayofmonth("l_shipdate") == 31
+    amount = F.when(broken, "n/a").otherwise(F.col("l_quantity").cast("string"))
+    typed = lineitem.select("l_partkey", "l_shipdate", amount.alias("amount")).join(
         part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey")
     )
     return series.mix_shares(
         typed,
         F.to_date("l_shipdate"),
         series.category_of("p_type", CATEGORY_OF_TYPE),
-        "l_quantity",
+        "amount",
         MIX_CATEGORIES,
     )
 
@@ -208,25 +215,17 @@ def anchor_and_carbon(orders: DataFrame, cfg: StudyConfig) -> DataFrame:
 
 
 def timeline(orders: DataFrame) -> DataFrame:
-    """One event on the last day of each month: the highest-priced order of that day."""
-    key, status = F.col("_o.o_orderkey"), F.col("_o.o_orderstatus")
-    day = F.to_date("o_orderdate")
-    best = F.max_by(
-        F.struct("o_orderkey", "o_orderstatus"), F.struct("o_totalprice", -F.col("o_orderkey"))
-    )
-    return (
-        orders.filter(day == F.last_day(day))
-        .groupBy(day.alias("event_date"))
-        .agg(best.alias("_o"))
-        .select(
-            "event_date",
-            F.concat(F.lit("order-"), F.col("_o.o_orderkey").cast("string")).alias("label"),
-            # some events have no phase; a closed status with an odd key counts as de-escalation
-            F.when(key % 5 == 0, None)
-            .when((status == "F") & (key % 2 == 1), PHASE_OF_STATUS["P"])
-            .otherwise(mapped("_o.o_orderstatus", PHASE_OF_STATUS))
-            .alias("phase"),
-        )
+    """Every urgent order of a month-end day is an event; several may fall on one day."""
+    day, key = F.to_date("o_orderdate"), F.col("o_orderkey")
+    urgent = orders.filter((day == F.last_day(day)) & (F.col("o_orderpriority") == "1-URGENT"))
+    return urgent.select(
+        day.alias("event_date"),
+        F.concat(F.lit("order-"), key.cast("string")).alias("label"),
+        # some events have no phase; a closed status with an odd key counts as de-escalation
+        F.when(key % 5 == 0, None)
+        .when((F.col("o_orderstatus") == "F") & (key % 2 == 1), PHASE_OF_STATUS["P"])
+        .otherwise(mapped("o_orderstatus", PHASE_OF_STATUS))
+        .alias("phase"),
     )
 
 
@@ -295,7 +294,10 @@ def article_rows(documents: DataFrame) -> DataFrame:
         F.col("doc_id").alias("article_id"),
         document_day().alias("event_date"),
         F.when(i % 100 != 3, listed(text, THEME_OF_TEXT)).alias("themes"),
-        F.when(i % 100 != 7, listed(text, PLACE_OF_TEXT)).alias("locations"),
+        # one day has no place list at all
+        F.when((i % 100 != 7) & (document_day() != F.lit(NO_PLACES)), listed(text, PLACE_OF_TEXT)).alias(
+            "locations"
+        ),
         F.when(F.col("source") == "src5", short)
         .otherwise(F.concat_ws(",", short, *tail))
         .alias("tone"),
@@ -355,6 +357,129 @@ def earlier_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def raw_lines(columns: tuple[str, ...], values: dict[str, Column], width: Column) -> Column:
+    """The named fields as a tab-separated line, cut or filled up to ``width`` fields."""
+    fields = [F.coalesce(values.get(c, F.lit("")).cast("string"), F.lit("")) for c in columns]
+    return F.array_join(F.slice(F.array(*fields, F.lit("surplus")), F.lit(1), width), "\t")
+
+
+def with_blanks(lines: DataFrame, blank: Column) -> DataFrame:
+    """Some lines are followed by an empty one."""
+    both = F.when(blank, F.array(F.col("value"), F.lit(""))).otherwise(F.array("value"))
+    return lines.select("date", "slot", F.explode(both).alias("value"))
+
+
+def event_lines(events: DataFrame) -> DataFrame:
+    """The event rows as a raw 61-field drop: date and slot (six hours) of landing, and the line.
+
+    Some lines are short, some have a field too many, some days and numbers are broken, some
+    places hold a double quote, and some lines are blank.
+    """
+    i = F.col("event_id")
+    number = F.col("mentions").cast("string")
+    values = {
+        "globaleventid": i,
+        "day": F.when(i % 89 == 3, "20241345").otherwise(F.date_format("event_date", "yyyyMMdd")),
+        "actiongeo_countrycode": F.col("country"),
+        "quadclass": F.col("quad_class"),
+        "eventrootcode": F.col("root_code"),
+        "actiongeo_type": F.col("geo_type"),
+        "actiongeo_fullname": F.when(i % 83 == 7, F.concat(F.lit('stray " '), F.col("place"))).otherwise(F.col("place")),
+        "actiongeo_lat": F.col("lat"),
+        "actiongeo_long": F.col("lon"),
+        "avgtone": F.col("tone"),
+        "goldsteinscale": F.col("goldstein"),
+        "nummentions": F.when(i % 79 == 1, "many").when(i % 5 == 0, F.concat(number, F.lit(".4"))).otherwise(number),
+    }
+    full = len(schemas.EVENT_COLUMNS)
+    width = F.when(i % 97 == 5, 30).when(i % 101 == 7, full + 1).otherwise(full)
+    rows = event_rows(events)
+    lines = rows.select(
+        i,
+        F.to_date("ts").alias("date"),
+        slot_text(F.hour("ts")).alias("slot"),
+        raw_lines(schemas.EVENT_COLUMNS, values, width).alias("value"),
+    )
+    return with_blanks(lines, i % 103 == 0)
+
+
+def slot_text(hour: Column) -> Column:
+    """The six-hour slot of an hour as ``HHMMSS``."""
+    return F.concat(F.lpad((F.floor(hour / 6) * 6).cast("string"), 2, "0"), F.lit("0000"))
+
+
+def article_lines(documents: DataFrame) -> DataFrame:
+    """The article rows as a raw 27-field drop with two slots a day; some lines are broken."""
+    i = F.col("article_id")
+    rows = article_rows(documents)
+    slot = F.when(i % 2 == 0, "000000").otherwise("120000")
+    values = {
+        "gkgrecordid": i,
+        "gkg_datestamp": F.concat(F.date_format("event_date", "yyyyMMdd"), slot),
+        "v1themes": F.col("themes"),
+        "v2enhancedlocations": F.col("locations"),
+        "v2tone": F.col("tone"),
+        "v21gcam": F.col("scores"),
+    }
+    full = len(schemas.ARTICLE_COLUMNS)
+    width = F.when(i % 41 == 3, 5).when(i % 43 == 5, 20).when(i % 47 == 7, full + 1).otherwise(full)
+    lines = rows.select(
+        i,
+        F.col("event_date").alias("date"),
+        slot.alias("slot"),
+        raw_lines(schemas.ARTICLE_COLUMNS, values, width).alias("value"),
+    )
+    return with_blanks(lines, i % 53 == 0)
+
+
+def half_hour() -> Column:
+    return (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 48
+
+
+def price_payloads(lineitem: DataFrame) -> DataFrame:
+    """One payload a day: half-hour prices of two providers, 96 entries at most.
+
+    The second provider reports nothing but zeros, one period a month is empty and one has an
+    unreadable start.
+    """
+    day, period = F.to_date("l_shipdate"), half_hour()
+    provider = F.when(F.col("l_suppkey") % 4 == 0, OTHER_PROVIDER).otherwise(PROVIDER)
+    rows = lineitem.groupBy(day.alias("day"), provider.alias("provider"), period.alias("period")).agg(
+        F.avg(net_price()).alias("price")
+    )
+    number = F.dayofmonth("day")
+    minute = F.when(F.col("period") % 2 == 0, "00").otherwise("30")
+    hour = F.lpad(F.floor(F.col("period") / 2).cast("string"), 2, "0")
+    start = F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit("T"), hour, F.lit(":"), minute, F.lit(":00Z"))
+    empty = (F.col("provider") == OTHER_PROVIDER) | ((number == 5) & (F.col("period") == 47))
+    entry = F.struct(
+        F.when((number == 9) & (F.col("period") == 46), "n/a").otherwise(start).alias("startTime"),
+        F.col("provider").alias("dataProvider"),
+        F.when(empty, 0.0).otherwise(F.col("price")).alias("price"),
+    )
+    return rows.groupBy("day").agg(F.to_json(F.struct(F.collect_list(entry).alias("data"))).alias("value"))
+
+
+def generation_payloads(lineitem: DataFrame) -> DataFrame:
+    """One payload a day: half-hour generation by fuel as text, 528 entries at most.
+
+    One fuel is unreadable on the 7th and missing on the 8th of a month.
+    """
+    rows = lineitem.groupBy(
+        F.to_date("l_shipdate").alias("day"),
+        pick(FUELS, F.col("l_partkey") % len(FUELS)).alias("fuel"),
+        half_hour().alias("period"),
+    ).agg(F.sum("l_quantity").alias("amount"))
+    oil, number = F.col("fuel") == "OIL", F.dayofmonth("day")
+    text = F.when(oil & (number == 7), "n/a").when(~(oil & (number == 8)), F.col("amount").cast("string"))
+    entry = F.struct(
+        F.date_format("day", "yyyy-MM-dd").alias("settlementDate"),
+        F.col("fuel").alias("fuelType"),
+        text.alias("generation"),
+    )
+    return rows.groupBy("day").agg(F.to_json(F.struct(F.collect_list(entry).alias("data"))).alias("value"))
+
+
 class SampleStudy(Study):
     """A study over the sample tables in one directory."""
 

@@ -8,6 +8,7 @@ partition day; views then prune days and columns and push code filters into the
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from tidemark.sources import readers, sinks, typed
 
@@ -26,3 +27,16 @@ def copy_articles(spark: SparkSession, raw_path: str, out: str, tokens=()) -> No
 
 def read_copy(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def register(spark: SparkSession, name: str, path: str, schema: T.StructType, by: str) -> None:
+    """An external table over a partitioned folder that something else has written.
+
+    The catalog finds the partitions itself; the folder stays where the table is dropped.
+    """
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    columns = T.StructType([*[f for f in schema.fields if f.name != by], schema[by]])
+    spark.sql(
+        f"CREATE TABLE {name} ({columns.toDDL()}) USING parquet PARTITIONED BY (`{by}`) LOCATION '{path}'"
+    )
+    spark.catalog.recoverPartitions(name)

@@ -104,6 +104,41 @@ def source_metrics(sources: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     return union_all(parts)
 
 
+def panel_metrics(panel: DataFrame, day: str, names: dict[str, str]) -> DataFrame:
+    """``source_metrics`` of aligned series in one pass: ``{source: name}``, where the panel has
+    ``has_<name>`` (see ``series.align``)."""
+    entries = []
+    for source, name in names.items():
+        there = F.col(f"has_{name}")
+        entries.append(
+            F.struct(
+                F.lit(source).alias("source"),
+                F.count_if(there).alias("rows"),
+                F.min(F.when(there, F.col(day))).alias("first_date"),
+                F.max(F.when(there, F.col(day))).alias("last_date"),
+            )
+        )
+    return panel.agg(F.array(*entries).alias("_m")).select(F.inline("_m"))
+
+
+def column_profile(frames: dict[str, DataFrame]) -> DataFrame:
+    """(object, column, type, n_rows, n_present) of every column; one pass over each frame."""
+    parts = []
+    for name, frame in frames.items():
+        entries = [
+            F.struct(
+                F.lit(name).alias("object"),
+                F.lit(f.name).alias("column"),
+                F.lit(f.dataType.simpleString()).alias("type"),
+                F.count(F.lit(1)).alias("n_rows"),
+                F.count(F.col(f"`{f.name}`")).alias("n_present"),
+            )
+            for f in frame.schema.fields
+        ]
+        parts.append(frame.agg(F.array(*entries).alias("_p")).select(F.inline("_p")))
+    return union_all(parts)
+
+
 def coverage(rows: DataFrame, day: str) -> DataFrame:
     """First and last day, distinct days, and the span they should fill.
 

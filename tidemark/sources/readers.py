@@ -74,10 +74,13 @@ def headed_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     )
 
 
-def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Landed API payloads ``{"data": [...]}``: one row per array element over all files."""
+def json_rows(spark: SparkSession, path: str, schema: str, a_line: bool = False) -> DataFrame:
+    """Landed API payloads ``{"data": [...]}``: one row per array element over all files.
+
+    A file is one payload, or holds one on each line (``a_line``), which lets Spark split it.
+    """
     return (
-        spark.read.option("multiLine", "true")
+        spark.read.option("multiLine", str(not a_line).lower())
         .schema(schema)
         .json(path)
         .select(F.explode("data").alias("row"))
@@ -85,6 +88,30 @@ def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     )
 
 
+def half_hour_prices(
+    spark: SparkSession, path: str, provider: str | None = None, a_line: bool = False
+) -> DataFrame:
+    """Price payloads as rows: price_date (UTC day of the start), start, price.
+
+    Text that is no time gives a NULL day. ``provider`` keeps one of the sources of a payload.
+    """
+    rows = json_rows(spark, path, schemas.HALF_HOUR_PRICES, a_line)
+    if provider is not None:
+        rows = rows.filter(F.col("dataProvider") == provider)
+    start = F.try_to_timestamp(F.col("startTime"), F.lit("yyyy-MM-dd'T'HH:mm:ssX"))
+    return rows.select(F.to_date(start).alias("price_date"), start.alias("start"), "price")
+
+
+def half_hour_generation(spark: SparkSession, path: str, a_line: bool = False) -> DataFrame:
+    """Generation payloads as rows: price_date, fuel, amount (text; see ``mix_shares``)."""
+    rows = json_rows(spark, path, schemas.HALF_HOUR_GENERATION, a_line)
+    return rows.select(
+        F.try_to_date("settlementDate", "yyyy-MM-dd").alias("price_date"),
+        F.col("fuelType").alias("fuel"),
+        F.col("generation").alias("amount"),
+    )
+
+
 def is_file(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -7,6 +7,8 @@ empty or broken value becomes NULL instead of failing the job.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +30,9 @@ def whole_number(text: Column) -> Column:
     return F.round(text.try_cast("double")).try_cast("int")
 
 
-def typed_events(raw: DataFrame) -> DataFrame:
-    kept = ["date"] if "date" in raw.columns else []
+def typed_events(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """``keep`` names further columns that stay as they are."""
+    kept = [*(["date"] if "date" in raw.columns else []), *keep]
     return raw.select(
         F.col("globaleventid").alias("event_id"),
         day_of("day").alias("event_date"),

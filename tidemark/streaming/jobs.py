@@ -158,5 +158,82 @@ def burst_on_closed_days(
     return series.burst(closed, "event_date", "event_count", rows)
 
 
+def in_waves(
+    waves: Sequence[DataFrame], landing: str, run: Callable[[], DataFrame]
+) -> DataFrame:
+    """Let files land one wave after the other and run the job after each.
+
+    Every run starts a new query from the checkpoint of the one before, so state, watermark and
+    progress pass over a restart. The last run's result comes back.
+    """
+    out = None
+    for wave in waves:
+        wave.write.mode("append").parquet(landing)
+        out = run()
+    if out is None:
+        raise ValueError("no wave has landed")
+    return out
+
+
+def upsert_days(
+    stream: DataFrame, out: str, checkpoint: str, delay: str = "1 day", ts: str = "ts"
+) -> DataFrame:
+    """Daily roll-up with days still open: a day is there from its first row on.
+
+    Update mode hands on the days a batch has changed; each batch writes them to a folder named
+    by its id, so a repeated batch replaces its own rows, and the latest version of a day counts.
+    ``open`` says that rows of the day may still come: the day ends after the newest timestamp
+    less ``delay``.
+    """
+    spark = stream.sparkSession
+    rolled = (
+        event_time(stream, ts)
+        .withWatermark(ts, delay)
+        .groupBy(F.window(ts, "1 day").alias("_w"))
+        .agg(
+            F.count(F.lit(1)).alias("event_count"),
+            F.sum("tone").alias("_tone"),
+            F.count("tone").alias("_toned"),
+            F.sum("mentions").alias("total_mentions"),
+            F.max(ts).alias("newest"),
+        )
+        .select(F.to_date("_w.start").alias("event_date"), "event_count", "_tone", "_toned",
+                "total_mentions", "newest")
+    )
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    query = (
+        rolled.writeStream.foreachBatch(handle)
+        .outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    schema = (
+        "event_date date, event_count long, _tone double, _toned long, total_mentions long, "
+        "newest timestamp, batch_id long"
+    )
+    versions = batch_files(spark, out, schema)
+    names = ("event_count", "_tone", "_toned", "total_mentions", "newest")
+    days = (
+        versions.groupBy("event_date")
+        .agg(F.max_by(F.struct(*names), "batch_id").alias("_d"), F.count(F.lit(1)).alias("n_versions"))
+        .select("event_date", "_d.*", "n_versions")
+    )
+    closed = days.agg((F.max("newest") - F.expr(f"INTERVAL '{delay}'")).alias("_m")).scalar()
+    end = F.date_add("event_date", 1).cast("timestamp")
+    return days.select(
+        "event_date",
+        "event_count",
+        F.try_divide("_tone", "_toned").alias("avg_tone"),
+        "total_mentions",
+        (end > closed).alias("open"),
+        "n_versions",
+    )
+
+
 def conflict_stream(stream: DataFrame, countries, classes) -> DataFrame:
     return rollups.conflict_rows(stream, countries, classes)
