@@ -79,6 +79,30 @@ def test_chain_marginals_equal_enumeration():
     assert np.allclose(marginals[0, :6], good / whole) and pair.sum() == pytest.approx(5)
 
 
+def test_gradient_equals_differences():
+    """Documents of 2, 3 and 40 lines: no document steers the transitions by its length."""
+    rng = np.random.default_rng(4)
+    docs = [rng.normal(size=(n, quality_crf.LINE)) for n in (2, 3, 40)]
+    (batch,) = quality_crf.batches(docs, [1, 0, 1])
+    at = rng.normal(size=3 * quality_crf.LINE + 4) / 3
+
+    def loss(z):
+        return quality_crf.gradient(quality_crf.Chain(z[:-4], z[-4:].reshape(2, 2)), *batch)
+
+    grad = loss(at)[1]
+    for i in range(len(at)):
+        step = np.zeros(len(at))
+        step[i] = 1e-5
+        assert grad[i] == pytest.approx((loss(at + step)[0] - loss(at - step)[0]) / 2e-5, abs=1e-6)
+
+
+def test_batches_are_bounded():
+    docs = [np.ones((n, quality_crf.LINE)) for n in [1] * 600 + [300] * 200 + [40_000]]
+    found = quality_crf.batches(docs, [0] * len(docs))
+    assert sum(len(y) for *_, y in found) == len(docs)
+    assert all(m.size <= max(quality_crf.LINES, m.shape[1]) and len(y) <= 250 for _, m, y in found)
+
+
 def test_label_model_weighs_accurate_voters_and_discounts_copies():
     rng = np.random.default_rng(3)
     y = rng.random(4000) < 0.3

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from compare import difference
 
-from tidemark.llm import exact_dedup, near_join, quality_rules, queries
+from tidemark.llm import bloom, exact_dedup, near_join, quality_rules, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -22,9 +22,10 @@ def norm(text):
     return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
 
 
-@pytest.mark.parametrize("bound", [exact_dedup.BROADCAST_BYTES, 0])
-def test_exact_duplicates(odd, odd_rows, monkeypatch, bound):
-    monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", bound)
+@pytest.mark.parametrize("cells, hot", [(1 << 29, 4096), (8, 1)])  # 8: a filter that is full
+def test_exact_duplicates(odd, odd_rows, monkeypatch, cells, hot):
+    monkeypatch.setattr(bloom, "MAX_CELLS", cells)
+    monkeypatch.setattr(bloom, "HOT_KEYS", hot)
     groups = defaultdict(list)
     for r in odd_rows:
         groups[norm(r.text)].append(r.doc_id)

@@ -51,7 +51,7 @@ def test_taken_words(odd, odd_rows, monkeypatch):
     again = mixing.taken_words(odd.repartition(5)).collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
     drawn = mixing.mixed(odd)
-    assert drawn.drop("__shard", "__order").columns == odd.columns
+    assert drawn.columns == odd.columns
     times = Counter(r.doc_id for r in drawn.collect())
     want = Counter()
     for r in got:
@@ -72,9 +72,23 @@ def test_mix_comes_near_its_targets(spark):
 
 
 def test_write_shards(odd, spark, tmp_path):
-    drawn = mixing.mixed(odd, shards=4)
+    drawn = mixing.drawn(odd, shards=4)
     mixing.write_shards(drawn, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == drawn.count()
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert written.count() == drawn.count() == mixing.mixed(odd, shards=4).count()
+    # the shards of the written copies are those that the query names
+    found = Counter((r.doc.doc_id, r.doc.text, r.shard) for r in written.collect())
+    named = mixing.taken_words(odd, shards=4).withColumn("shard", F.explode(F.split("shards", ",")))
+    sums = Counter()
+    for (doc_id, _, shard), n in found.items():
+        sums[doc_id, shard] += n
+    assert sums == Counter((r.doc_id, int(r.shard)) for r in named.where("shard <> ''").collect())
+
+
+def test_the_tree_decides_the_shards(odd):
+    one, many = (mixing.taken_words(odd, shards=n).collect() for n in (1, 16))
+    assert {x for r in one for x in r.shards.split(",") if x} == {"0"}
+    assert len({x for r in many for x in r.shards.split(",") if x}) > 1
 
 
 def test_ids_equal_those_of_the_definition(spark):
@@ -90,6 +104,15 @@ def test_ids_equal_those_of_the_definition(spark):
         assert encoder.encode(text) == want, repr(text)
 
 
+@pytest.mark.parametrize("run", [" " * 1_000_000, "\t" * 5_000_000, "\n" * 1_000_000, " \n\t" * 400_000, "a" * 300_000])
+def test_very_long_runs(run):
+    encoder = packing.Encoder(open(PATH, encoding="utf-8").read())
+    whole = Tokenizer.from_file(PATH)
+    for text in (run, f"some words{run}and more"):
+        want = np.asarray(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert encoder.encode(text) == want
+
+
 def test_other_tokenizers_are_not_ranked():
     path = public_tokenizers.path("word_bpe_49k.json")
     encoder = packing.Encoder(open(path, encoding="utf-8").read())

@@ -2,8 +2,12 @@
 
 Pass 1 hashes every text once into a fingerprint table and counts how often each filter cell
 is hit. Cells hit at least twice form the filter: its bits are set where a repetition is
-possible. Pass 2 probes both cells of each row; only rows for which both are set shuffle to
-their group, the rest pass straight through. Everything is DataFrame and SQL functions.
+possible. Pass 2 probes the cell of each row; only rows for which it is set shuffle to their
+group, the rest pass straight through. Groups that hold a large share of all rows are joined by
+broadcast. Everything is DataFrame and SQL functions.
+
+The filter has a bounded size (``bloom.MAX_CELLS``, 64 MB). Far above 17 million rows it fills up:
+more rows without a copy then take the way of the suspects, the results stay the same.
 """
 
 from __future__ import annotations
@@ -11,11 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import bloom
 from tidemark.llm.shared import SPACE, saved
 
-CELLS_PER_ROW = 16
-#: A filter above this size is not broadcast; its cells are joined instead.
-BROADCAST_BYTES = 64 << 20
+#: A row has one cell, so the filter has twice the cells a row that two cells would need.
+CELLS_FACTOR = 2
 
 
 def normalised(text: str = "text") -> Column:
@@ -34,68 +38,26 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
-def cells_for(rows: int) -> int:
-    return max(1 << 15, 1 << (CELLS_PER_ROW * max(rows, 1) - 1).bit_length())
-
-
-def cell(sha: str, which: int, cells: int) -> Column:
-    """Cell number from 1 on; the two numbers come from separate parts of the digest."""
-    part = F.substring(sha, 1 + 15 * which, 15)
-    return F.pmod(F.conv(part, 16, 10).cast("long"), F.lit(cells)) + 1
-
-
-def repeated_cells(prints: DataFrame, cells: int) -> DataFrame:
-    """Pass 1: the cells that two or more rows hit, combined before the shuffle."""
-    both = F.array_distinct(F.array(cell("text_sha256", 0, cells), cell("text_sha256", 1, cells)))
-    return (
-        prints.select(F.explode(both).alias("cell"))
-        .groupBy("cell")
-        .agg(F.count(F.lit(1)).alias("hits"))
-        .where("hits > 1")
-        .select("cell")
-    )
-
+def cell(sha: str, cells: int) -> Column:
+    """Cell number from 1 on, from the digest."""
+    return F.pmod(F.conv(F.substring(sha, 1, 15), 16, 10).cast("long"), F.lit(cells)) + 1
 
-def bitmaps(repeated: DataFrame) -> DataFrame:
-    """The filter as 4 KB bitmaps, one for each run of 32,768 cells."""
-    return (
-        repeated.select(F.bitmap_bucket_number("cell").alias("bucket"), "cell")
-        .repartition("bucket")
-        .groupBy("bucket")
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
-    )
 
+def repeated_cells(prints: DataFrame) -> tuple[DataFrame, int]:
+    """Pass 1: the filter of cells that two or more rows hit, as bitmaps, and its size.
 
-def _probe(frame: DataFrame, maps: DataFrame, which: int, cells: int) -> DataFrame:
-    at = cell("text_sha256", which, cells)
-    position = F.bitmap_bit_position(at)
-    byte = F.conv(F.hex(F.substring("bits", F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10)
-    bit = F.pmod(
-        F.floor(byte.cast("long") / F.pow(F.lit(2), F.pmod(position, F.lit(8)))).cast("long"), F.lit(2)
-    )
-    return (
-        frame.withColumn("bucket", F.bitmap_bucket_number(at))
-        .join(F.broadcast(maps), "bucket", "left")
-        .withColumn(f"hit{which}", F.coalesce(bit == 1, F.lit(False)))
-        .drop("bucket", "bits")
-    )
+    One cell number a row is counted, combined in map tasks first, so a text that a third of all
+    rows share costs each task one number. Ids, digests and texts stay where they are.
+    """
+    cells = bloom.cells_for(CELLS_FACTOR * prints.count())
+    hit = prints.select(cell("text_sha256", cells).alias("cell")).groupBy("cell")
+    twice = hit.agg(F.count(F.lit(1)).alias("hits")).where("hits > 1").select("cell")
+    return saved(bloom.bitmaps(twice), "bloom-cells"), cells
 
 
-def flagged(frame: DataFrame, repeated: DataFrame, cells: int) -> DataFrame:
-    """Pass 2: ``frame`` (with text_sha256) plus ``possible``: both cells are in the filter."""
-    if cells // 8 <= BROADCAST_BYTES:
-        maps = bitmaps(repeated)
-        for which in (0, 1):
-            frame = _probe(frame, maps, which, cells)
-    else:
-        for which in (0, 1):
-            frame = (
-                frame.withColumn("cell", cell("text_sha256", which, cells))
-                .join(repeated.withColumn(f"hit{which}", F.lit(True)), "cell", "left")
-                .drop("cell")
-                .withColumn(f"hit{which}", F.coalesce(f"hit{which}", F.lit(False)))
-            )
-    return frame.withColumn("possible", F.col("hit0") & F.col("hit1")).drop("hit0", "hit1")
+def flagged(frame: DataFrame, maps: DataFrame, cells: int) -> DataFrame:
+    """Pass 2: ``frame`` (with text_sha256) plus ``possible``: its cell is in the filter."""
+    return bloom.probed(frame, maps, cell("text_sha256", cells), "possible")
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -107,8 +69,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     table gives no rows. Other columns of ``docs`` are not read.
     """
     prints = fingerprints(docs)
-    cells = cells_for(prints.count())
-    marked = saved(flagged(prints, repeated_cells(prints, cells), cells), "bloom-marked")
+    marked = saved(flagged(prints, *repeated_cells(prints)), "bloom-marked")
     once = marked.where(~F.col("possible")).select(
         "doc_id",
         F.col("doc_id").alias("keep_id"),
@@ -119,7 +80,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     perhaps = marked.where("possible").drop("possible")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
     groups = perhaps.groupBy("text_sha256").agg(first, F.count(F.lit(1)).alias("group_size"))
-    repeats = perhaps.join(groups, "text_sha256").select(
+    groups = saved(groups, "copy-groups")
+    repeats = bloom.joined_to_groups(perhaps, groups, "text_sha256", "group_size").select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
         "group_size",
@@ -136,11 +98,11 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     doc_id of its group stays; where several rows share text and doc_id, one of them.
     """
     prints = fingerprints(docs)
-    cells = cells_for(prints.count())
-    repeated = saved(repeated_cells(prints, cells), "bloom-cells")
-    perhaps = flagged(prints, repeated, cells).where("possible")
+    maps, cells = repeated_cells(prints)
     groups = (
-        perhaps.groupBy("text_sha256", "doc_id")
+        flagged(prints, maps, cells)
+        .where("possible")
+        .groupBy("text_sha256", "doc_id")
         .agg(F.count(F.lit(1)).alias("ties"))
         .groupBy("text_sha256")
         .agg(
@@ -148,19 +110,18 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
             F.sum("ties").alias("size"),
         )
         .where("size > 1")
-        .select("text_sha256", "keep")
     )
+    groups = saved(groups, "copy-groups")
     names = docs.columns
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc")).withColumn(
         "text_sha256",
         F.sha2(F.regexp_replace(F.coalesce("doc.text", F.lit("")), SPACE, " ").cast("binary"), 256),
     )
-    marked = flagged(inner, repeated, cells)
+    marked = flagged(inner, maps, cells)
     straight = marked.where(~F.col("possible")).select("doc.*")
-    joined = (
-        marked.where("possible")
-        .join(groups, "text_sha256", "left")
-        .where(F.col("keep").isNull() | F.col("doc.doc_id").eqNullSafe(F.col("keep.doc_id")))
+    perhaps = marked.where("possible").drop("possible")
+    joined = bloom.joined_to_groups(perhaps, groups, "text_sha256", "size", "left").where(
+        F.col("keep").isNull() | F.col("doc.doc_id").eqNullSafe(F.col("keep.doc_id"))
     )
     single = joined.where(F.coalesce(F.col("keep.ties"), F.lit(1)) == 1).select("doc.*")
     tied = joined.where("keep.ties > 1").dropDuplicates(["text_sha256"]).select("doc.*")

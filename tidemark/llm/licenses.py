@@ -7,6 +7,7 @@ matches are chained per template, in the order of text and template, into covere
 
 from __future__ import annotations
 
+from bisect import bisect, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -81,23 +82,23 @@ def tokens(text: str | None) -> list[bytes]:
 class SuffixAutomaton:
     """Automaton of all parts of several token sequences.
 
-    ``ends`` of a state maps a sequence's number to the first place where the state's
-    strings end in it.
+    ``ends`` of a state maps a sequence's number to all places where the state's strings end in
+    it.
     """
 
     def __init__(self, sequences: list[list[int]]):
         self.step: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[dict[int, set[int]]] = [{}]
         for number, sequence in enumerate(sequences):
             last = 0
             for place, token in enumerate(sequence):
                 last = self._extend(last, token)
-                self.ends[last].setdefault(number, place + 1)
+                self.ends[last].setdefault(number, set()).add(place + 1)
         for state in sorted(range(1, len(self.step)), key=lambda s: -self.length[s]):
             up = self.ends[self.link[state]]
-            for number, place in self.ends[state].items():
-                up[number] = min(place, up.get(number, place))
+            for number, places in self.ends[state].items():
+                up.setdefault(number, set()).update(places)
 
     def _state(self, length: int) -> int:
         self.step.append({})
@@ -191,27 +192,68 @@ class LicenceScanner:
             if end - start < MIN_MATCH:
                 continue  # words of no template on both sides: no longer match is possible
             for stop, length, state in self.automaton.matches(ids[start:end].tolist(), MIN_MATCH):
-                for template, place in self.automaton.ends[state].items():
+                for template, places in self.automaton.ends[state].items():
                     at = int(start) + stop
-                    pieces.setdefault(template, []).append((at - length, at, place))
+                    found = pieces.setdefault(template, [])
+                    found += [(at - length, at, place) for place in sorted(places)]
         out = []
         for template, matches in pieces.items():
-            chain: list[tuple[int, int, int]] = []
-            for match in [*sorted(matches), None]:
-                if match and chain:
-                    _, end, place = chain[-1]
-                    skipped = match[0] - end
-                    overlap = max(0, -skipped)
-                    if skipped <= MAX_GAP and match[2] > place and match[1] - match[0] > overlap:
-                        chain.append((match[0] + overlap, match[1], match[2]))
-                        continue
-                if chain:
-                    covered = min(1.0, sum(b - a for a, b, _ in chain) / self.sizes[template])
-                    out.append(Span(self.labels[template], chain[0][0], chain[-1][1], covered))
-                chain = [match] if match else []
+            for chain, covered in chains(sorted(matches)):
+                share = min(1.0, covered / self.sizes[template])
+                out.append(Span(self.labels[template], chain[0][0], chain[-1][1], share))
         return out
 
 
+Match = tuple[int, int, int]  # start and end in the text, end in the template
+
+
+def chains(matches: list[Match]) -> Iterator[tuple[list[Match], int]]:
+    """Chains of sorted matches that go forward in text and template, with the words they cover.
+
+    A chain may skip ``MAX_GAP`` words of text; an overlap counts once. Of the matches close to
+    each other the best chain comes first, then the best of what lies before and after it.
+    """
+    cluster: list[Match] = []
+    end = 0
+    for match in [*matches, None]:
+        if cluster and (match is None or match[0] - end > MAX_GAP):
+            yield from _best_chains(cluster)
+            cluster = []
+        if match:
+            end = max(end, match[1]) if cluster else match[1]
+            cluster.append(match)
+
+
+def _best_chains(matches: list[Match]) -> Iterator[tuple[list[Match], int]]:
+    """Chains of one cluster, those that cover most first; no two share a place of the text."""
+    covered = [b - a for a, b, _ in matches]
+    back = [-1] * len(matches)
+    reach = MAX_GAP + max(covered)
+    for i, (a, b, place) in enumerate(matches):
+        for j in range(i - 1, -1, -1):
+            start, end, before = matches[j]
+            if start < a - reach:
+                break  # this and all earlier ones end too far before
+            gain = b - max(a, end)
+            if a - end <= MAX_GAP and place - before >= gain > 0 and covered[j] + gain > covered[i]:
+                covered[i], back[i] = covered[j] + gain, j
+    taken: list[tuple[int, int]] = []  # ranges of the text, in order
+    for at in sorted(range(len(matches)), key=lambda i: (-covered[i], i)):
+        k = bisect(taken, (matches[at][1],))
+        floor = taken[k - 1][1] if k else 0
+        if k < len(taken) and taken[k][0] < matches[at][1] or matches[at][0] < floor:
+            continue
+        chain, words = [], 0
+        while at >= 0 and matches[at][0] >= floor:
+            start, end, _ = matches[at]
+            words += (chain[-1][0] if chain and chain[-1][0] < end else end) - start
+            chain.append(matches[at])
+            at = back[at]
+        chain.reverse()
+        insort(taken, (chain[0][0], chain[-1][1]))
+        yield chain, words
+
+
 def _work(rows: Iterator[tuple]) -> Iterator[tuple]:
     scanner = LicenceScanner(TEMPLATES)
     get = scanner.ids.get

@@ -177,7 +177,8 @@ def _frame(spark, rows: pd.DataFrame, schema: str) -> DataFrame:
 def chosen_units(sized: DataFrame, mix: Mix) -> DataFrame:
     """Units taken from the blocks drawn in part: largest first, each that still fits.
 
-    One block is one group; its size does not grow with the table. The sum misses the budget
+    One block is one group: about ``BLOCK_WORDS`` words, or a ``MAX_BLOCKS``-th of all words where
+    that is more (above 8.6 billion words). The sum misses the budget
     by less than the smallest unit left out. Columns: unit, number, copy, shard.
     """
     spark = sized.sparkSession
@@ -214,28 +215,39 @@ def taken_words(
     shards: int = SHARDS,
     seed: int = 17,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken.
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken, shards.
 
     ``size`` counts the words of the text (null: 0), ``taken`` the words the mix takes of it,
-    repeats counted: whole documents up to ``cap`` times. Sources are ordered by code point,
+    repeats counted: whole documents up to ``cap`` times. ``shards`` lists the output shards the
+    splitting tree sends these copies to, one number a copy, comma-joined. Sources are ordered by code point,
     null last, and take ``weights`` in turn. Reruns agree. Rows with equal doc_id and text are
     drawn together; an empty table gives no rows; other columns are not read.
     """
     sized = saved(measured(docs, seed), "mix-sizes")
     mix = design(sized, weights, share, cap, shards, seed)
     spark = docs.sparkSession
-    whole = _frame(spark, mix.draws, DRAWS).groupBy("number", "block").agg(F.count("copy").alias("n"))
-    part = chosen_units(sized, mix).groupBy("unit", "number").agg(F.count("copy").alias("m"))
-    times = F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))
+    shards_of = F.collect_list("shard")
+    whole = _frame(spark, mix.draws, DRAWS).groupBy("number", "block").agg(shards_of.alias("n"))
+    part = chosen_units(sized, mix).groupBy("unit", "number").agg(shards_of.alias("m"))
+    none = F.array().cast("array<int>")
+    found = F.sort_array(F.concat(F.coalesce("n", none), F.coalesce("m", none)))
+    drawn = F.when(F.col("size") > 0, found).otherwise(none)
     return (
         with_blocks(sized, mix.sources)
         .join(F.broadcast(whole), ["number", "block"], "left")  # a row per block at most
         .join(part, ["unit", "number"], "left")
-        .select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"))
+        .select(
+            "doc_id",
+            "size",
+            "source_size",
+            "target",
+            (F.col("size") * F.size(drawn)).alias("taken"),
+            F.array_join(drawn.cast("array<string>"), ",").alias("shards"),
+        )
     )
 
 
-def mixed(
+def drawn(
     docs: DataFrame,
     weights: tuple[float, ...] = WEIGHTS,
     share: float = SHARE,
@@ -243,14 +255,14 @@ def mixed(
     shards: int = SHARDS,
     seed: int = 17,
 ) -> DataFrame:
-    """The rows of ``docs`` as often as the mix draws them, plus __shard and __order.
+    """The rows of ``docs``, as often as the mix draws them: doc (a struct of their columns),
+    shard, and order, a random number by which a shard is shuffled.
 
     The draws are joined to the documents by block; texts are not shuffled. Documents without
     words are never drawn.
     """
-    names = docs.columns
     keyed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
         "source",
         F.size(words()).cast("long").alias("size"),
         unit(seed).alias("unit"),
@@ -264,16 +276,25 @@ def mixed(
     both = whole.select("doc", "copy", "shard", "unit").unionByName(
         part.select("doc", "copy", "shard", "unit")
     )
-    return both.select(
-        "doc.*", F.col("shard").alias("__shard"), F.xxhash64("unit", "copy", "shard").alias("__order")
-    )
+    return both.select("doc", "shard", F.xxhash64("unit", "copy", "shard").alias("order"))
 
 
-def write_shards(mix: DataFrame, path: str) -> None:
-    """One folder per shard, rows in a shuffled order; large shards are split over tasks."""
-    (
-        mix.repartition("__shard", F.pmod("__order", F.lit(64)))
-        .sortWithinPartitions("__shard", "__order")
-        .write.partitionBy("__shard")
-        .parquet(path)
-    )
+#: Parts a shard is shuffled in.
+PARTS = 64
+
+
+def shuffled(rows: DataFrame) -> DataFrame:
+    """``drawn`` rows dealt to their shards, each shard in a random order; a shard is split over
+    tasks, rows of one task lie in the order of shard and random number."""
+    return rows.repartition("shard", F.pmod("order", F.lit(PARTS))).sortWithinPartitions("shard", "order")
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` with their columns, as often as the mix draws them, shard by shard in
+    a random order (see ``drawn``)."""
+    return shuffled(drawn(docs, **how)).select("doc.*")
+
+
+def write_shards(rows: DataFrame, path: str) -> None:
+    """Write ``drawn`` rows: one folder ``shard=N`` a shard, its rows in a shuffled order."""
+    shuffled(rows).write.partitionBy("shard").parquet(path)

@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,9 @@ from tidemark.llm.shared import map_texts, saved
 
 CAPACITY = 1024
 END_ID = 2
+#: A run of white space of this length is left to the tokenizer itself: the rank encoder's pattern
+#: goes back over such a run and fails where it is very long.
+LONG_RUN = 10_000
 #: Ranks within one length are numbered in so many parts at least, of so many rows about.
 PARTS, ROWS_PER_PART = 64, 200_000
 
@@ -77,19 +82,25 @@ def ranked_encoding(definition: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
+def has_long_run(text: str, length: int = LONG_RUN) -> bool:
+    return len(text) >= length and any(len(run) >= length for run in re.findall(r"\s+", text))
+
+
 class Encoder:
     """Token ids of whole texts as little-endian 32-bit bytes."""
 
     def __init__(self, definition: str):
-        self.ranked = ranked_encoding(definition)
-        if self.ranked is None:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
+        self.ranked, self.definition = ranked_encoding(definition), definition
+
+    @cached_property
+    def whole(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-            self.whole = Tokenizer.from_str(definition)
+        return Tokenizer.from_str(self.definition)
 
     def encode(self, text: str) -> bytes:
-        if self.ranked is not None:
+        if self.ranked is not None and not has_long_run(text):
             ids = self.ranked.encode_to_numpy(text, allowed_special="all")
         else:
             ids = self.whole.encode(text, add_special_tokens=False).ids
@@ -216,7 +227,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
 
     A null text counts as empty: its only id is ``end_id``. Repeated rows are packed as often
     as they occur; a null doc_id stays null; an empty table gives no rows; other columns are
-    not read. The driver holds one count per length and part, whatever the number of pieces.
+    not read. The driver holds one count per length, whatever the number of pieces.
     """
     pieces = saved(pieces_of(docs, tokenizer, capacity, end_id), "pieces")
     counts = pieces.groupBy("length").count().collect()
@@ -227,25 +238,28 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     keyed = pieces.withColumn(
         "part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int")
     )
-    sizes = keyed.groupBy("length", "part").count().collect()
-    first = np.zeros((capacity + 1, parts + 1), dtype=np.int64)
-    for r in sizes:
-        first[r["length"], r["part"] + 1] = r["count"]
-    first = first.cumsum(axis=1)
     runs = places(plan(histogram, capacity))
-    shared = docs.sparkSession.sparkContext.broadcast((first, runs))
-
+    shared = docs.sparkSession.sparkContext.broadcast(runs)
+
+    # rank of a piece among its length: its rank in its part, after the parts before
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = (
+        keyed.groupBy("length", "part")
+        .count()
+        .select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    )
     window = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32", "start")
-    ranked = keyed.withColumn("rank", F.row_number().over(window) - 1)
+    inside = keyed.withColumn("rank", F.row_number().over(window) - 1)
+    ranked = inside.join(firsts, ["length", "part"])
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def place(batches):
-        first, runs = shared.value
+        runs = shared.value
         for batch in batches:
-            length, part, rank = (
-                batch.column(n).to_numpy().astype(np.int64) for n in ("length", "part", "rank")
+            length, first, rank = (
+                batch.column(n).to_numpy().astype(np.int64) for n in ("length", "first", "rank")
             )
-            rank = rank + first[length, part]
+            rank = rank + first
             sequence, offset = np.zeros_like(rank), np.zeros_like(rank)
             for value in np.unique(length):
                 at = length == value

@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import crc_of_id, map_texts
 
-#: Bound of the labelled documents that reach the driver for training.
+#: Bound of the labelled documents whose line features reach the driver for training.
 LABELLED = 4_000
 SYMBOLS = b"#*$%&|<>{}[]\\^~=_"
 WINDOW = 5
 #: Steps, step size and ridge of the training.
 STEPS, RATE, RIDGE = 250, 0.05, 1e-3
+#: Documents and padded lines of a training batch.
+DOCS, LINES = 250, 25_000
 
 _UPPER = bytes(range(65, 91))
 _LETTER = _UPPER + bytes(range(97, 123))
@@ -108,10 +110,12 @@ class Chain:
     def untrained(cls) -> Chain:
         return cls(np.zeros(3 * LINE), np.zeros((2, 2)))
 
-    def marginals(self, node: np.ndarray, mask: np.ndarray):
+    def marginals(self, node: np.ndarray, mask: np.ndarray, share: np.ndarray | None = None):
         """Forward-backward over padded documents: ``node`` (document x line) is the potential
-        of good. Marginals of good, pair marginals, and the log of the partition sums."""
+        of good. Marginals of good, sums of pair marginals (a document counts ``share``), and the
+        log of the partition sums."""
         n, length = node.shape
+        share = np.ones(n) if share is None else share
         pot = np.stack([np.zeros_like(node), node], axis=2)
         ahead, back = np.zeros((n, length, 2)), np.zeros((n, length, 2))
         ahead[:, 0] = pot[:, 0]
@@ -133,7 +137,7 @@ class Chain:
                 + (pot[:, i] + back[:, i])[:, None, :]
                 - whole[:, None, None]
             )
-            pair += (np.exp(both) * mask[:, i, None, None]).sum(axis=0)
+            pair += (np.exp(both) * (mask[:, i] * share)[:, None, None]).sum(axis=0)
         return good, pair, whole
 
     def quality(self, rows: np.ndarray, weight: np.ndarray) -> float:
@@ -160,43 +164,61 @@ class Chain:
         return odds / (1 + odds)
 
 
-def train(texts: list[str | None], labels: list[int]) -> Chain:
-    """Maximum likelihood; each line of a training document has the document's label.
+def gradient(chain: Chain, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """Loss of a batch and its gradient: the negative log-likelihood a line, averaged over the
+    documents, and the ridge. ``x`` is document x line x feature, ``y`` the documents' labels."""
+    lines = mask.sum(axis=1)
+    share = 1.0 / lines  # the lines of a long document share one document's weight
+    node = x @ chain.weight
+    good, pair, whole = chain.marginals(node, mask, share)
+    moves = (lines - 1) * share
+    seen = np.array([[(moves * (1 - y)).sum(), 0.0], [0.0, (moves * y).sum()]])
+    right = ((node * mask).sum(axis=1) * y * share).sum() + (seen * chain.moves).sum()
+    loss = ((whole * share).sum() - right) / len(y)
+    loss += RIDGE / 2 * float((chain.weight**2).sum() + (chain.moves**2).sum())
+    miss = (good - y[:, None] * mask) * share[:, None]
+    return loss, np.append(
+        np.einsum("nl,nlf->f", miss, x) / len(y) + RIDGE * chain.weight,
+        ((pair - seen) / len(y) + RIDGE * chain.moves).ravel(),
+    )
 
-    Documents are padded in groups of about equal numbers of lines. Both labels weigh as much
-    as they are frequent.
-    """
-    chain = Chain.untrained()
-    docs = [line_features(t)[0] for t in texts]
-    if not docs:
-        return chain
+
+def batches(docs: list[np.ndarray], labels: list[int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Documents of about equal numbers of lines, padded: ``DOCS`` at most, and ``LINES`` padded
+    lines unless one document alone has more."""
     order = sorted(range(len(docs)), key=lambda i: len(docs[i]))
-    groups = []
-    for at in range(0, len(order), 250):
-        part = order[at : at + 250]
-        longest = max(len(docs[i]) for i in part)
+    parts: list[list[int]] = []
+    for i in order:
+        if parts and len(parts[-1]) < DOCS and (len(parts[-1]) + 1) * len(docs[i]) <= LINES:
+            parts[-1].append(i)
+        else:
+            parts.append([i])
+    out = []
+    for part in parts:
+        longest = len(docs[part[-1]])
         x = np.zeros((len(part), longest, 3 * LINE))
         mask = np.zeros((len(part), longest), dtype=bool)
         for j, i in enumerate(part):
             x[j, : len(docs[i])] = with_neighbours(docs[i])
             mask[j, : len(docs[i])] = True
-        groups.append((x, mask, np.array([labels[i] for i in part], dtype=float)))
+        out.append((x, mask, np.array([labels[i] for i in part], dtype=float)))
+    return out
+
+
+def train(docs: list[np.ndarray], labels: list[int]) -> Chain:
+    """Maximum likelihood; each line of a training document has the document's label.
+
+    ``docs`` are line features. A document counts as one, however many lines it has; a step
+    takes one batch.
+    """
+    chain = Chain.untrained()
+    if not docs:
+        return chain
+    groups = batches(docs, labels)
     m = np.zeros(3 * LINE + 4)
     v = np.zeros_like(m)
     for t in range(1, STEPS + 1):
-        x, mask, y = groups[(t * 7919) % len(groups)]
-        good, pair, _ = chain.marginals(x @ chain.weight, mask)
-        # lines of long documents share one document's weight
-        share = (1.0 / mask.sum(axis=1))[:, None]
-        miss = (good - y[:, None] * mask) * share
-        links = (mask.sum(axis=1) - 1) * share[:, 0]
-        seen = np.array([[(links * (1 - y)).sum(), 0.0], [0.0, (links * y).sum()]])
-        total = pair.sum()
-        expected = pair / total * seen.sum() if total else pair
-        grad = np.append(
-            np.einsum("nl,nlf->f", miss, x) / len(y) + RIDGE * chain.weight,
-            ((expected - seen) / len(y) + RIDGE * chain.moves).ravel(),
-        )
+        _, grad = gradient(chain, *groups[(t * 7919) % len(groups)])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         chain.weight = chain.weight - move[:-4]
@@ -226,19 +248,20 @@ def quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Dat
     )
     ids = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).collect()
     chosen = spark.createDataFrame([(r["doc_id"], r["quality"]) for r in ids], "doc_id long, y int")
-    rows = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(chosen), "doc_id")
-        .dropDuplicates(["doc_id"])
-        .collect()
-    )
-    rows.sort(key=lambda r: r["doc_id"])
-    model = spark.sparkContext.broadcast(
-        train([r["text"] for r in rows], [int(r["y"]) for r in rows])
+    def features(found: Iterator[tuple]) -> Iterator[tuple]:
+        for doc_id, y, text in found:
+            yield doc_id, y, line_features(text)[0].tobytes()
+
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = map_texts(sample, ["doc_id", "y", "text"], features, "doc_id long, y int, lines binary", 64)
+    found = sorted(rows.collect(), key=lambda r: r["doc_id"])
+    chain = train(
+        [np.frombuffer(r["lines"]).reshape(-1, LINE) for r in found], [int(r["y"]) for r in found]
     )
+    model = spark.sparkContext.broadcast((chain.weight, chain.moves))
 
     def work(found: Iterator[tuple]) -> Iterator[tuple]:
-        chain = model.value
+        chain = Chain(*model.value)
         for doc_id, held, text in found:
             score = chain.quality(*line_features(text))
             yield doc_id, held, score, int(score >= 0.5)
