@@ -174,3 +174,25 @@ def test_token_counts(odd, odd_rows):
 @pytest.mark.parametrize("run", [pii.personal_data, licenses.license_scan])
 def test_empty_table(none, run):
     assert run(none).count() == 0
+
+
+def test_every_place_of_a_passage_counts():
+    scanner = licenses.LicenceScanner({"t": ["a b c d x y z u a b c d"]})
+
+    def spans(text):
+        ids = [scanner.ids.get(w, 0) for w in licenses.tokens(text)]
+        found = scanner.spans(licenses.np.array(ids, dtype="int32"))
+        return sorted((s.first, s.end, round(s.coverage, 2)) for s in found)
+
+    assert spans("x y z u q a b c d") == [(0, 9, 0.67)]
+    assert spans("a b c d x y z u a b c d") == [(0, 12, 1.0)]
+    # copies in a row, and very many of them
+    assert spans("a b c d x y z u a b c d " * 3) == [(i, i + 12, 1.0) for i in (0, 12, 24)]
+    assert len(spans("x y z u a b c d q " * 3000)) >= 3000
+    assert spans("q w e") == []
+
+
+def test_chains_go_forward_and_count_overlaps_once():
+    matches = [(0, 5, 5), (3, 9, 9), (30, 34, 4), (35, 40, 3)]
+    got = sorted((c[0][0], c[-1][1], n) for c, n in licenses.chains(matches))
+    assert got == [(0, 9, 9), (30, 34, 4), (35, 40, 5)]

@@ -1,10 +1,11 @@
 """Toxicity by weak supervision.
 
-Voters are lexicons and patterns mined from labelled training rows. A generative label model
-over the votes of all rows that are not held out estimates each voter's accuracy and the
-correlations between voters, and turns votes into posterior labels. A linear classifier is
-trained on those posteriors and scores every whole text. Texts are read in tasks only; the
-driver gets sums.
+One pass over the texts writes the hashed features of every document, words and their
+beginnings; all later steps read those. Voters are lexicons and patterns mined from labelled
+training rows. A generative label model over the votes of all rows that are not held out
+estimates each voter's accuracy and the correlations between voters, and turns votes into
+posterior labels. A linear classifier is trained on those posteriors and scores every document.
+Texts are read in tasks only; the driver gets sums.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,17 +25,21 @@ from tidemark.llm.shared import crc_of_id, map_texts, saved
 
 #: Bound of the rows whose label is used, all others vote without.
 LABELLED = 6_000
+#: Lengths of the beginnings of a word that are features beside the word.
 PREFIXES = (3, 4, 5, 6)
+#: Lexicons that vote for label 1; a fourth as many vote for label 0.
 VOTERS = 48
-#: Features of the linear classifier, by how far they separate the posterior labels.
+#: Features of the linear classifier: those that separate the posterior labels most.
 FEATURES = 4_096
-LEAST_ROWS = 3
 #: Steps of the label model, and most steps of the classifier; its ridge.
 STEPS, FIT_STEPS, RIDGE = 25, 60, 0.3
 #: Posteriors are summed as whole numbers of this unit, so that order changes nothing.
 UNIT = 1 << 20
-#: Features or vote patterns a task holds before it hands its counts on.
+#: Words, features or vote patterns a task holds before it hands its counts on.
 HELD = 200_000
+COUNTED = 1 << 22
+#: Partial sums that the driver takes at most; more are added up in tasks first.
+PARTIAL = 256
 
 #: Fixed values, a small general lexicon: one voter beside the mined ones.
 INSULTS = (
@@ -45,9 +52,9 @@ _LETTERS = bytes(
 )
 
 
-def terms(text: str | None) -> set[str]:
+def terms(text: str | None) -> set[bytes]:
     """The distinct lower-case letter runs of a text."""
-    return set((text or "").lower().encode().translate(_LETTERS).decode().split())
+    return set((text or "").lower().encode().translate(_LETTERS).split())
 
 
 def shapes(word: str) -> list[str]:
@@ -55,26 +62,80 @@ def shapes(word: str) -> list[str]:
     return [word, *(f"^{word[:k]}" for k in PREFIXES if len(word) >= k)]
 
 
+def feature(shape: str) -> int:
+    """A feature goes by its 32-bit hash."""
+    return crc32(shape.encode())
+
+
+class _Shapes(dict):
+    """The features of a word as bytes, little-endian; forgets all when it holds too many."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= HELD:
+            self.clear()
+        found = np.array([feature(x) for x in shapes(word.decode())], "<u4").tobytes()
+        self[word] = found
+        return found
+
+
+def feature_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out and keys: the distinct features of the text, four bytes each, sorted."""
+
+    def work(rows: Iterator[tuple]) -> Iterator[tuple]:
+        known = _Shapes()
+        for doc_id, held, text in rows:
+            found = b"".join(map(known.__getitem__, terms(text)))
+            yield doc_id, held, np.unique(np.frombuffer(found, "<u4")).tobytes()
+
+    marked = docs.select("doc_id", "text").withColumn("held_out", held_out())
+    schema = "doc_id long, held_out boolean, keys binary"
+    return saved(map_texts(marked, ["doc_id", "held_out", "text"], work, schema, 512), "toxicity_sets")
+
+
+def flat_sets(column) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of a batch, and how many each row has."""
+    sets = column.to_pylist()
+    return np.frombuffer(b"".join(sets), "<u4"), np.array([len(b) // 4 for b in sets], np.int64)
+
+
+class Lookup:
+    """Which of some keys are known, and where."""
+
+    def __init__(self, keys: np.ndarray):
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.keys & 0xFFFFF] = True
+
+    def find(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``flat`` that hold a known key, and the number of that key."""
+        at = np.flatnonzero(self.maybe[flat & 0xFFFFF])
+        if not len(self.keys) or not len(at):
+            return at[:0], at[:0]
+        near = np.searchsorted(self.keys, flat[at]).clip(max=len(self.keys) - 1)
+        hit = self.keys[near] == flat[at]
+        return at[hit], self.order[near[hit]]
+
+
 class Voters:
     """Lexicons of label 1, then such of label 0, then a pattern voter for label 0: none of the
     lexicons of label 1 speaks. A row's votes are one whole number, a bit a voter."""
 
-    def __init__(self, toxic: list[list[str]], clean: list[list[str]]):
-        self.mask: dict[str, int] = {}
-        lexicons = [*toxic, INSULTS, *clean]
+    def __init__(self, toxic: list[list[int]], clean: list[list[int]]):
+        mask: dict[int, int] = {}
+        lexicons = [*toxic, [feature(w) for w in INSULTS], *clean]
         for j, lexicon in enumerate(lexicons):
             for f in lexicon:
-                self.mask[f] = self.mask.get(f, 0) | 1 << j
+                mask[f] = mask.get(f, 0) | 1 << j
+        self.lookup = Lookup(np.array(list(mask), np.uint32))
+        self.mask = np.array(list(mask.values()), np.int64)
         self.toxic, self.count = (1 << len(toxic) + 1) - 1, len(lexicons) + 1
 
-    def of_word(self, word: str) -> int:
-        mask = 0
-        for s in shapes(word):
-            mask |= self.mask.get(s, 0)
-        return mask
-
-    def votes(self, mask: int) -> int:
-        return mask if mask & self.toxic else mask | 1 << self.count - 1
+    def votes(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(sizes), np.int64)
+        at, which = self.lookup.find(flat)
+        np.bitwise_or.at(out, np.searchsorted(sizes.cumsum(), at, "right"), self.mask[which])
+        return np.where(out & self.toxic, out, out | 1 << self.count - 1)
 
     def both(self, votes: np.ndarray) -> np.ndarray:
         """Row x (votes of 1 of each voter, then votes of 0 of each voter)."""
@@ -83,69 +144,94 @@ class Voters:
         return np.hstack([on * ones, on * ~ones]).astype(float)
 
 
+class _Counts:
+    """Rows and label sums by feature, merged as they come."""
+
+    def __init__(self):
+        self.flat, self.weight, self.size = [], [], 0
+        self.key, self.n, self.ones = (np.zeros(0, np.int64) for _ in range(3))
+
+    def add(self, flat: np.ndarray, weight: np.ndarray) -> None:
+        self.flat.append(flat)
+        self.weight.append(weight)
+        self.size += len(flat)
+        if self.size >= COUNTED:
+            self.merge()
+
+    def merge(self) -> None:
+        keys = np.concatenate([self.key, *[f.astype(np.int64) for f in self.flat]])
+        value, at = np.unique(keys, return_inverse=True)
+        n = np.concatenate([self.n, np.ones(self.size, np.int64)])
+        ones = np.concatenate([self.ones, *self.weight])
+        self.n = np.bincount(at, n, len(value)).astype(np.int64)
+        self.ones = np.bincount(at, ones, len(value)).astype(np.int64)
+        self.key, self.flat, self.weight, self.size = value, [], [], 0
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(self.key), 1 << 16):
+            part = slice(lo, lo + (1 << 16))
+            columns = [pa.array(c[part]) for c in (self.key, self.n, self.ones)]
+            yield pa.RecordBatch.from_arrays(columns, names=["feature", "n", "ones"])
+        self.key, self.n, self.ones = (np.zeros(0, np.int64) for _ in range(3))
+
+
+#: Stands for all rows among the features.
+ALL = -1
+
+
 def feature_counts(
-    frame: DataFrame, voters: Voters, weigh: Callable[[int | None, int], int]
+    sets: DataFrame, voters: Voters, weigh: Callable[[list[int | None], np.ndarray], np.ndarray]
 ) -> DataFrame:
-    """feature, n (rows that have it) and ones (sum of ``weigh(doc_id, votes)`` over them), for
-    features of at least ``LEAST_ROWS`` rows; the feature '' stands for all rows."""
-
-    def work(found: Iterator[tuple]) -> Iterator[tuple]:
-        number: dict[str, int] = {}
-        memo: dict[str, tuple[int, tuple[int, ...]]] = {}
-        n, ones = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        rows = total = 0
-        for doc_id, text in found:
-            hit: set[int] = set()
-            mask = 0
-            for w in terms(text):
-                have = memo.get(w)
-                if have is None:
-                    at = tuple([number.setdefault(s, len(number)) for s in shapes(w)])
-                    have = memo[w] = (voters.of_word(w), at)
-                mask |= have[0]
-                hit.update(have[1])
-            p = weigh(doc_id, voters.votes(mask))
-            rows += 1
-            total += p
-            if len(number) > len(n):
-                n, ones = (np.append(x, np.zeros(len(number), np.int64)) for x in (n, ones))
-            at = np.fromiter(hit, np.int64, len(hit))
-            n[at] += 1
-            ones[at] += p
-            if len(number) >= HELD:
-                yield from zip(number, n.tolist(), ones.tolist())
-                number, memo = {}, {}
-                n[:], ones[:] = 0, 0
-        yield from zip(number, n.tolist(), ones.tolist())
+    """feature, n (rows that have it) and ones (sum of ``weigh(doc_ids, votes)`` over them)."""
+
+    def run(batches):
+        counts, rows, total = _Counts(), 0, 0
+        for batch in batches:
+            flat, sizes = flat_sets(batch.column(1))
+            weight = weigh(batch.column(0).to_pylist(), voters.votes(flat, sizes))
+            rows += len(sizes)
+            total += int(weight.sum())
+            counts.add(flat, np.repeat(weight, sizes))
+            if len(counts.key) >= COUNTED:
+                yield from counts.batches()
+        if counts.size:
+            counts.merge()
+        yield from counts.batches()
         if rows:
-            yield "", rows, total
+            columns = [pa.array([x], pa.int64()) for x in (ALL, rows, total)]
+            yield pa.RecordBatch.from_arrays(columns, names=["feature", "n", "ones"])
 
-    parts = map_texts(frame, ["doc_id", "text"], work, "feature string, n long, ones long")
+    parts = sets.select("doc_id", "keys").mapInArrow(run, "feature long, n long, ones long")
     sums = parts.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
-    return saved(sums.where((F.col("n") >= LEAST_ROWS) | (F.col("feature") == "")), "toxicity_features")
+    return saved(sums, "toxicity_features")
 
 
 def strengths(counts: DataFrame) -> tuple[DataFrame, float, float]:
     """Features with their signed log-likelihood ratio to the (soft) label where chance, given
     how many features are tried, does not explain it; the number of rows and the sum of labels."""
-    whole = counts.where(F.col("feature") == "").first()
+    whole = counts.where(F.col("feature") == ALL).first()
     n, total = (float(whole["n"]), whole["ones"] / UNIT) if whole else (0.0, 0.0)
-    found = counts.where(F.col("feature") != "")
+    found = counts.where(F.col("feature") != ALL)
     with_, ones = F.col("n").cast("double"), F.col("ones") / F.lit(float(UNIT))
 
     def term(k, size):
         share = F.least(F.lit(1.0), F.greatest(F.lit(1e-9), k / F.greatest(size, F.lit(1e-9))))
         return k * F.log(share)
 
-    g = 2 * (
-        term(ones, with_)
-        + term(with_ - ones, with_)
-        + term(F.lit(total) - ones, n - with_)
-        + term(n - with_ - (F.lit(total) - ones), n - with_)
-        - term(F.lit(total), F.lit(n))
-        - term(F.lit(n - total), F.lit(n))
-    )
-    tried = max(2, found.count())
+    def ratio(ones: Column) -> Column:
+        return 2 * (
+            term(ones, with_)
+            + term(with_ - ones, with_)
+            + term(F.lit(total) - ones, n - with_)
+            + term(n - with_ - (F.lit(total) - ones), n - with_)
+            - term(F.lit(total), F.lit(n))
+            - term(F.lit(n - total), F.lit(n))
+        )
+
+    # features too rare to pass, whatever their labels, are no trials
+    every = max(2, found.count())
+    tried = max(2, found.where(ratio(F.least(with_, F.lit(total))) > 2 * math.log(every)).count())
+    g = ratio(ones)
     signed = F.when(ones * n > with_ * total, g).otherwise(-g)
     rated = found.select("feature", g.alias("g"), signed.alias("strength"))
     return rated.where(F.col("g") > 2 * math.log(tried)), n, total
@@ -154,7 +240,7 @@ def strengths(counts: DataFrame) -> tuple[DataFrame, float, float]:
 def mine(rated: DataFrame) -> Voters:
     """Lexicons that point to label 1, and such that point to label 0."""
 
-    def dealt(sign: int, voters: int) -> list[list[str]]:
+    def dealt(sign: int, voters: int) -> list[list[int]]:
         # strong features first; each voter gets its share of all strengths
         found = rated.where(sign * F.col("strength") > 0)
         first = found.orderBy(-sign * F.col("strength"), "feature").limit(8 * VOTERS).collect()
@@ -264,33 +350,37 @@ def label_model(votes: np.ndarray, known: np.ndarray, steps: int = STEPS) -> np.
     return posterior(both, known, model)
 
 
-def vote_patterns(docs: DataFrame, voters: Voters, known: Callable[[int | None], int]) -> DataFrame:
-    """votes, known and n: the rows of ``docs`` by what is voted on them."""
+def vote_patterns(sets: DataFrame, voters: Voters, labels: dict[int, int]) -> DataFrame:
+    """votes, known (label, or -1) and n: the rows of ``sets`` by what is voted on them."""
+    shared = sets.sparkSession.sparkContext.broadcast(labels)
 
-    def work(found: Iterator[tuple]) -> Iterator[tuple]:
+    def run(batches):
         seen: Counter[tuple[int, int]] = Counter()
-        memo: dict[str, int] = {}
-        for doc_id, text in found:
-            mask = 0
-            for w in terms(text):
-                have = memo.get(w)
-                if have is None:
-                    if len(memo) >= HELD:
-                        memo.clear()
-                    have = memo[w] = voters.of_word(w)
-                mask |= have
-            seen[voters.votes(mask), known(doc_id)] += 1
+
+        def out():
+            votes, known = zip(*seen)
+            columns = [pa.array(votes, pa.int64()), pa.array(known, pa.int32()), pa.array(seen.values(), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["votes", "known", "n"])
+
+        for batch in batches:
+            votes = voters.votes(*flat_sets(batch.column(1))).tolist()
+            seen.update(zip(votes, [shared.value.get(i, -1) for i in batch.column(0).to_pylist()]))
             if len(seen) >= HELD:
-                yield from ((v, k, n) for (v, k), n in seen.items())
+                yield out()
                 seen.clear()
-        yield from ((v, k, n) for (v, k), n in seen.items())
+        if seen:
+            yield out()
 
-    parts = map_texts(docs, ["doc_id", "text"], work, "votes long, known int, n long")
+    parts = sets.select("doc_id", "keys").mapInArrow(run, "votes long, known int, n long")
     return saved(parts.groupBy("votes", "known").agg(F.sum("n").alias("n")), "toxicity_votes")
 
 
 def summed(frame: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
-    """Sum of ``part`` over all batches, one vector a task reaches the driver."""
+    """Sum of ``part`` over all batches, in the order of the tasks.
+
+    One vector a task is made; beyond ``PARTIAL`` tasks these are added up in tasks first, about
+    as many to a group as there are groups, so that the driver takes few.
+    """
 
     def run(batches):
         total = None
@@ -299,9 +389,23 @@ def summed(frame: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray]) -> np
                 sums = part(batch)
                 total = sums if total is None else total + sums
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+            columns = [pa.array([TaskContext.get().partitionId()]), pa.array([total.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["task", "sums"])
 
-    return sum(np.frombuffer(r["sums"]) for r in frame.mapInArrow(run, "sums binary").collect())
+    parts = frame.mapInArrow(run, "task long, sums binary")
+    tasks = frame.rdd.getNumPartitions()
+    if tasks > PARTIAL:
+        width = math.isqrt(tasks)
+
+        def add(key, group):
+            group = group.sort_values("task")
+            vector = sum(np.frombuffer(b) for b in group["sums"])
+            return group.head(1).assign(sums=[vector.tobytes()])[["task", "sums"]]
+
+        grouped = parts.withColumn("g", F.floor(F.col("task") / width))
+        parts = grouped.groupBy("g").applyInPandas(add, "task long, sums binary")
+    found = sorted(parts.collect(), key=lambda r: r["task"])
+    return sum((np.frombuffer(r["sums"]) for r in found), np.zeros(1))
 
 
 def linear_model(design: DataFrame, size: int, start: float) -> tuple[np.ndarray, float]:
@@ -356,18 +460,25 @@ def linear_model(design: DataFrame, size: int, start: float) -> tuple[np.ndarray
     return x[:-1], float(x[-1])
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: dict[int, int]) -> tuple[dict[str, float], float]:
-    """Weights and bias from all rows of ``docs``; ``labels`` are those that may be used."""
+Linear = tuple[np.ndarray, np.ndarray, float]  # features, their weights, bias
+
+
+def train(spark: SparkSession, sets: DataFrame, labels: dict[int, int]) -> Linear:
+    """The classifier from all rows of ``sets``; ``labels`` are those that may be used."""
     shared = spark.sparkContext.broadcast(labels)
     chosen = spark.createDataFrame([(i,) for i in labels], "doc_id long")
+
+    def marks(ids: list[int | None]) -> np.ndarray:
+        return np.array([shared.value.get(i, -1) for i in ids], np.int64)
+
     marked = feature_counts(
-        docs.join(F.broadcast(chosen), "doc_id"), Voters([], []), lambda i, _: UNIT * shared.value[i]
+        sets.join(F.broadcast(chosen), "doc_id"), Voters([], []), lambda ids, _: UNIT * marks(ids)
     )
     rated, n, ones = strengths(marked)
     if not 0 < ones < n:
-        return {}, -2.0
+        return np.zeros(0, np.uint32), np.zeros(0), -2.0
     voters = mine(rated)
-    patterns = vote_patterns(docs, voters, lambda i: shared.value.get(i, -1))
+    patterns = vote_patterns(sets, voters, labels)
 
     def gather(model: Model | float) -> np.ndarray:
         def part(batch):
@@ -377,42 +488,31 @@ def train(spark: SparkSession, docs: DataFrame, labels: dict[int, int]) -> tuple
         return summed(patterns, part)
 
     model = fit_votes(gather, voters.count, ones / n, STEPS)
-    marks = patterns.where("known >= 0").groupBy("votes").pivot("known", [0, 1]).agg(F.sum("n"))
-    marks = np.array(marks.na.fill(0).collect(), dtype=np.int64).reshape(-1, 3)
-    both = voters.both(np.tile(marks[:, 0], 2))
-    model = calibrated(model, both, np.repeat([0, 1], len(marks)), marks[:, 1:].T.ravel() * 1.0)
-
-    def post(doc_id: int | None, votes: int) -> int:
-        known = np.array([shared.value.get(doc_id, -1)])
-        return round(UNIT * float(posterior(voters.both(np.array([votes])), known, model)[0]))
-
-    rated, n, ones = strengths(feature_counts(docs, voters, post))
-    used = [
-        r["feature"]
-        for r in rated.orderBy(-F.col("g"), "feature").limit(FEATURES).select("feature").collect()
-    ]
-    at = spark.sparkContext.broadcast({f: i for i, f in enumerate(used)})
-
-    def work(found: Iterator[tuple]) -> Iterator[tuple]:
-        memo: dict[str, tuple[int, tuple[int, ...]]] = {}
-        for doc_id, text in found:
-            hit: set[int] = set()
-            mask = 0
-            for w in terms(text):
-                have = memo.get(w)
-                if have is None:
-                    if len(memo) >= HELD:
-                        memo.clear()
-                    features = tuple([at.value[s] for s in shapes(w) if s in at.value])
-                    have = memo[w] = (voters.of_word(w), features)
-                mask |= have[0]
-                hit.update(have[1])
-            yield post(doc_id, voters.votes(mask)) / UNIT, np.array(sorted(hit), np.uint16).tobytes()
-
-    rows = map_texts(docs, ["doc_id", "text"], work, "post double, features binary", 256)
-    design = saved(rows, "toxicity_design")
+    pairs = patterns.where("known >= 0").groupBy("votes").pivot("known", [0, 1]).agg(F.sum("n"))
+    pairs = np.array(pairs.na.fill(0).collect(), dtype=np.int64).reshape(-1, 3)
+    both = voters.both(np.tile(pairs[:, 0], 2))
+    model = calibrated(model, both, np.repeat([0, 1], len(pairs)), pairs[:, 1:].T.ravel() * 1.0)
+
+    def post(ids: list[int | None], votes: np.ndarray) -> np.ndarray:
+        return np.rint(UNIT * posterior(voters.both(votes), marks(ids), model)).astype(np.int64)
+
+    rated, n, ones = strengths(feature_counts(sets, voters, post))
+    best = rated.orderBy(-F.col("g"), "feature").limit(FEATURES).select("feature").collect()
+    used = np.array([r["feature"] for r in best], np.uint32)
+
+    def run(batches):
+        lookup = Lookup(used)
+        for batch in batches:
+            flat, sizes = flat_sets(batch.column(1))
+            y = post(batch.column(0).to_pylist(), voters.votes(flat, sizes)) / UNIT
+            at, which = lookup.find(flat)
+            ends = np.searchsorted(at, sizes.cumsum())
+            rows = [x.astype("<u2").tobytes() for x in np.split(which, ends[:-1])] if len(ends) else []
+            yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(rows, pa.binary())], names=["post", "features"])
+
+    design = saved(sets.select("doc_id", "keys").mapInArrow(run, "post double, features binary"), "toxicity_design")
     weights, bias = linear_model(design, len(used), math.log((ones + 1) / (n - ones + 1)))
-    return dict(zip(used, weights.tolist())), bias
+    return used, weights, bias
 
 
 def held_out() -> Column:
@@ -437,30 +537,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Da
     )
     ids = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     wanted = {r["doc_id"]: int(r["toxic"]) for r in ids.collect()}
-    model = spark.sparkContext.broadcast(
-        train(spark, docs.select("doc_id", "text").where(~held_out()), wanted)
-    )
+    sets = feature_sets(docs)
+    used, weights, bias = train(spark, sets.where(~F.col("held_out")), wanted)
 
-    def work(found: Iterator[tuple]) -> Iterator[tuple]:
-        weights, bias = model.value
-        memo: dict[str, tuple[str, ...]] = {}  # a word's features that have a weight
-        for doc_id, held, text in found:
-            hit: set[str] = set()
-            for w in terms(text):
-                have = memo.get(w)
-                if have is None:
-                    if len(memo) >= 200_000:
-                        memo.clear()
-                    have = memo[w] = tuple(s for s in shapes(w) if s in weights)
-                if have:
-                    hit.update(have)
-            z = bias + math.fsum(weights[f] for f in hit)
-            score = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-            yield doc_id, held, score, int(score >= 0.3)
-
-    return map_texts(
-        docs.withColumn("held_out", held_out()),
-        ["doc_id", "held_out", "text"],
-        work,
-        "doc_id long, held_out boolean, score double, predicted int",
-    )
+    def run(batches):
+        lookup = Lookup(used)
+        for batch in batches:
+            flat, sizes = flat_sets(batch.column(2))
+            at, which = lookup.find(flat)
+            row = np.searchsorted(sizes.cumsum(), at, "right")
+            z = bias + np.bincount(row, weights[which], len(sizes))
+            score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            predicted = pa.array((score >= 0.3).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(score), predicted],
+                names=["doc_id", "held_out", "score", "predicted"],
+            )
+
+    return sets.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
