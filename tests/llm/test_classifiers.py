@@ -79,6 +79,17 @@ def test_chain_marginals_equal_enumeration():
     assert np.allclose(marginals[0, :6], good / whole) and pair.sum() == pytest.approx(5)
 
 
+def test_feature_sets_are_packed_without_loss():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 200, 257, 5000, 90_000):
+        keys = np.unique(rng.integers(0, 1 << 24, n).astype(np.uint32))
+        assert (toxicity.unpacked(toxicity.packed(keys)) == keys).all()
+        assert len(toxicity.packed(keys)) <= 3 * len(keys) + 1
+    lookup = toxicity.Lookup(keys[::3])
+    at, which = lookup.find(keys)
+    assert at.tolist() == list(range(0, len(keys), 3)) and (keys[::3][which] == keys[at]).all()
+
+
 def test_gradient_equals_differences():
     """Documents of 2, 3 and 40 lines: no document steers the transitions by its length."""
     rng = np.random.default_rng(4)

@@ -128,7 +128,7 @@ def test_suffix_automaton():
         found = list(machine.matches(text, 2))
         assert [(e, n) for e, n, _ in found] == want
         for end, n, state in found:
-            for number, place in machine.ends[state].items():
+            for number, place in ((k, p) for k, ps in machine.ends[state].items() for p in ps):
                 assert seqs[number][place - n : place] == text[end - n : end]
 
 

@@ -26,7 +26,9 @@ from tidemark.llm.shared import crc_of_id, map_texts, saved
 #: Bound of the rows whose label is used, all others vote without.
 LABELLED = 6_000
 #: Lengths of the beginnings of a word that are features beside the word.
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (3, 4, 5)
+#: A feature goes by so many bits of its hash.
+BITS = 24
 #: Lexicons that vote for label 1; a fourth as many vote for label 0.
 VOTERS = 48
 #: Features of the linear classifier: those that separate the posterior labels most.
@@ -63,8 +65,30 @@ def shapes(word: str) -> list[str]:
 
 
 def feature(shape: str) -> int:
-    """A feature goes by its 32-bit hash."""
-    return crc32(shape.encode())
+    """A feature goes by its hash."""
+    return crc32(shape.encode()) >> 32 - BITS
+
+
+_HIGH = np.arange(256, dtype=np.uint32) << 16
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted 24-bit keys in little more than two bytes each: their low halves, after a count for
+    each high byte; few keys, or very many, after the high bytes themselves."""
+    low, high = (keys & 0xFFFF).astype("<u2").tobytes(), (keys >> 16).astype(np.uint8)
+    if len(keys) > 256:
+        counts = np.bincount(high, minlength=256)
+        if counts.max() < 256:
+            return b"\x01" + counts.astype(np.uint8).tobytes() + low
+    return b"\x00" + high.tobytes() + low
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    if data[0]:
+        high = np.repeat(_HIGH, np.frombuffer(data, np.uint8, 256, 1))
+        return high | np.frombuffer(data, "<u2", -1, 257)
+    n = (len(data) - 1) // 3
+    return np.frombuffer(data, np.uint8, n, 1).astype(np.uint32) << 16 | np.frombuffer(data, "<u2", n, 1 + n)
 
 
 class _Shapes(dict):
@@ -79,13 +103,13 @@ class _Shapes(dict):
 
 
 def feature_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out and keys: the distinct features of the text, four bytes each, sorted."""
+    """doc_id, held_out and keys: the distinct features of the text (see ``packed``)."""
 
     def work(rows: Iterator[tuple]) -> Iterator[tuple]:
         known = _Shapes()
         for doc_id, held, text in rows:
             found = b"".join(map(known.__getitem__, terms(text)))
-            yield doc_id, held, np.unique(np.frombuffer(found, "<u4")).tobytes()
+            yield doc_id, held, packed(np.unique(np.frombuffer(found, "<u4")))
 
     marked = docs.select("doc_id", "text").withColumn("held_out", held_out())
     schema = "doc_id long, held_out boolean, keys binary"
@@ -94,8 +118,9 @@ def feature_sets(docs: DataFrame) -> DataFrame:
 
 def flat_sets(column) -> tuple[np.ndarray, np.ndarray]:
     """All keys of a batch, and how many each row has."""
-    sets = column.to_pylist()
-    return np.frombuffer(b"".join(sets), "<u4"), np.array([len(b) // 4 for b in sets], np.int64)
+    sets = [unpacked(b) for b in column.to_pylist()]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    return np.concatenate(sets) if sets else np.zeros(0, np.uint32), sizes
 
 
 class Lookup:
@@ -145,7 +170,7 @@ class Voters:
 
 
 class _Counts:
-    """Rows and label sums by feature, merged as they come."""
+    """Rows and label sums by feature (a number below 2^24), merged as they come."""
 
     def __init__(self):
         self.flat, self.weight, self.size = [], [], 0
@@ -170,7 +195,7 @@ class _Counts:
     def batches(self) -> Iterator[pa.RecordBatch]:
         for lo in range(0, len(self.key), 1 << 16):
             part = slice(lo, lo + (1 << 16))
-            columns = [pa.array(c[part]) for c in (self.key, self.n, self.ones)]
+            columns = [pa.array(self.key[part].astype(np.int32)), pa.array(self.n[part]), pa.array(self.ones[part])]
             yield pa.RecordBatch.from_arrays(columns, names=["feature", "n", "ones"])
         self.key, self.n, self.ones = (np.zeros(0, np.int64) for _ in range(3))
 
@@ -198,10 +223,10 @@ def feature_counts(
             counts.merge()
         yield from counts.batches()
         if rows:
-            columns = [pa.array([x], pa.int64()) for x in (ALL, rows, total)]
+            columns = [pa.array([x], t) for x, t in ((ALL, pa.int32()), (rows, pa.int64()), (total, pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["feature", "n", "ones"])
 
-    parts = sets.select("doc_id", "keys").mapInArrow(run, "feature long, n long, ones long")
+    parts = sets.select("doc_id", "keys").mapInArrow(run, "feature int, n long, ones long")
     sums = parts.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
     return saved(sums, "toxicity_features")
 
