@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 from compare import difference
+from pyspark.sql import functions as F
 
 from tidemark.llm import bloom, exact_dedup, near_join, quality_rules, queries
 
@@ -97,6 +98,7 @@ def shingles(text):
 
 def test_near_join(odd, odd_rows, monkeypatch):
     monkeypatch.setattr(near_join, "BLOCK", 4)  # groups of more than one block
+    monkeypatch.setattr(near_join, "NODE", 3)  # nodes as well
     by = defaultdict(list)
     for k, r in enumerate(odd_rows):
         s = shingles(r.text)
@@ -129,7 +131,7 @@ def test_near_join(odd, odd_rows, monkeypatch):
     assert left.count() == len(set(group))
 
 
-def test_near_join_many_copies(spark):
+def test_near_join_many_copies(spark, monkeypatch):
     words = [f"w{i}" for i in range(120)]
     rng = np.random.default_rng(5)
     rows = []
@@ -139,11 +141,10 @@ def test_near_join_many_copies(spark):
             text[p] = f"x{i}_{p}"
         rows.append((i, " ".join(text)))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    near_join_block, near_join.BLOCK = near_join.BLOCK, 16
-    try:
-        got = {r.doc_id: r for r in near_join.jaccard_join(frame).collect()}
-    finally:
-        near_join.BLOCK = near_join_block
+    monkeypatch.setattr(near_join, "BLOCK", 16)
+    monkeypatch.setattr(near_join, "BLOCK_SHINGLES", 1000)
+    monkeypatch.setattr(near_join, "NODE", 16)
+    got = {r.doc_id: r for r in near_join.jaccard_join(frame).collect()}
     sets = {i: shingles(t) for i, t in rows}
     for i, a in sets.items():
         links = {b for j, b in sets.items() if b != a and len(a & b) >= 0.8 * len(a | b)}
@@ -155,6 +156,67 @@ def test_prefix_length():
     assert near_join.prefix_length(1, 8, 0.8, 0.9999) == 1
 
 
+def test_least_agreement():
+    rng = np.random.default_rng(3)
+    need = near_join.least_agreement(192, 0.8, 1e-3)
+    short = (rng.binomial(192, 0.8, 400_000) < need).mean()
+    assert short <= 1.2e-3 and (rng.binomial(192, 0.8, 400_000) <= need).mean() > 1e-3
+    assert near_join.least_agreement(192, 1.0, 1e-6) == 192
+
+
+@pytest.mark.parametrize("sides", [False, True])
+def test_shortened_prefixes_against_all_pairs(sides):
+    rng = np.random.default_rng(11)
+    for m in (1, 2, 7, 60):
+        own = rng.integers(0, 2, (m, 8)).astype("<u2")
+        own = own[np.lexsort(own.T[::-1])]
+        signature = rng.integers(0, 2, (m, 24)).astype("<u2")
+        sizes = rng.integers(8, 14, m)
+        side = rng.integers(0, 2, m) if sides else None
+        got = near_join.shortened(own, signature, sizes, side, 3, 14, 0.8)
+        want = list(range(m))
+        for _ in range(m):
+            for i in range(m):
+                for j in range(m):
+                    met = (own[i, :3] == own[j, :3]).all() and (signature[i] == signature[j]).sum() >= 14
+                    met = met and min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j])
+                    if met and (side is None or side[i] != side[j]):
+                        want[i] = want[j] = min(want[i], want[j])
+        pairs = {(a, b) for a in range(m) for b in range(m) if got[a] == got[b]}
+        assert pairs == {(a, b) for a in range(m) for b in range(m) if want[a] == want[b]}
+
+
+def test_shared_passages_do_not_chain(spark):
+    passage = [f"p{k}" for k in range(80)]
+    rows = [(i, " ".join(passage + [f"d{i}_{k}" for k in range(80)])) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = near_join.signatures(frame, near_join.TREES, near_join.LABEL, near_join.SHINGLE)
+    reps = signed.select(F.col("row").alias("v"), "labels", "shingles")
+    edges = near_join.candidate_edges(reps, near_join.TREES, near_join.LABEL, 0.8, near_join.RECALL)
+    assert edges.count() == 0  # a third of the shingles in common, prefixes shared by many
+    assert {tuple(r) for r in near_join.jaccard_join(frame).select("class_id", "n_links").collect()} == {
+        (i, 0) for i in range(300)
+    }
+
+
+def test_near_join_of_the_sample_table(spark):
+    path = "/root/testdata/sf0.001/documents.parquet"
+    rows = spark.read.parquet(path).select("doc_id", "text").collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[shingles(r.text) or ("alone", r.doc_id)].append(r.doc_id)
+    holds = defaultdict(list)
+    for s in by:
+        for x in s if isinstance(s, frozenset) else ():
+            holds[x].append(s)
+    links = {}
+    for s in by:
+        common = Counter(t for x in s for t in holds[x]) if isinstance(s, frozenset) else {}
+        links[s] = sum(t != s and n >= 0.8 * (len(s) + len(t) - n) for t, n in common.items())
+    got = {r.doc_id: (r.rep_id, r.n_links) for r in near_join.jaccard_join(spark.read.parquet(path)).collect()}
+    assert got == {d: (min(ids), links[s]) for s, ids in by.items() for d in ids}
+
+
 @pytest.mark.parametrize(
     "run",
     [
