@@ -196,3 +196,30 @@ def test_chains_go_forward_and_count_overlaps_once():
     matches = [(0, 5, 5), (3, 9, 9), (30, 34, 4), (35, 40, 3)]
     got = sorted((c[0][0], c[-1][1], n) for c, n in licenses.chains(matches))
     assert got == [(0, 9, 9), (30, 34, 4), (35, 40, 5)]
+
+
+def test_whole_licence_texts(spark):
+    scanner = licenses.LicenceScanner(licenses.ALL_TEMPLATES)
+    rows, want = [], {}
+    for k, (label, text) in enumerate(licenses.WHOLE.items()):
+        words = text.split()
+        third = len(words) // 3
+        changed = [w if i % 50 else "Foobar" for i, w in enumerate(words)]
+        rows += [
+            (4 * k, "Copyright 2001 Someone " + text),
+            (4 * k + 1, "\n * ".join(words).upper()),
+            (4 * k + 2, " ".join(changed)),  # two words of a hundred are others
+            (4 * k + 3, " ".join(words[:20])),
+        ]
+        want |= {4 * k + n: label for n in range(3)}
+        ids = [scanner.ids.get(w, 0) for w in licenses.tokens(" ".join(words[third:]))]
+        whole = scanner.sizes[max(i for i, name in enumerate(scanner.labels) if name == label)]
+        spans = [s for s in scanner.spans(licenses.np.array(ids, dtype="int32")) if s.label == label]
+        assert max(s.coverage for s in spans) == pytest.approx(len(ids) / whole)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.license_scan(frame).collect()}
+    assert {d: got[d].labels for d in want} == want
+    assert all(got[d].score > 0.85 for d in want)
+    for k, label in enumerate(licenses.WHOLE):
+        if label not in licenses.TEMPLATES:  # a few opening words are no licence text
+            assert got[4 * k + 3].labels == ""

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
+from tidemark.llm.licence_texts import WHOLE
 from tidemark.llm.shared import map_texts
 
 #: The base phrases and their labels.
@@ -62,6 +63,8 @@ TEMPLATES = {
     "cc-by-sa": ["licensed under cc by sa 4 0"],
     "cc0": ["released into the public domain under cc0 1 0 universal"],
 }
+#: These, and whole texts.
+ALL_TEMPLATES = TEMPLATES | {label: [*TEMPLATES.get(label, []), text] for label, text in WHOLE.items()}
 
 #: Shorter matches are not chained; a chain may skip so many words.
 MIN_MATCH, MAX_GAP = 4, 8
@@ -255,7 +258,7 @@ def _best_chains(matches: list[Match]) -> Iterator[tuple[list[Match], int]]:
 
 
 def _work(rows: Iterator[tuple]) -> Iterator[tuple]:
-    scanner = LicenceScanner(TEMPLATES)
+    scanner = LicenceScanner(ALL_TEMPLATES)
     get = scanner.ids.get
     for doc_id, text in rows:
         found = tokens(text)
