@@ -60,6 +60,46 @@ def test_taken_words(odd, odd_rows, monkeypatch):
     assert times == +want
 
 
+@pytest.mark.parametrize("per_block", [50, 200, 1 << 16])
+def test_taken_words_against_brute_force(odd, monkeypatch, per_block):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", per_block)
+    rows = odd.select("doc_id", "text", "source", mixing.unit(17).alias("hash")).collect()
+    want = Counter()
+    names = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
+    totals = [sum(words(r.text) for r in rows if r.source == name) for name in names]
+    aims = mixing.targets(totals, [(3, 1, 2)[i % 3] for i in range(len(names))], 1.5, 2.0)
+    for name, total, aim in zip(names, totals, aims):
+        n = max(1, total // per_block)
+        blocks = defaultdict(Counter)
+        for r in rows:
+            if r.source == name and words(r.text):
+                blocks[r.hash % n][r.hash] += words(r.text)
+        rng = np.random.default_rng([17, zlib.crc32(repr(name).encode())])
+        left, times = int(round(aim)), Counter()
+        for block in [b for _ in range(2) for b in rng.permutation(n).tolist()]:
+            whole = sum(blocks[block].values()) <= left
+            for unit, size in sorted(blocks[block].items(), key=lambda kv: (-kv[1], kv[0])):
+                if size <= left:
+                    left -= size
+                    times[unit] += 1
+            if not whole:
+                break
+        for r in rows:
+            if r.source == name:
+                want[r.doc_id, words(r.text), words(r.text) * times[r.hash]] += 1
+    got = mixing.taken_words(odd).collect()
+    assert Counter((r.doc_id, r.size, r.taken) for r in got) == want
+
+
+def test_parts_grow_with_the_mix(odd, monkeypatch):
+    monkeypatch.setattr(mixing, "PART_WORDS", 50)
+    got = mixing.drawn(odd, shards=4)
+    size = sum(r.size for r in mixing.taken_words(odd, shards=4).collect())
+    most = max(r.part for r in got.collect())
+    assert 0 < most <= 1.5 * size / (4 * 50)
+    assert got.count() == mixing.mixed(odd, shards=4).count()
+
+
 def test_mix_comes_near_its_targets(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     got = mixing.taken_words(docs).join(docs.select("doc_id", "source"), "doc_id")

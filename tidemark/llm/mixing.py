@@ -22,6 +22,8 @@ from tidemark.llm.shared import saved, words
 BLOCK_WORDS, MAX_BLOCKS = 1 << 16, 1 << 17
 SHARE, CAP, WEIGHTS = 1.5, 2.0, (3.0, 1.0, 2.0)
 SHARDS = 16
+#: Words of a shard that are shuffled together, about.
+PART_WORDS = 1 << 20
 
 
 def targets(sizes: list[int], weights: list[float], share: float, cap: float) -> list[float]:
@@ -204,6 +206,11 @@ def chosen_units(sized: DataFrame, mix: Mix) -> DataFrame:
     )
 
 
+def parts_of(mix: Mix, shards: int) -> int:
+    """Parts into which each shard is dealt."""
+    return max(1, -(-int(mix.sources["target"].sum()) // (shards * PART_WORDS)))
+
+
 DRAWS = "number int, block int, copy int, shard int"
 
 
@@ -256,7 +263,8 @@ def drawn(
     seed: int = 17,
 ) -> DataFrame:
     """The rows of ``docs``, as often as the mix draws them: doc (a struct of their columns),
-    shard, and order, a random number by which a shard is shuffled.
+    shard, part, and order, a random number by which a shard is shuffled. The parts of a shard
+    grow with the mix, each holds about ``PART_WORDS`` words.
 
     The draws are joined to the documents by block; texts are not shuffled. Documents without
     words are never drawn.
@@ -276,17 +284,15 @@ def drawn(
     both = whole.select("doc", "copy", "shard", "unit").unionByName(
         part.select("doc", "copy", "shard", "unit")
     )
-    return both.select("doc", "shard", F.xxhash64("unit", "copy", "shard").alias("order"))
-
-
-#: Parts a shard is shuffled in.
-PARTS = 64
+    order = F.xxhash64("unit", "copy", "shard").alias("order")
+    parts = F.lit(parts_of(mix, shards))
+    return both.select("doc", "shard", order).select("doc", "shard", F.pmod("order", parts).alias("part"), "order")
 
 
 def shuffled(rows: DataFrame) -> DataFrame:
     """``drawn`` rows dealt to their shards, each shard in a random order; a shard is split over
-    tasks, rows of one task lie in the order of shard and random number."""
-    return rows.repartition("shard", F.pmod("order", F.lit(PARTS))).sortWithinPartitions("shard", "order")
+    tasks, rows of one task lie in the order of shard, part and random number."""
+    return rows.repartition("shard", "part").sortWithinPartitions("shard", "part", "order")
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
