@@ -77,8 +77,8 @@ def spearman_pairs(
             F.count(F.lit(1)).alias("n"), guarded_corr("ax", "ay").alias("r")
         )
     points = rows.groupBy(*group, "vx", "vy").agg(F.count(F.lit(1)).alias("_w"))
-    for value in ("vx", "vy"):
-        ranks = ranked_values(rows, value, group, cut_values(rows, value, buckets)).select(
+    for value, cuts in cut_values(rows, ["vx", "vy"], buckets).items():
+        ranks = ranked_values(rows, value, group, cuts).select(
             *group, value, F.col("avg_rank").alias(f"_rank_{value}")
         )
         points = join_groups(points, ranks, [*group, value])

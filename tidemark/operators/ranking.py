@@ -36,10 +36,14 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int, key: str) -> DataFrame
     return df.orderBy(*order, F.col(key)).limit(k)
 
 
-def cut_values(df: DataFrame, col: str, buckets: int, error: float = 0.001) -> list[float]:
-    """``buckets`` - 1 cut values of about equal weight; only they reach the driver."""
+def cut_values(
+    df: DataFrame, cols: Sequence[str], buckets: int, error: float = 0.001
+) -> dict[str, list[float]]:
+    """``buckets`` - 1 cut values of about equal weight per column, found in one job; only they
+    reach the driver."""
     probs = [i / buckets for i in range(1, buckets)]
-    return sorted(set(df.approxQuantile(col, probs, error)))
+    found = df.approxQuantile(list(cols), probs, error)
+    return {col: sorted(set(cuts)) for col, cuts in zip(cols, found)}
 
 
 def bucket_of(col: Column | str, splits: Sequence[float]) -> Column:
@@ -154,7 +158,7 @@ def describe(
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    splits = cut_values(long, "value", buckets) if buckets else ()
+    splits = cut_values(long, ["value"], buckets)["value"] if buckets else ()
     totals = moments.select("column", F.col("count").alias("_total"))
     cuts = exact_quantiles(long, "value", probs, ["column"], splits, totals)
     # one row per described column on both sides
