@@ -1099,13 +1099,11 @@ register(
 )
 
 
-def sample_window_urls(s: SampleStudy) -> DataFrame:
-    rows = rollups.conflict_rows(
-        bindings.url_rows(s.raw("documents")), s.cfg.countries, s.cfg.conflict_classes
-    )
+def window_urls(s: SampleStudy, urls: DataFrame, events: DataFrame) -> DataFrame:
+    rows = rollups.conflict_rows(urls, s.cfg.countries, s.cfg.conflict_classes)
     return scoring.event_window_urls(
         rows,
-        s.get("timeline"),
+        events,
         (s.cfg.window_start, s.cfg.window_end),
         s.cfg.url_window_days,
         s.cfg.top_urls_per_day,
@@ -1113,6 +1111,16 @@ def sample_window_urls(s: SampleStudy) -> DataFrame:
     )
 
 
+def sample_window_urls(s: SampleStudy) -> DataFrame:
+    return window_urls(s, bindings.url_rows(s.raw("documents")), s.get("timeline"))
+
+
+def text_window_urls(s: SampleStudy) -> DataFrame:
+    """URLs of whole texts around every order of a month-end day."""
+    urls = bindings.url_rows(s.raw("documents"), bindings.text_url())
+    return window_urls(s, urls, bindings.month_ends(s.raw("orders")))
+
+
 register("event_window_urls", sample_window_urls, "SELECT * FROM window_slugs")
 LEXICON_SCORES = f"""SELECT * EXCLUDE (slug_words, ep, em, en), ep / (ep + em + en) AS finbert_positive,
     em / (ep + em + en) AS finbert_neutral, en / (ep + em + en) AS finbert_negative,
@@ -1124,8 +1132,8 @@ LEXICON_SCORES = f"""SELECT * EXCLUDE (slug_words, ep, em, en), ep / (ep + em +
 SCORE_COLUMNS = scoring.SCORE_FIELDS
 register(
     "batch_score",
-    lambda s: scoring.score_batches(sample_window_urls(s), "slug", bindings.make_lexicon_scorer),
-    LEXICON_SCORES.format(rows="window_slugs"),
+    lambda s: scoring.score_batches(text_window_urls(s), "slug", bindings.make_lexicon_scorer),
+    LEXICON_SCORES.format(rows="text_slugs"),
     *SCORE_COLUMNS,
 )
 register(

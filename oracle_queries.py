@@ -51,6 +51,11 @@ WORDS = ", ".join(f"CASE WHEN contains(text, '{w}') THEN '{w}' END" for w in b.T
 DOC_URL = (
     f"'https://e.com/' || source || '/' || concat_ws('-', {WORDS}, md5(text), '2024-01-05.html')"
 )
+# every word of the text, and its digest
+TEXT_URL = (
+    "'https://e.com/' || coalesce(source, '') || '/' || concat_ws('-',"
+    " regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', '-', 'g'), md5(text), '2024-01-05.html')"
+)
 DOC_DAY = """DATE '1998-01-01' + CAST(CASE WHEN doc_id % 3 = 0 AND lang = 'en'
     THEN 4 + 7 * ((doc_id // 3) % 3) WHEN doc_id % 3 = 0 THEN 32 ELSE doc_id % 120 END AS INT)"""
 
@@ -500,6 +505,17 @@ CTES: dict[str, str] = {
             QUALIFY ROW_NUMBER() OVER (PARTITION BY day
                 ORDER BY nummentions DESC NULLS LAST, source_url) <= {b.SAMPLE_CONFIG.top_urls_per_day})""",
     "window_slugs": "SELECT * FROM window_urls WHERE length(slug) >= 6",
+    # the same for every order of a month-end day and for URLs that hold the whole text
+    "text_url_days": f"""SELECT {TEXT_URL} AS source_url, {DOC_DAY} AS day,
+            CAST(MAX(n_chars) AS INT) AS nummentions
+        FROM documents WHERE {case_of("lang", b.COUNTRY_OF_LANG, "'FR'")} IN ({PARTS}) GROUP BY 1, 2""",
+    "text_window_urls": f"""SELECT *, {slug_sql("source_url")} AS slug FROM (
+            SELECT source_url, day, nummentions FROM text_url_days
+            WHERE EXISTS (SELECT 1 FROM orders WHERE CAST(o_orderdate AS DATE) = last_day(o_orderdate)
+                AND ABS(date_diff('day', CAST(o_orderdate AS DATE), day)) <= 7)
+            QUALIFY ROW_NUMBER() OVER (PARTITION BY day
+                ORDER BY nummentions DESC NULLS LAST, source_url) <= {b.SAMPLE_CONFIG.top_urls_per_day})""",
+    "text_slugs": "SELECT * FROM text_window_urls WHERE length(slug) >= 6",
     # raw drops: which fault a line has follows from its id
     "event_drop": """SELECT *, CAST(ts AS DATE) AS date, hour(ts) // 6 AS slot,
             event_id % 97 = 5 AS short FROM gdelt""",

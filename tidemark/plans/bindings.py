@@ -229,6 +229,12 @@ def timeline(orders: DataFrame) -> DataFrame:
     )
 
 
+def month_ends(orders: DataFrame) -> DataFrame:
+    """Every order of a month-end day is an event, urgent or not."""
+    day = F.to_date("o_orderdate")
+    return orders.filter(day == F.last_day(day)).select(day.alias("event_date"))
+
+
 def study_day() -> Column:
     seconds = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)")
     return F.date_add(F.lit(FIRST_DAY), F.floor(seconds / SECONDS_PER_DAY).cast("int"))
@@ -324,9 +330,16 @@ def document_url() -> Column:
     return F.concat(F.lit("https://e.com/"), F.col("source"), F.lit("/"), headline)
 
 
-def url_rows(documents: DataFrame) -> DataFrame:
+def text_url() -> Column:
+    """A URL that holds every word of the whole text, and its digest."""
+    words = F.regexp_replace(F.coalesce("text", F.lit("")), r"\P{Alnum}+", "-")
+    headline = F.concat_ws("-", words, F.md5("text"), F.lit("2024-01-05.html"))
+    return F.concat(F.lit("https://e.com/"), F.coalesce("source", F.lit("")), F.lit("/"), headline)
+
+
+def url_rows(documents: DataFrame, url: Column | None = None) -> DataFrame:
     return documents.select(
-        document_url().alias("source_url"),
+        (document_url() if url is None else url).alias("source_url"),
         document_day().alias("event_date"),
         F.coalesce(mapped("lang", COUNTRY_OF_LANG), F.lit("FR")).alias("country"),
         F.lit("4").alias("quad_class"),
