@@ -1121,6 +1121,11 @@ def text_window_urls(s: SampleStudy) -> DataFrame:
     return window_urls(s, urls, bindings.month_ends(s.raw("orders")))
 
 
+def text_scores(s: SampleStudy) -> DataFrame:
+    """The earlier scores under URLs of whole texts."""
+    return bindings.earlier_scores(s.raw("documents"), s.raw("labels"), bindings.text_url())
+
+
 register("event_window_urls", sample_window_urls, "SELECT * FROM window_slugs")
 LEXICON_SCORES = f"""SELECT * EXCLUDE (slug_words, ep, em, en), ep / (ep + em + en) AS finbert_positive,
     em / (ep + em + en) AS finbert_neutral, en / (ep + em + en) AS finbert_negative,
@@ -1139,12 +1144,12 @@ register(
 register(
     "incremental_append",
     lambda s: sinks.appended(
-        s.get("finbert_scores").select("source_url", "day", "nummentions"),
-        sinks.unseen(sample_window_urls(s), s.get("finbert_scores"), "source_url"),
+        text_scores(s).select("source_url", "day", "nummentions"),
+        sinks.unseen(text_window_urls(s), text_scores(s), "source_url"),
     ),
-    """SELECT source_url, day, nummentions, CAST(NULL AS VARCHAR) AS slug FROM scores
-       UNION ALL SELECT source_url, day, nummentions, slug FROM window_slugs
-       WHERE source_url NOT IN (SELECT source_url FROM scores)""",
+    """SELECT source_url, day, nummentions, CAST(NULL AS VARCHAR) AS slug FROM text_scores
+       UNION ALL SELECT source_url, day, nummentions, slug FROM text_slugs
+       WHERE source_url NOT IN (SELECT source_url FROM text_scores)""",
 )
 register(
     "score_pipeline",

@@ -77,6 +77,14 @@ def words_share(words, col: str = "slug_words") -> str:
     return f"len([x FOR x IN {col} IF x IN ({inside})]) / len({col})"
 
 
+def earlier_scores(url: str) -> str:
+    return f"""SELECT source_url, day, nummentions, 'labelled' AS slug, pos AS finbert_positive,
+            1 - pos - neg AS finbert_neutral, neg AS finbert_negative, pos - neg AS finbert_signed
+        FROM (SELECT {url} AS source_url, {DOC_DAY} AS day, CAST(n_chars AS INT) AS nummentions,
+            (1 + quality + (doc_id % 7) / 10) / 4 AS pos, (1 + toxic + (doc_id % 3) / 10) / 5 AS neg
+            FROM documents JOIN labels USING (doc_id))"""
+
+
 N, I = "n_chars", "doc_id"
 TONE_HEAD = " || ',' || ".join(
     [
@@ -418,11 +426,7 @@ CTES: dict[str, str] = {
             n_maritime_total, n_conflict_total, n_chokepoint_total, n_kharg, n_ras_laffan,
             n_persian_gulf
         FROM themes LEFT JOIN places ON places.event_date = themes.event_date""",
-    "scores": f"""SELECT source_url, day, nummentions, 'labelled' AS slug, pos AS finbert_positive,
-            1 - pos - neg AS finbert_neutral, neg AS finbert_negative, pos - neg AS finbert_signed
-        FROM (SELECT {DOC_URL} AS source_url, {DOC_DAY} AS day, CAST(n_chars AS INT) AS nummentions,
-            (1 + quality + (doc_id % 7) / 10) / 4 AS pos, (1 + toxic + (doc_id % 3) / 10) / 5 AS neg
-            FROM documents JOIN labels USING (doc_id))""",
+    "scores": earlier_scores(DOC_URL),
     "score_days": """SELECT day AS event_date, COUNT(*) AS n_articles,
             AVG(finbert_signed) AS mean_finbert_signed,
             AVG(finbert_positive) AS mean_finbert_positive,
@@ -515,6 +519,7 @@ CTES: dict[str, str] = {
                 AND ABS(date_diff('day', CAST(o_orderdate AS DATE), day)) <= 7)
             QUALIFY ROW_NUMBER() OVER (PARTITION BY day
                 ORDER BY nummentions DESC NULLS LAST, source_url) <= {b.SAMPLE_CONFIG.top_urls_per_day})""",
+    "text_scores": earlier_scores(TEXT_URL),
     "text_slugs": "SELECT * FROM text_window_urls WHERE length(slug) >= 6",
     # raw drops: which fault a line has follows from its id
     "event_drop": """SELECT *, CAST(ts AS DATE) AS date, hour(ts) // 6 AS slot,

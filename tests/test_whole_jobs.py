@@ -50,3 +50,10 @@ def test_batch_score_scores_whole_texts(spark, tables):
         row = got[slug_of(text)]
         found = [row.finbert_positive, row.finbert_neutral, row.finbert_negative]
         assert found == pytest.approx(scores_of(text), abs=1e-6)
+
+
+def test_incremental_append_adds_whole_texts(spark, tables):
+    got = {r.slug: r for r in entry.queries()["incremental_append"](spark, tables).collect()}
+    assert set(got) == {None, slug_of(TEXTS[29])}
+    assert all(r.source_url.startswith("https://e.com/s1/") for r in got.values())
+    assert "-the-end-" in got[None].source_url and got[None].nummentions == len(TEXTS[28])

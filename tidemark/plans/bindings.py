@@ -347,10 +347,10 @@ def url_rows(documents: DataFrame, url: Column | None = None) -> DataFrame:
     )
 
 
-def earlier_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
+def earlier_scores(documents: DataFrame, labels: DataFrame, url: Column | None = None) -> DataFrame:
     """Scores of the labelled documents, as an earlier scoring run would have left them."""
     rows = documents.join(labels, "doc_id").select(
-        document_url().alias("source_url"),
+        (document_url() if url is None else url).alias("source_url"),
         document_day().alias("day"),
         F.col("n_chars").cast("int").alias("nummentions"),
         F.lit("labelled").alias("slug"),
