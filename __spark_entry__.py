@@ -1153,13 +1153,11 @@ register(
 )
 register(
     "score_pipeline",
-    lambda s: scoring.score_new(
-        sample_window_urls(s), s.get("finbert_scores"), bindings.make_lexicon_scorer
-    ),
+    lambda s: scoring.score_new(text_window_urls(s), text_scores(s), bindings.make_lexicon_scorer),
     f"""SELECT source_url, day, nummentions, slug, finbert_positive, finbert_neutral,
-        finbert_negative, finbert_signed FROM scores
-        UNION ALL BY NAME SELECT * FROM ({LEXICON_SCORES.format(rows="window_slugs")})
-        WHERE source_url NOT IN (SELECT source_url FROM scores)""",
+        finbert_negative, finbert_signed FROM text_scores
+        UNION ALL BY NAME SELECT * FROM ({LEXICON_SCORES.format(rows="text_slugs")})
+        WHERE source_url NOT IN (SELECT source_url FROM text_scores)""",
     *SCORE_COLUMNS,
 )
 

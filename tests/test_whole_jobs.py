@@ -57,3 +57,11 @@ def test_incremental_append_adds_whole_texts(spark, tables):
     assert set(got) == {None, slug_of(TEXTS[29])}
     assert all(r.source_url.startswith("https://e.com/s1/") for r in got.values())
     assert "-the-end-" in got[None].source_url and got[None].nummentions == len(TEXTS[28])
+
+
+def test_score_pipeline_scores_whole_texts(spark, tables):
+    got = {r.slug: r for r in entry.queries()["score_pipeline"](spark, tables).collect()}
+    assert set(got) == {"labelled", slug_of(TEXTS[29])}
+    row = got[slug_of(TEXTS[29])]
+    found = [row.finbert_positive, row.finbert_neutral, row.finbert_negative]
+    assert found == pytest.approx(scores_of(TEXTS[29]), abs=1e-6)
