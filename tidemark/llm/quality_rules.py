@@ -35,15 +35,29 @@ def once(value: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, value)
 
 
+def hashed_words(rows: DataFrame) -> DataFrame:
+    """``rows`` plus __w (words of __t), __x (their hashes) and __p (hashes of neighbouring pairs).
+
+    Each word's bytes are hashed once; pairs and windows combine those numbers.
+    """
+    pairs = F.transform("__x", lambda x, i: F.xxhash64(x, F.get("__x", i + 1)))
+    return (
+        rows.withColumn("__w", once(words("__t")))
+        .withColumn("__x", once(F.transform("__w", lambda w: F.xxhash64(w))))
+        .withColumn("__p", once(F.slice(pairs, F.lit(1), F.greatest(F.size("__x") - 1, F.lit(0)))))
+    )
+
+
 def base_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` plus __w (words), __t (text, null as empty) and the base columns."""
-    rows = docs.withColumn("__t", F.coalesce("text", F.lit(""))).withColumn("__w", once(words("__t")))
+    """``docs`` plus __t (text, null as empty), the columns of ``hashed_words`` and the base columns."""
+    rows = hashed_words(docs.withColumn("__t", F.coalesce("text", F.lit(""))))
     n = F.size("__w")
+    # five words are two pairs and a word
     windows = F.when(
         n >= WINDOW,
         F.transform(
-            F.sequence(F.lit(0), n - WINDOW),
-            lambda i: F.xxhash64(*[F.get("__w", i + k) for k in range(WINDOW)]),
+            F.slice("__p", F.lit(1), F.greatest(n - WINDOW + 1, F.lit(0))),
+            lambda p, i: F.xxhash64(p, F.get("__p", i + 2), F.get("__x", i + 4)),
         ),
     )
     lines = F.filter(F.split("__t", "\n"), lambda s: s.rlike("[^\\x20\\x09-\\x0D]"))
@@ -59,11 +73,11 @@ def base_counts(docs: DataFrame) -> DataFrame:
         lambda x, i: ((i > 0) & (F.get("__s", i - 1)["h"] == x["h"]))
         | F.coalesce(F.get("__s", i + 1)["h"] == x["h"], F.lit(False)),
     )
-    rows = rows.withColumn("__p", once(F.array_sort(F.transform(again, lambda x: x["p"]))))
+    rows = rows.withColumn("__a", once(F.array_sort(F.transform(again, lambda x: x["p"]))))
     covered = F.aggregate(
         F.transform(
-            "__p",
-            lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("__p", i + 1) - p, F.lit(WINDOW))),
+            "__a",
+            lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("__a", i + 1) - p, F.lit(WINDOW))),
         ),
         F.lit(0),
         lambda a, b: a + b,
@@ -71,7 +85,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
     rows = rows.withColumns(
         {
             "n_words": n.cast("long"),
-            "word_chars": F.length(F.regexp_replace("__t", "[\\x20\\x09-\\x0D]+", "")).cast("long"),
+            "word_chars": F.length(F.array_join("__w", "")).cast("long"),
             "n_symbols": _count("[#*$%&|<>]"),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
             "n_repeat_words": once(F.coalesce(covered, F.lit(0)).cast("long")),
@@ -80,19 +94,12 @@ def base_counts(docs: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words")
     )
-    return rows.withColumn("base_failed", failed).drop("__h", "__s", "__p", "__lines")
+    return rows.withColumn("base_failed", failed).drop("__h", "__s", "__a", "__lines")
 
 
 def ngram_cells(cells: int = CELLS) -> Column:
-    """The cells of all words and all pairs of neighbouring words in __w."""
-    single = F.transform("__w", lambda w: F.pmod(F.xxhash64(w), F.lit(cells)).cast("int"))
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.size("__w") - 1),
-        lambda i: F.pmod(
-            F.xxhash64(F.get("__w", i - 1), F.get("__w", i)), F.lit(cells)
-        ).cast("int"),
-    )
-    return F.when(F.size("__w") >= 2, F.concat(single, pairs)).otherwise(single)
+    """The cells of all words (__x) and all pairs of neighbouring words (__p)."""
+    return F.transform(F.concat("__x", "__p"), lambda h: F.pmod(h, F.lit(cells)).cast("int"))
 
 
 def looks_trusted() -> Column:
@@ -114,7 +121,7 @@ def log_ratios(docs: DataFrame, trusted: Column | None = None, cells: int = CELL
     Counts cover all documents and are combined within each task, so a task sends one row
     per cell at most, whatever the number of documents.
     """
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("__t")).withColumn("__w", once(words("__t")))
+    rows = hashed_words(docs.select(F.coalesce("text", F.lit("")).alias("__t")))
     rows = rows.select(
         once(ngram_cells(cells)).alias("c"), (looks_trusted() if trusted is None else trusted).alias("y")
     )
@@ -170,7 +177,7 @@ def quality_rules(
     return (
         rows.withColumn("score", once(score))
         .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
-        .drop("__w", "__c", "__t")
+        .drop("__w", "__x", "__p", "__c", "__t")
     )
 
 
