@@ -1099,7 +1099,9 @@ register(
 )
 
 
-def window_urls(s: SampleStudy, urls: DataFrame, events: DataFrame) -> DataFrame:
+def window_urls(
+    s: SampleStudy, urls: DataFrame, events: DataFrame, long_urls: bool = False
+) -> DataFrame:
     rows = rollups.conflict_rows(urls, s.cfg.countries, s.cfg.conflict_classes)
     return scoring.event_window_urls(
         rows,
@@ -1108,6 +1110,7 @@ def window_urls(s: SampleStudy, urls: DataFrame, events: DataFrame) -> DataFrame
         s.cfg.url_window_days,
         s.cfg.top_urls_per_day,
         s.cfg.slug_min_length,
+        long_urls,
     )
 
 
@@ -1151,19 +1154,36 @@ register(
        UNION ALL SELECT source_url, day, nummentions, slug FROM text_slugs
        WHERE source_url NOT IN (SELECT source_url FROM text_scores)""",
 )
+
+
+def score_pipeline(s: SampleStudy) -> DataFrame:
+    """Scores whole texts around every order of a month-end day, all documents spread evenly."""
+    # URLs are built before the join with the labels: digests then go there without texts
+    documents = s.raw("documents").withColumn("source_url", bindings.text_url())
+    url, day = F.col("source_url"), bindings.even_day()
+    urls = window_urls(
+        s, bindings.url_rows(documents, url, day), bindings.month_ends(s.raw("orders")), True
+    )
+    keyed = documents.select("doc_id", scoring.url_digest("source_url").alias("url_digest"))
+    return scoring.score_new(
+        urls,
+        bindings.earlier_scores(documents, s.raw("labels"), url, day),
+        bindings.make_lexicon_scorer,
+        digests=keyed.join(s.raw("labels").select("doc_id"), "doc_id"),
+    )
+
+
 register(
     "score_pipeline",
-    lambda s: scoring.score_new(text_window_urls(s), text_scores(s), bindings.make_lexicon_scorer),
+    score_pipeline,
     f"""SELECT source_url, day, nummentions, slug, finbert_positive, finbert_neutral,
-        finbert_negative, finbert_signed FROM text_scores
-        UNION ALL BY NAME SELECT * FROM ({LEXICON_SCORES.format(rows="text_slugs")})
-        WHERE source_url NOT IN (SELECT source_url FROM text_scores)""",
+        finbert_negative, finbert_signed FROM even_scores
+        UNION ALL BY NAME SELECT * FROM ({LEXICON_SCORES.format(rows="even_slugs")})
+        WHERE source_url NOT IN (SELECT source_url FROM even_scores)""",
     *SCORE_COLUMNS,
 )
 
 
-
-
 def appended_scores(s: SampleStudy) -> DataFrame:
     """An earlier run's scores, a run that adds the unscored URLs, and one that finds nothing."""
     urls = sample_window_urls(s)

@@ -58,6 +58,7 @@ TEXT_URL = (
 )
 DOC_DAY = """DATE '1998-01-01' + CAST(CASE WHEN doc_id % 3 = 0 AND lang = 'en'
     THEN 4 + 7 * ((doc_id // 3) % 3) WHEN doc_id % 3 = 0 THEN 32 ELSE doc_id % 120 END AS INT)"""
+EVEN_DAY = "DATE '1998-01-01' + CAST(doc_id % 120 AS INT)"
 
 
 def slug_sql(url: str) -> str:
@@ -77,14 +78,29 @@ def words_share(words, col: str = "slug_words") -> str:
     return f"len([x FOR x IN {col} IF x IN ({inside})]) / len({col})"
 
 
-def earlier_scores(url: str) -> str:
+def earlier_scores(url: str, day: str = DOC_DAY) -> str:
     return f"""SELECT source_url, day, nummentions, 'labelled' AS slug, pos AS finbert_positive,
             1 - pos - neg AS finbert_neutral, neg AS finbert_negative, pos - neg AS finbert_signed
-        FROM (SELECT {url} AS source_url, {DOC_DAY} AS day, CAST(n_chars AS INT) AS nummentions,
+        FROM (SELECT {url} AS source_url, {day} AS day, CAST(n_chars AS INT) AS nummentions,
             (1 + quality + (doc_id % 7) / 10) / 4 AS pos, (1 + toxic + (doc_id % 3) / 10) / 5 AS neg
             FROM documents JOIN labels USING (doc_id))"""
 
 
+def text_url_days(day: str) -> str:
+    return f"""SELECT {TEXT_URL} AS source_url, {day} AS day,
+            CAST(MAX(n_chars) AS INT) AS nummentions
+        FROM documents WHERE {case_of("lang", b.COUNTRY_OF_LANG, "'FR'")} IN ({PARTS}) GROUP BY 1, 2"""
+
+
+def text_window_urls(url_days: str) -> str:
+    return f"""SELECT *, {slug_sql("source_url")} AS slug FROM (
+            SELECT source_url, day, nummentions FROM {url_days}
+            WHERE EXISTS (SELECT 1 FROM orders WHERE CAST(o_orderdate AS DATE) = last_day(o_orderdate)
+                AND ABS(date_diff('day', CAST(o_orderdate AS DATE), day)) <= 7)
+            QUALIFY ROW_NUMBER() OVER (PARTITION BY day
+                ORDER BY nummentions DESC NULLS LAST, source_url) <= {b.SAMPLE_CONFIG.top_urls_per_day})"""
+
+
 N, I = "n_chars", "doc_id"
 TONE_HEAD = " || ',' || ".join(
     [
@@ -510,17 +526,15 @@ CTES: dict[str, str] = {
                 ORDER BY nummentions DESC NULLS LAST, source_url) <= {b.SAMPLE_CONFIG.top_urls_per_day})""",
     "window_slugs": "SELECT * FROM window_urls WHERE length(slug) >= 6",
     # the same for every order of a month-end day and for URLs that hold the whole text
-    "text_url_days": f"""SELECT {TEXT_URL} AS source_url, {DOC_DAY} AS day,
-            CAST(MAX(n_chars) AS INT) AS nummentions
-        FROM documents WHERE {case_of("lang", b.COUNTRY_OF_LANG, "'FR'")} IN ({PARTS}) GROUP BY 1, 2""",
-    "text_window_urls": f"""SELECT *, {slug_sql("source_url")} AS slug FROM (
-            SELECT source_url, day, nummentions FROM text_url_days
-            WHERE EXISTS (SELECT 1 FROM orders WHERE CAST(o_orderdate AS DATE) = last_day(o_orderdate)
-                AND ABS(date_diff('day', CAST(o_orderdate AS DATE), day)) <= 7)
-            QUALIFY ROW_NUMBER() OVER (PARTITION BY day
-                ORDER BY nummentions DESC NULLS LAST, source_url) <= {b.SAMPLE_CONFIG.top_urls_per_day})""",
+    "text_url_days": text_url_days(DOC_DAY),
+    "text_window_urls": text_window_urls("text_url_days"),
     "text_scores": earlier_scores(TEXT_URL),
     "text_slugs": "SELECT * FROM text_window_urls WHERE length(slug) >= 6",
+    # and for documents spread evenly
+    "even_url_days": text_url_days(EVEN_DAY),
+    "even_window_urls": text_window_urls("even_url_days"),
+    "even_scores": earlier_scores(TEXT_URL, EVEN_DAY),
+    "even_slugs": "SELECT * FROM even_window_urls WHERE length(slug) >= 6",
     # raw drops: which fault a line has follows from its id
     "event_drop": """SELECT *, CAST(ts AS DATE) AS date, hour(ts) // 6 AS slot,
             event_id % 97 = 5 AS short FROM gdelt""",

@@ -5,8 +5,10 @@ import math
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tidemark.operators import scoring
 
 TEXTS = {28: "Les mots und more words, the end. " * 40, 29: "the plain, und words: der sea " * 50}
 
@@ -65,3 +67,41 @@ def test_score_pipeline_scores_whole_texts(spark, tables):
     row = got[slug_of(TEXTS[29])]
     found = [row.finbert_positive, row.finbert_neutral, row.finbert_negative]
     assert found == pytest.approx(scores_of(TEXTS[29]), abs=1e-6)
+
+
+def test_score_pipeline_spreads_all_documents_evenly(spark, tables, tmp_path):
+    """Every third document counted on one of four busy days before: 30 on a day without orders near."""
+    shifted = spark.read.parquet(f"{tables}/documents.parquet").withColumn("doc_id", F.col("doc_id") + 2)
+    shifted.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("orders", "labels"):
+        spark.read.parquet(f"{tables}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r.slug: r.day for r in entry.queries()["score_pipeline"](spark, str(tmp_path)).collect()}
+    assert got == {slug_of(TEXTS[28]): date(1998, 1, 31), slug_of(TEXTS[29]): date(1998, 2, 1)}
+
+
+@pytest.mark.parametrize("per_day", [1, 2, 3, 7, 100])
+def test_cut_of_long_urls_keeps_the_top(spark, per_day):
+    """Copies, ties at the cut, missing counts and days with few URLs give the same top URLs."""
+    rows = [
+        (f"http://e.com/a-long-title-{i % 11}-of-{'words-' * (i % 5)}end", date(1998, 1, 1 + i % 3 * i % 4), n)
+        for i in range(60)
+        for n in ((i % 4, None, 3) if i % 11 < 6 else (i % 4,) if i % 11 < 9 else (None,))
+    ] + [(None, date(1998, 1, 1), 99), ("", date(1998, 1, 1), 99)]
+    frame = spark.createDataFrame(rows, "source_url string, event_date date, mentions int")
+    events = spark.createDataFrame([(date(1998, 1, 2),)], "event_date date")
+    window = (date(1998, 1, 1), date(1998, 1, 9))
+    plain, cut = (
+        scoring.event_window_urls(frame, events, window, 3, per_day, 6, long_urls).collect()
+        for long_urls in (False, True)
+    )
+    assert plain and sorted(plain, key=repr) == sorted(cut, key=repr)
+
+
+def test_digests_find_the_scored_urls(spark):
+    urls = spark.createDataFrame([(f"u{i}", date(1998, 1, 1), 1, "some words") for i in range(4)],
+                                 "source_url string, day date, nummentions int, slug string")
+    known = scoring.score_batches(urls.filter("source_url < 'u2'"), "slug", entry.bindings.make_lexicon_scorer)
+    digests = known.select(scoring.url_digest("source_url").alias("url_digest"))
+    found = scoring.score_new(urls, known, entry.bindings.make_lexicon_scorer, digests=digests)
+    assert found.columns == known.columns
+    assert sorted(r.source_url for r in found.collect()) == ["u0", "u1", "u2", "u3"]

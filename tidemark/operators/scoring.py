@@ -8,11 +8,12 @@ from datetime import date
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.text import slug
+from tidemark.operators.bounds import bounded_broadcast, span_days
 from tidemark.operators.ranking import top_n
 from tidemark.operators.windows import within_windows
 from tidemark.sources.sinks import appended, unseen
@@ -89,6 +90,27 @@ def top_urls(rows: DataFrame, n: int) -> DataFrame:
     return top_n(per_url, ["day"], order, n)
 
 
+def above_cut(rows: DataFrame, n: int, window: tuple[date, date]) -> DataFrame:
+    """The rows that can be among the ``n`` most-mentioned URLs of their day.
+
+    The cut is the n-th highest count of a day, found over hashes of the URLs: long URLs below
+    it never move. Two URLs with one hash only lower the cut, so no row is lost. ``window`` is
+    the closed range of the days.
+    """
+    per_url = (
+        rows.filter(F.col("source_url") != "")
+        .groupBy(F.xxhash64("source_url").alias("_url"), F.col("event_date").alias("_day"))
+        .agg(F.max("mentions").alias("_cut"))
+    )
+    ranked = top_n(per_url, ["_day"], [F.col("_cut").desc_nulls_last()], n, "_rank")
+    cuts = ranked.filter(F.col("_rank") == n).select("_day", "_cut")
+    cuts = bounded_broadcast(cuts, span_days(*window), 16)
+    near = rows.join(cuts, rows["event_date"] == cuts["_day"], "left")
+    # a day with fewer URLs, or with a cut among the missing counts, keeps all its rows
+    kept = F.col("_cut").isNull() | (F.col("mentions") >= F.col("_cut"))
+    return near.filter(kept).drop("_day", "_cut")
+
+
 def event_window_urls(
     rows: DataFrame,
     events: DataFrame,
@@ -96,13 +118,16 @@ def event_window_urls(
     window_days: int = 1,
     per_day: int = 200,
     min_length: int = 6,
+    long_urls: bool = False,
 ) -> DataFrame:
     """Top URLs of the days around events, with their slug: (source_url, day, nummentions, slug).
 
     Rows outside the event windows go before the aggregation, and slugs are cut only for the
-    URLs that stay.
+    URLs that stay. With ``long_urls`` a second pass over the rows saves moving the other URLs.
     """
     near = within_windows(rows, events, "event_date", window_days, "event_date", window)
+    if long_urls:
+        near = above_cut(near, per_day, window)
     urls = top_urls(near, per_day).withColumn("slug", slug("source_url"))
     return urls.filter(F.length("slug") >= min_length)
 
@@ -112,13 +137,24 @@ def score_new(
     existing: DataFrame,
     make_scorer: Callable[[], Scorer],
     partitions: int | None = None,
+    digests: DataFrame | None = None,
 ) -> DataFrame:
     """Score URLs not scored before and append them to the existing scores.
 
-    The new URLs are spread by key, so a busy day does not sit in one scoring task.
+    The new URLs are spread by key, so a busy day does not sit in one scoring task. With
+    ``digests`` (url_digest of every existing URL) long existing URLs are not moved to be compared.
     """
-    new = spread(unseen(urls, existing, "source_url"), partitions)
-    return appended(existing, score_batches(new, "slug", make_scorer))
+    if digests is None:
+        new = unseen(urls, existing, "source_url")
+    else:
+        keyed = urls.withColumn("url_digest", url_digest("source_url"))
+        new = unseen(keyed, digests, "url_digest").drop("url_digest")
+    return appended(existing, score_batches(spread(new, partitions), "slug", make_scorer))
+
+
+def url_digest(url: str) -> Column:
+    """SHA-256 of a URL: a short key that tells URLs apart."""
+    return F.unhex(F.sha2(F.col(url), 256))
 
 
 def spread(urls: DataFrame, partitions: int | None) -> DataFrame:

@@ -275,6 +275,11 @@ def document_day() -> Column:
     return F.date_add(F.lit(date(1998, 1, 1)), offset.cast("int"))
 
 
+def even_day() -> Column:
+    """All documents spread evenly over 120 days."""
+    return F.date_add(F.lit(date(1998, 1, 1)), (F.col("doc_id") % 120).cast("int"))
+
+
 def listed(text: Column, mapping: dict[str, str]) -> Column:
     """``;``-separated entries of every substring the text holds."""
     return F.concat_ws(";", *[F.when(text.contains(s), v) for s, v in mapping.items()])
@@ -337,21 +342,25 @@ def text_url() -> Column:
     return F.concat(F.lit("https://e.com/"), F.coalesce("source", F.lit("")), F.lit("/"), headline)
 
 
-def url_rows(documents: DataFrame, url: Column | None = None) -> DataFrame:
+def url_rows(
+    documents: DataFrame, url: Column | None = None, day: Column | None = None
+) -> DataFrame:
     return documents.select(
         (document_url() if url is None else url).alias("source_url"),
-        document_day().alias("event_date"),
+        (document_day() if day is None else day).alias("event_date"),
         F.coalesce(mapped("lang", COUNTRY_OF_LANG), F.lit("FR")).alias("country"),
         F.lit("4").alias("quad_class"),
         F.col("n_chars").cast("int").alias("mentions"),
     )
 
 
-def earlier_scores(documents: DataFrame, labels: DataFrame, url: Column | None = None) -> DataFrame:
+def earlier_scores(
+    documents: DataFrame, labels: DataFrame, url: Column | None = None, day: Column | None = None
+) -> DataFrame:
     """Scores of the labelled documents, as an earlier scoring run would have left them."""
     rows = documents.join(labels, "doc_id").select(
         (document_url() if url is None else url).alias("source_url"),
-        document_day().alias("day"),
+        (document_day() if day is None else day).alias("day"),
         F.col("n_chars").cast("int").alias("nummentions"),
         F.lit("labelled").alias("slug"),
         ((1 + F.col("quality") + (F.col("doc_id") % 7) / 10) / 4).alias("finbert_positive"),
