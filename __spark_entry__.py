@@ -1157,12 +1157,12 @@ register(
 
 
 def score_pipeline(s: SampleStudy) -> DataFrame:
-    """Scores whole texts around every order of a month-end day, all documents spread evenly."""
+    """Scores whole texts around every order, all documents spread evenly."""
     # URLs are built before the join with the labels: digests then go there without texts
     documents = s.raw("documents").withColumn("source_url", bindings.text_url())
     url, day = F.col("source_url"), bindings.even_day()
     urls = window_urls(
-        s, bindings.url_rows(documents, url, day), bindings.month_ends(s.raw("orders")), True
+        s, bindings.url_rows(documents, url, day), bindings.order_days(s.raw("orders")), True
     )
     keyed = documents.select("doc_id", scoring.url_digest("source_url").alias("url_digest"))
     return scoring.score_new(

@@ -92,10 +92,10 @@ def text_url_days(day: str) -> str:
         FROM documents WHERE {case_of("lang", b.COUNTRY_OF_LANG, "'FR'")} IN ({PARTS}) GROUP BY 1, 2"""
 
 
-def text_window_urls(url_days: str) -> str:
+def text_window_urls(url_days: str, orders: str = "CAST(o_orderdate AS DATE) = last_day(o_orderdate)") -> str:
     return f"""SELECT *, {slug_sql("source_url")} AS slug FROM (
             SELECT source_url, day, nummentions FROM {url_days}
-            WHERE EXISTS (SELECT 1 FROM orders WHERE CAST(o_orderdate AS DATE) = last_day(o_orderdate)
+            WHERE EXISTS (SELECT 1 FROM orders WHERE {orders}
                 AND ABS(date_diff('day', CAST(o_orderdate AS DATE), day)) <= 7)
             QUALIFY ROW_NUMBER() OVER (PARTITION BY day
                 ORDER BY nummentions DESC NULLS LAST, source_url) <= {b.SAMPLE_CONFIG.top_urls_per_day})"""
@@ -530,9 +530,9 @@ CTES: dict[str, str] = {
     "text_window_urls": text_window_urls("text_url_days"),
     "text_scores": earlier_scores(TEXT_URL),
     "text_slugs": "SELECT * FROM text_window_urls WHERE length(slug) >= 6",
-    # and for documents spread evenly
+    # and for every order, and documents spread evenly
     "even_url_days": text_url_days(EVEN_DAY),
-    "even_window_urls": text_window_urls("even_url_days"),
+    "even_window_urls": text_window_urls("even_url_days", "TRUE"),
     "even_scores": earlier_scores(TEXT_URL, EVEN_DAY),
     "even_slugs": "SELECT * FROM even_window_urls WHERE length(slug) >= 6",
     # raw drops: which fault a line has follows from its id

@@ -79,6 +79,18 @@ def test_score_pipeline_spreads_all_documents_evenly(spark, tables, tmp_path):
     assert got == {slug_of(TEXTS[28]): date(1998, 1, 31), slug_of(TEXTS[29]): date(1998, 2, 1)}
 
 
+def test_score_pipeline_scores_texts_far_from_month_ends(spark, tables, tmp_path):
+    """Only orders of month-end days were events before: the texts near this one stayed unscored."""
+    orders = spark.read.parquet(f"{tables}/orders.parquet")
+    # the texts' days are January 29 and 30
+    near = orders.withColumn("o_orderdate", F.lit(date(1998, 1, 23)))
+    near.write.parquet(f"{tmp_path}/orders.parquet")
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{tables}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r.slug for r in entry.queries()["score_pipeline"](spark, str(tmp_path)).collect()}
+    assert got == {"labelled", slug_of(TEXTS[29])}
+
+
 @pytest.mark.parametrize("per_day", [1, 2, 3, 7, 100])
 def test_cut_of_long_urls_keeps_the_top(spark, per_day):
     """Copies, ties at the cut, missing counts and days with few URLs give the same top URLs."""

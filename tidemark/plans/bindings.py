@@ -235,6 +235,11 @@ def month_ends(orders: DataFrame) -> DataFrame:
     return orders.filter(day == F.last_day(day)).select(day.alias("event_date"))
 
 
+def order_days(orders: DataFrame) -> DataFrame:
+    """Every order is an event; a day with several is listed once."""
+    return orders.select(F.to_date("o_orderdate").alias("event_date")).distinct()
+
+
 def study_day() -> Column:
     seconds = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)")
     return F.date_add(F.lit(FIRST_DAY), F.floor(seconds / SECONDS_PER_DAY).cast("int"))
