@@ -156,6 +156,16 @@ def test_lines_of_many_documents(spark):
     assert Counter(tuple(r) for r in line_dedup.line_digests(docs).collect()) == want
 
 
+def test_line_dedup_writes_what_is_read_again(odd, monkeypatch):
+    """Tables read once were written too: on 211 partitions each file began processes of its own."""
+    written = []
+    plain = line_dedup.saved
+    for module in (line_dedup, bloom):
+        monkeypatch.setattr(module, "saved", lambda f, p: written.append(p) or plain(f, p), raising=False)
+    line_dedup.line_digests(odd).collect()
+    assert written == ["line-keys", "line-suspects", "line-firsts", "line-lists"]
+
+
 def test_chunks_merge_to_twice_seen(spark):
     rng = np.random.default_rng(2)
     digests = [bytes(rng.integers(0, 256, 16, dtype=np.uint8)) for _ in range(6000)]

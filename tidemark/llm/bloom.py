@@ -14,8 +14,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import saved
-
 CELLS_PER_KEY, MIN_CELLS, MAX_CELLS = 16, 1 << 15, 1 << 29
 #: Cells of one chunk of a merged filter; a list of positions takes two bytes a cell.
 CHUNK = 1 << 16
@@ -123,7 +121,7 @@ def twice_seen(keys: DataFrame, column: str, cells: int) -> list[tuple[int, byte
         .mapInArrow(merge, "chunk int, bits binary")
     )
     # MAX_CELLS / 8 bytes at most
-    return [(r["chunk"], bytes(r["bits"])) for r in saved(merged, "twice-seen").collect()]
+    return [(r["chunk"], bytes(r["bits"])) for r in merged.collect()]
 
 
 class Filter:

@@ -96,16 +96,13 @@ def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     no rows; all columns pass through, with columns named n_lines or n_dropped replaced.
     """
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    drops = saved(repeats(digests_of(docs, least)), "line-drops")
+    drops = repeats(digests_of(docs, least))
     lists = saved(
         drops.groupBy("no_id", "id").agg(F.array_join(F.sort_array(F.collect_set(F.hex("key"))), "").alias("lost")),
         "line-lists",
     )
     cells = bloom.cells_for(lists.count())
-    maps = saved(
-        bloom.bitmaps(lists.select((F.pmod(_id_hash("no_id", "id"), F.lit(cells)) + 1).alias("cell"))),
-        "line-documents",
-    )
+    maps = bloom.bitmaps(lists.select((F.pmod(_id_hash("no_id", "id"), F.lit(cells)) + 1).alias("cell")))
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc")).select(
         "doc",
         F.col("doc.doc_id").isNull().alias("no_id"),
