@@ -1130,18 +1130,23 @@ def text_scores(s: SampleStudy) -> DataFrame:
 
 
 register("event_window_urls", sample_window_urls, "SELECT * FROM window_slugs")
-LEXICON_SCORES = f"""SELECT * EXCLUDE (slug_words, ep, em, en), ep / (ep + em + en) AS finbert_positive,
+
+
+def lexicon_scores(rows: str, lexicon: scoring.LexiconScorer = bindings.LEXICON) -> str:
+    return f"""SELECT * EXCLUDE (slug_words, ep, em, en), ep / (ep + em + en) AS finbert_positive,
     em / (ep + em + en) AS finbert_neutral, en / (ep + em + en) AS finbert_negative,
     (ep - en) / (ep + em + en) AS finbert_signed
-    FROM (SELECT *, EXP(8.0::DOUBLE * {o.words_share(bindings.LEXICON.positive)}) AS ep,
+    FROM (SELECT *, EXP(8.0::DOUBLE * {o.words_share(lexicon.positive)}) AS ep,
                  EXP(0.5::DOUBLE) AS em,
-                 EXP(8.0::DOUBLE * {o.words_share(bindings.LEXICON.negative)}) AS en
-          FROM (SELECT *, string_split(lower(slug), ' ') AS slug_words FROM {{rows}}))"""
+                 EXP(8.0::DOUBLE * {o.words_share(lexicon.negative)}) AS en
+          FROM (SELECT *, string_split(lower(slug), ' ') AS slug_words FROM {rows}))"""
+
+
 SCORE_COLUMNS = scoring.SCORE_FIELDS
 register(
     "batch_score",
     lambda s: scoring.score_batches(text_window_urls(s), "slug", bindings.make_lexicon_scorer),
-    LEXICON_SCORES.format(rows="text_slugs"),
+    lexicon_scores("text_slugs"),
     *SCORE_COLUMNS,
 )
 register(
@@ -1168,7 +1173,7 @@ def score_pipeline(s: SampleStudy) -> DataFrame:
     return scoring.score_new(
         urls,
         bindings.earlier_scores(documents, s.raw("labels"), url, day),
-        bindings.make_lexicon_scorer,
+        bindings.make_text_scorer,
         digests=keyed.join(s.raw("labels").select("doc_id"), "doc_id"),
     )
 
@@ -1178,7 +1183,7 @@ register(
     score_pipeline,
     f"""SELECT source_url, day, nummentions, slug, finbert_positive, finbert_neutral,
         finbert_negative, finbert_signed FROM even_scores
-        UNION ALL BY NAME SELECT * FROM ({LEXICON_SCORES.format(rows="even_slugs")})
+        UNION ALL BY NAME SELECT * FROM ({lexicon_scores("even_slugs", bindings.TEXT_LEXICON)})
         WHERE source_url NOT IN (SELECT source_url FROM even_scores)""",
     *SCORE_COLUMNS,
 )
@@ -1202,7 +1207,7 @@ register(
     appended_scores,
     f"""WITH old AS (SELECT source_url, day, nummentions, slug, finbert_positive, finbert_neutral,
             finbert_negative, finbert_signed FROM scores),
-        fresh AS (SELECT * FROM ({LEXICON_SCORES.format(rows="window_slugs")})
+        fresh AS (SELECT * FROM ({lexicon_scores("window_slugs")})
             WHERE source_url NOT IN (SELECT source_url FROM old))
         SELECT *, '1' AS run, COUNT(*) OVER () AS run_rows FROM old
         UNION ALL BY NAME SELECT *, '2' AS run, COUNT(*) OVER () AS run_rows FROM fresh""",

@@ -69,6 +69,21 @@ def test_score_pipeline_scores_whole_texts(spark, tables):
     assert found == pytest.approx(scores_of(TEXTS[29]), abs=1e-6)
 
 
+def test_score_pipeline_counts_the_words_of_whole_texts(spark, tables, tmp_path):
+    """Seven of these words counted for the first whole texts, and not since URLs had been short."""
+    text = "a text with all that, una of them; not this, it was worthless: the end"
+    documents = spark.read.parquet(f"{tables}/documents.parquet")
+    texts = documents.withColumn("text", F.when(F.col("doc_id") == 29, text).otherwise(F.col("text")))
+    texts.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("orders", "labels"):
+        spark.read.parquet(f"{tables}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    row = {r.slug: r for r in entry.queries()["score_pipeline"](spark, str(tmp_path)).collect()}[slug_of(text)]
+    n = len(slug_of(text).split())
+    weights = [math.exp(8 * 4 / n), math.exp(0.5), math.exp(8 * 4 / n)]
+    found = [row.finbert_positive, row.finbert_neutral, row.finbert_negative]
+    assert found == pytest.approx([w / sum(weights) for w in weights], abs=1e-6)
+
+
 def test_score_pipeline_spreads_all_documents_evenly(spark, tables, tmp_path):
     """Every third document counted on one of four busy days before: 30 on a day without orders near."""
     shifted = spark.read.parquet(f"{tables}/documents.parquet").withColumn("doc_id", F.col("doc_id") + 2)
